@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +72,18 @@ def word_count(text: Column) -> Column:
 def hex_bits(text: Column, start: int, digits: int) -> Column:
     """``digits`` hex digits of an md5 text from ``start`` (1-based) as a long."""
     return F.conv(F.substring(text, start, digits), 16, 10).cast("long")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, unless their PYTHONPATH has it already."""
+    package = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(package.parent) in known or getattr(context, "_lexispark_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lexispark-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._lexispark_shipped = True
