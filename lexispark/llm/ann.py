@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from .common import ship, written
 
 #: Vectors for each list; most lists; rows of the sample that trains centroids.
-LIST, MAX_LISTS, SAMPLE = 128, 16_384, 65_536
+LIST, MAX_LISTS, SAMPLE = 160, 16_384, 65_536
 #: Lists that may hold a vector, and how much farther than the nearest they may be.
 REPLICAS, CLOSURE = 4, 1.12
 #: Lists that a query searches at most, and how much farther than the nearest they may be.
-PROBES, RATIO = 64, 1.6
+PROBES, RATIO = 96, 1.6
 #: Links of a centroid, breadth of the walk; vectors of a part and queries of a block.
-LINKS, BREADTH, PART = 24, 96, 1_024
+LINKS, BREADTH, PART = 24, 128, 1_024
 
 
 def usable(table: DataFrame) -> DataFrame:

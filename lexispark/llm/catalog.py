@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, language, mixing, near_dedup, secrets, sharding, substring_dedup
+from . import ann, bpe, exact_dedup, html_text, language, mixing, near_dedup, secrets, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("locator_file", "locator_row")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ring_shards, op3_language_id, op4_near_dedup, op5_bpe_round_trip, op6_balanced_postings, op7_exact_dedup, op9_substring_dedup, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_ring_shards, op3_language_id, op4_near_dedup, op5_bpe_round_trip, op6_balanced_postings, op7_exact_dedup, op8_html_text, op9_substring_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
