@@ -147,6 +147,31 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids, decoded_sha256 of every row."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = [bpe.encode(t.as_py() or "") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([len(i) // 4 for i in ids], pa.int64()),
+                        pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32())),
+                        pa.array([hashlib.sha256(bpe.decode(i).encode()).hexdigest() for i in ids], pa.string()),
+                    ],
+                    names=["doc_id", "n_tokens", "token_ids", "decoded_sha256"],
+                )
+
+    texts = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, decoded_sha256 string")
+
+
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, token_ids (array of int) of every row."""
     ship(docs.sparkSession)

@@ -61,7 +61,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_ring_shards, op3_language_id, op4_near_dedup, op5_bpe_round_trip, op6_balanced_postings, op7_exact_dedup, op8_html_text, op9_substring_dedup, op10_secret_scan)}
+    import corpus_pipeline
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix_sources, op2_ring_shards, op3_language_id, op4_near_dedup, op5_bpe_round_trip, op6_balanced_postings, op7_exact_dedup, op8_html_text, op9_substring_dedup, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
