@@ -4,12 +4,509 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import citations as cite
+from ..functions import numbers, text, vectors
+from ..operators import analysis, digests, fusion, gate, integrity, metrics, verify
+from ..operators import candidates as cands
+from ..operators import support as sup
+from ..sources import sinks
+from ..streaming import runs
+from . import tables
+from .tables import EVERY, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+
+
+def _query(f: Query) -> Query:
+    _found[f.__name__] = f
+    return f
+
+
+@_query
+def dense_topk(spark, sf):
+    index = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("v"))
+    queries = index.where(F.col("idx") % EVERY == 0).select(F.col("idx").alias("query_id"), F.col("v").alias("q"))
+    return fusion.vector_top_k(queries, index, 10, on=()).select("query_id", "position", F.col("idx").alias("vec_id"), "score")
+
+
+@_query
+def five_view_rrf(spark, sf):
+    return fusion.fuse_views(tables.view_hits(spark, sf, 50), limit=100).select("query_id", "doc_ref", "rank", "fusion_score")
+
+
+@_query
+def rrf_hit_details(spark, sf):
+    hits = tables.view_hits(spark, sf, 50)
+    detailed = fusion.hit_details(fusion.fuse_views(hits, limit=100), hits)
+    return detailed.select("query_id", "doc_ref", "rank", F.posexplode("hits").alias("hit", "h")).select("query_id", "doc_ref", "rank", "hit", "h.field", F.col("h.rank").alias("view_rank"))
+
+
+@_query
+def online_rrf_two_source(spark, sf):
+    vec = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    queries = vec.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("v").alias("q"))
+    dense = fusion.vector_top_k(queries.select("query_id", "q"), vec.select(F.col("vec_id").alias("idx"), "v"), 40, on=()).select("query_id", F.lit("dense").alias("source"), "position", F.col("idx").alias("doc_ref"))
+    same = queries.join(vec, F.col("own") == F.col("label")).select("query_id", F.col("vec_id").alias("doc_ref"), F.lit(0).alias("score"))
+    bm25 = fusion.ranked_by_score(same, ["query_id"], F.col("doc_ref"), 40).select("query_id", F.lit("bm25").alias("source"), "position", "doc_ref")
+    return fusion.weighted_rrf(dense.unionByName(bm25), fusion.ONLINE_WEIGHTS).select("query_id", "doc_ref", "rank", "fusion_score", F.array_join("sources", ",").alias("sources"))
+
+
+@_query
+def balanced_support(spark, sf):
+    items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.when(F.col("l_returnflag") == "R", "law").otherwise("court").alias("kind"), tables.citation().alias("citation"), "l_linenumber", "l_partkey", "l_suppkey")
+    place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return sup.support_counts(sup.balanced(items.withColumn("position", place), 5).select("query_id", "hit_pos", "citation"))
+
+
+@_query
+def balanced_order(spark, sf):
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.when(F.col("role") == "user", "law").otherwise("court").alias("kind"), "turn")
+    place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("turn"))
+    return sup.balanced(turns.withColumn("position", place), 10).select("query_id", "kind", "turn", "hit_pos")
+
+
+def _decided(spark, sf):
+    return gate.gate(tables.candidates(spark, sf), tables.support(spark, sf))
+
+
+@_query
+def citation_gate(spark, sf):
+    return gate.decisions(_decided(spark, sf), gate.Policy()).select("query_id", "citation", "kind", "accepted", "votes", "support", "votes_text")
+
+
+@_query
+def gate_rejections(spark, sf):
+    return _decided(spark, sf).where(~F.col("accepted")).select("query_id", "citation", "votes", "support")
+
+
+@_query
+def verifier_order(spark, sf):
+    return gate.verifier_order(tables.candidates(spark, sf)).select("query_id", "doc_ref", "position")
+
+
+@_query
+def online_order(spark, sf):
+    return gate.verifier_order(gate.online_order(tables.candidates(spark, sf))).select("query_id", "doc_ref", "rank", "position")
+
+
+@_query
+def evidence_documents(spark, sf):
+    decided = _decided(spark, sf).where("accepted")
+    return gate.evidence_documents(gate.verifier_order(tables.candidates(spark, sf)), decided, 3).select("query_id", "doc_ref", "position")
+
+
+def _predictions(spark, sf):
+    everyone = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("query_id"))
+    return gate.predictions(everyone, _decided(spark, sf)).withColumnRenamed("citations", "predicted")
+
+
+@_query
+def submission_rows(spark, sf):
+    return _predictions(spark, sf).select("query_id", F.array_join("predicted", ";").alias("predicted_citations"))
+
+
+@_query
+def per_query_prf(spark, sf):
+    return metrics.per_query(tables.gold(spark, sf), _predictions(spark, sf))
+
+
+@_query
+def macro_f1(spark, sf):
+    found = metrics.macro(per_query_prf(spark, sf))
+    return found.select("queries", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _triples(spark, sf):
+    from pyspark.sql import Window
+
+    first = tables.candidates(spark, sf).where(F.col("rank") <= 3).select("query_id", F.explode("citations").alias("c")).distinct()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("c"), "c"))
+    retrieved = first.withColumn("p", place).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda s: s["c"]).alias("retrieved"))
+    return tables.gold(spark, sf).join(retrieved, "query_id").join(_predictions(spark, sf), "query_id")
+
+
+@_query
+def analysis_prf(spark, sf):
+    return _triples(spark, sf).select("query_id", metrics.analysis_precision("gold", "predicted").alias("precision"), metrics.analysis_recall("gold", "predicted").alias("recall"))
+
+
+@_query
+def error_attribution(spark, sf):
+    found = analysis.error_attribution(_triples(spark, sf))
+    return found.select("query_id", *[F.array_join(c, ";").alias(c) for c in analysis.CATEGORIES], "retrieval_recall", "prediction_recall")
+
+
+@_query
+def macro_attribution(spark, sf):
+    return analysis.macro_attribution(analysis.error_attribution(_triples(spark, sf))).select(*analysis.CATEGORIES, *[F.round(c, 9).alias(c) for c in ("retrieval_recall", "prediction_recall")])
+
+
+@_query
+def context_metrics(spark, sf):
+    return analysis.context_metrics(_triples(spark, sf), k=10)
+
+
+@_query
+def label_vs_prediction_f1(spark, sf):
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    long = docs.select("lang", "doc_id", (F.col("quality") == 1).alias("g"), (F.length(text.clean(F.col("text"))) >= 1000).alias("p"))
+    count = lambda c, name: F.count_if(c).alias(name)
+    return metrics.evaluation_scores(long.groupBy("lang").agg(count(F.col("g") & F.col("p"), "tp"), count(~F.col("g") & F.col("p"), "fp"), count(F.col("g") & ~F.col("p"), "fn")))
+
+
+def _vocabulary(spark, sf):
+    part = table(spark, sf, "part")
+    own = lambda even: part.where((F.col("p_size") % 2 == 0) == F.lit(even)).select(F.col("p_name").alias("citation"))
+    return own(True), own(False)
+
+
+def _named(spark, sf):
+    items = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_partkey") * 2).alias("p_partkey"))
+    return items.join(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("citation")), "p_partkey", "left").select("l_orderkey", F.coalesce("citation", F.concat(F.lit("unknown "), F.col("p_partkey").cast("string"))).alias("citation"))
+
+
+@_query
+def vocab_semi(spark, sf):
+    laws, courts = _vocabulary(spark, sf)
+    return _named(spark, sf).join(sup.vocabulary(laws, courts).select("citation").distinct(), "citation", "left_semi").groupBy("citation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def vocab_anti(spark, sf):
+    laws, courts = _vocabulary(spark, sf)
+    return sup.outside(_named(spark, sf), sup.vocabulary(laws, courts)).groupBy("citation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def targeted_vocabulary(spark, sf):
+    laws, courts = _vocabulary(spark, sf)
+    return sup.targeted_vocabulary(laws, courts, _named(spark, sf))
+
+
+@_query
+def vocabulary_overlap(spark, sf):
+    return sup.vocabulary_overlap(sup.vocabulary(*_vocabulary(spark, sf)))
+
+
+@_query
+def materialize_rows(spark, sf):
+    docs = table(spark, sf, "documents")
+    wanted = table(spark, sf, "labels").where("quality = 1").select(F.concat(F.lit("documents.parquet:rg0:row"), F.col("doc_id").cast("string")).alias("doc_ref"))
+    located = wanted.select("doc_ref", cands.parse_reference(F.col("doc_ref")).alias("l")).select("doc_ref", "l.file", "l.row_group", "l.row")
+    files = docs.select("doc_id", "text", "lang", "source")
+    rows = cands.materialize(located, files)
+    return rows.select("doc_ref", "doc_id", "lang", F.length("text").alias("chars"))
+
+
+@_query
+def render_document(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.sha2(text.render_document(("doc_id", "lang", "source", "n_chars"), "text").cast("binary"), 256).alias("rendered_sha256"))
+
+
+@_query
+def fulltext_view(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.fulltext_view(("lang", "source", "text")).cast("binary"), 256).alias("fulltext_sha256"))
+
+
+@_query
+def prepare_batches(spark, sf):
+    queries = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("query_id"), F.col("c_name").alias("query"), F.col("c_custkey").alias("ordinal"))
+    orders = table(spark, sf, "orders")
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    own = orders.select(F.col("o_custkey").cast("string").alias("query_id"), rank.alias("rank"), F.concat(F.lit("d"), F.col("o_orderkey") % 50).alias("doc_id"), F.col("o_orderkey").alias("global_idx"), F.col("o_orderkey").alias("ordinal"))
+    documents = own.select("doc_id").distinct().withColumn("full_document_text", F.concat(F.lit("text of "), "doc_id"))
+    ready = cands.prepare(queries, own, documents, None, 10)
+    return cands.batches(ready, 5).select("query_id", "candidate_id", "rank", "batch", "slot", "document_text")
+
+
+@_query
+def candidate_ids(spark, sf):
+    o = table(spark, sf, "orders")
+    query = F.concat(F.lit("q"), F.col("o_custkey").cast("string"))
+    explicit = F.when(F.col("o_orderkey") % 3 == 0, F.concat(query, F.lit("::own"), F.col("o_orderkey").cast("string")))
+    index = F.when(F.col("o_orderkey") % 3 == 1, F.col("o_orderkey"))
+    return o.select("o_orderkey", cands.candidate_id(query, explicit, index, F.col("o_orderstatus")).alias("candidate_id"), cands.legacy_id(query, F.lit(1), F.col("o_orderkey")).alias("legacy_id"))
+
+
+@_query
+def document_references(spark, sf):
+    d = table(spark, sf, "documents")
+    file, group, row = F.concat(F.lit("in/"), F.col("source"), F.lit(".parquet")), F.col("doc_id") % 7, F.col("doc_id")
+    ident = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" d"), F.col("doc_id").cast("string")))
+    both = d.select("doc_id", cands.index_reference(ident, file, group, row).alias("index_reference"), cands.document_reference(ident, file, group, row).alias("document_reference"))
+    return both.withColumn("row_group", cands.parse_reference(F.col("index_reference"))["row_group"])
+
+
+@_query
+def clean_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.clean(F.col("text")).cast("binary"), 256).alias("clean_sha256"), F.length(text.clean(F.col("text"))).alias("chars"))
+
+
+@_query
+def split_citations(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", F.array_join(text.split_citations(F.concat_ws(" ; ", F.replace(F.col("p_name"), F.lit(" "), F.lit(";")), "p_brand", "p_brand")), "|").alias("citations"))
+
+
+@_query
+def keyword_view(spark, sf):
+    return text.keyword_view(table(spark, sf, "documents"), "doc_id", "text")
+
+
+@_query
+def keyword_ranking(spark, sf):
+    return text.keyword_ranking(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _turns(spark, sf):
+    c = table(spark, sf, "conversations")
+    said = F.concat_ws(" ", "text", F.when(F.col("turn") % 3 == 0, F.lit("Art. 12 Abs. 1 OR; see BGE 145 III 1 E. 2. Die Berufung und der Mietrecht Streit?  Ja.")))
+    return c.select("conv_id", "turn", "role", said.alias("text"))
+
+
+@_query
+def meta_view(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", text.meta_view(F.col("text")).alias("meta_searchterm"))
+
+
+@_query
+def citation_view(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", text.citation_view(F.col("text")).alias("citations"))
+
+
+@_query
+def legal_words(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.array_join(text.legal_words(F.col("text")), ", ").alias("legal_words"))
+
+
+@_query
+def truncated_text(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(text.truncated(F.col("text"), 1000).cast("binary"), 256).alias("truncated_sha256"))
+
+
+def _cited(spark, sf):
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda s: F.concat(F.lit("Art. "), (s["l_partkey"] % 40 + 1).cast("string"), F.lit(" Abs. "), (s["l_suppkey"] % 3 + 1).cast("string"), F.lit(" OR"))), "; ")
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(words.alias("text"))
+
+
+@_query
+def extract_citations(spark, sf):
+    found = cite.with_citations(_cited(spark, sf), "text")
+    return found.select("l_orderkey", F.array_join(cite.all_citations(F.col("citations")), ";").alias("citations"))
+
+
+@_query
+def answer_validation(spark, sf):
+    said = _cited(spark, sf).select(F.col("l_orderkey").alias("answer_id"), F.col("text").alias("answer"))
+    accepted = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"Art\. \d+ Abs\. [12] OR"), F.lit(0)))
+    vocabulary = spark.range(1, 41).select(F.explode(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.concat(F.lit("Art. "), F.col("id").cast("string"), F.lit(" Abs. "), n.cast("string"), F.lit(" OR")))).alias("citation")).where("citation <> 'Art. 7 Abs. 3 OR'")
+    return cite.validate_answers(said.withColumn("accepted", accepted), vocabulary).select("answer_id", "problem", F.size("mentioned").alias("mentioned"))
+
+
+@_query
+def exact_dup_docs(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+@_query
+def tree_digest(spark, sf):
+    files = table(spark, sf, "documents").select("source", F.concat_ws("/", "lang", F.concat((F.col("doc_id") % 7).cast("string"), F.lit("-"), F.col("doc_id").cast("string"))).alias("path"), F.length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return digests.tree_digest(files, ["source"])
+
+
+@_query
+def verify_artifacts(spark, sf):
+    files = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.lit(1).cast("long").alias("files"))
+    i = F.col("doc_id")
+    manifest = table(spark, sf, "documents").select(
+        i.alias("id"), F.concat(F.lit("d"), (i + F.when(i % 5 == 0, 10**9).otherwise(0)).cast("string")).alias("path"), (F.length("text") + F.when(i % 5 == 1, 1).otherwise(0)).cast("long").alias("size"),
+        F.when(i % 5 == 2, F.lit("0")).otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"), F.when(i % 5 == 3, F.lit(2)).cast("long").alias("file_count"),
+    )
+    return digests.verify_artifacts(manifest, files)
+
+
+@_query
+def credential_scan(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(text.credential_problem(F.col("text")), F.lit(False)).alias("problem"))
+
+
+@_query
+def html_escape(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2(text.html_escape(F.col("html")).cast("binary"), 256).alias("escaped_sha256"))
+
+
+@_query
+def chat_validation(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.when(F.col("turn") % 4 == 3, F.lit("  ")).otherwise(F.col("text")).alias("content"))
+    return integrity.record_rules(c, ["conv_id", "turn"], integrity.chat_rules())
+
+
+@_query
+def duplicate_keys(spark, sf):
+    return integrity.duplicates(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query
+def contiguous_turns(spark, sf):
+    return integrity.contiguous(table(spark, sf, "conversations").withColumn("rank", F.col("turn") + F.when(F.col("conv_id") % 2 == 0, 1).otherwise(0)), ["conv_id"], "rank")
+
+
+@_query
+def incomplete_join(spark, sf):
+    left = table(spark, sf, "documents").select("doc_id")
+    right = table(spark, sf, "labels").select(F.col("doc_id") + 1)
+    return integrity.complete_join(left, right.toDF("doc_id"), ["doc_id"])[1]
+
+
+@_query
+def resumable_work(spark, sf):
+    o = table(spark, sf, "orders")
+    return sinks.resumable(o.select("o_orderkey", "o_custkey"), o.where("o_orderstatus = 'F'"), ["o_orderkey"])
+
+
+@_query
+def strict_json_props(spark, sf):
+    e = table(spark, sf, "events")
+    whole = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("props")), F.lit("OBJECT")), F.lit(False))
+    return e.select("event_id", whole.alias("is_object"), F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"))
+
+
+@_query
+def think_split(spark, sf):
+    t = table(spark, sf, "conversations")
+    body = F.col("text")
+    shape = F.col("turn") % 5
+    reply = F.when(shape == 0, body).when(shape == 1, F.concat(F.lit(" <think> plan </think>"), body)).when(shape == 2, F.concat(F.lit("<think>"), body)).when(shape == 3, F.concat(body, F.lit("</think>"))).otherwise(F.concat(F.lit("<think>a</think> b <think>"), body))
+    found = t.select("conv_id", "turn", text.split_reasoning(reply).alias("r"))
+    return found.select("conv_id", "turn", F.length("r.answer").alias("answer_chars"), "r.reasoning", "r.problem")
+
+
+@_query
+def completion_envelopes(spark, sf):
+    c = table(spark, sf, "conversations")
+    shape = F.col("turn") % 4
+    body = F.when(shape == 3, F.lit("{}")).otherwise(
+        F.to_json(F.struct(F.array(F.struct(F.struct(F.when(shape != 1, F.col("text")).otherwise(F.lit(" ")).alias("content")).alias("message"), F.when(shape == 2, "length").otherwise("stop").alias("finish_reason"))).alias("choices"), F.struct(F.length("text").alias("total_tokens")).alias("usage")))
+    )
+    found = c.select("conv_id", "turn", verify.envelope(body, F.lit("asked")).alias("e"))
+    return found.select("conv_id", "turn", "e.model", "e.total_tokens", "e.problem")
+
+
+@_query
+def surrogate_fit(spark, sf):
+    c = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = c.groupBy("n_name").agg(F.avg("c_acctbal").alias("balance"), F.count(F.lit(1)).cast("double").alias("customers"), (F.count_if(F.col("c_mktsegment") == "BUILDING") * 5 > F.count(F.lit(1))).alias("accepted"))
+    table_ = rows.select(F.col("n_name").alias("query_id"), F.lit("c").alias("citation"), "accepted", F.create_map(F.lit("balance"), "balance", F.lit("customers"), "customers").alias("features"))
+    fitted = analysis.gate_surrogate(table_, iterations=500)
+    return fitted.select("query_id", "citation", "accepted", F.round("probability", 9).alias("probability"), "prediction", F.round("log_odds", 9).alias("log_odds"), F.round("brier", 9).alias("brier"))
+
+
+def _cases(spark, sf):
+    e = table(spark, sf, "events")
+    ablation = F.struct(F.col("event_id").cast("string").alias("feature"), (-F.floor(F.col("value") * 4) / 4.0).alias("score_without_feature"), (F.col("event_type") == "purchase").alias("is_evidence"))
+    cases = e.groupBy(F.col("user_id").cast("string").alias("query_id")).agg(F.array_sort(F.collect_list(ablation)).alias("ablations")).withColumn("full_score", F.lit(0.0))
+    return cases.where(F.exists("ablations", lambda a: a["is_evidence"]) & (F.size(F.filter("ablations", lambda a: ~a["is_evidence"])) >= F.size(F.filter("ablations", lambda a: a["is_evidence"]))))
+
+
+@_query
+def perturbation_aopc(spark, sf):
+    return analysis.perturbation_effects(_cases(spark, sf)).select("query_id", "evidence", "controls", F.round("targeted_aopc", 6).alias("targeted_aopc"))
+
+
+@_query
+def perturbation_baseline(spark, sf):
+    return analysis.perturbation_faithfulness(_cases(spark, sf), trials=100).select("query_id", *[F.round(c, 9).alias(c) for c in ("targeted_aopc", "random_aopc", "random_std", "gap")])
+
+
+_AS_RUN = {"signup": "run_start", "view": "step_start", "click": "step_complete", "purchase": "run_complete", "error": "error"}
+
+
+def _run_events(spark, sf):
+    kind = F.create_map(*[F.lit(x) for pair in _AS_RUN.items() for x in pair])
+    e = table(spark, sf, "events")
+    user = F.col("user_id").cast("string")
+    return e.select(user.alias("run_key"), F.col("event_id").alias("seq"), kind[F.col("event_type")].alias("type"), user.alias("run_id"), (F.col("event_id") % 6 + 1).cast("int").alias("step"), F.lit("failed").alias("message"))
+
+
+@_query
+def run_event_fold(spark, sf):
+    folded = runs.fold_batch(_run_events(spark, sf))
+    return folded.select("run_key", "status", "events", F.size(F.map_filter("steps", lambda k, v: v == "completed")).alias("completed_steps"))
+
+
+@_query
+def run_event_plan(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("run_id"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") % 7).cast("int").alias("failed_step"))
+    return runs.planned_events(rows)
+
+
+@_query
+def sse_round_trip(spark, sf):
+    payload = F.struct(F.col("run_id"), F.col("step"), F.col("message"))
+    ordered = _run_events(spark, sf).select("run_key", "seq", sinks.sse_frames(F.col("type"), payload).alias("frame"))
+    whole = ordered.groupBy("run_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frame"))), lambda s: s["frame"]), "").alias("text"))
+    decoded = runs.decode_events(runs.sse_events(whole))
+    return decoded.groupBy("run_key", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("steps"), F.count("problem").alias("problems"))
+
+
+@_query
+def request_limits(spark, sf):
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    asked = c.select("conv_id", F.element_at("t", 1)["text"].alias("query"), F.when(F.col("conv_id") % 5 == 0, "other").otherwise("small").alias("model"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("history"))
+    return runs.request_limits(asked, ["small"], query_chars=400, turns=4, history_chars=1500).select("conv_id", "rejection")
+
+
+@_query
+def feature_standardise(spark, sf):
+    found = analysis.standardised(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+    return found.select("feature", F.round("mean", 4).alias("mean"), F.round("scale", 4).alias("scale"))
+
+
+@_query
+def vector_checks(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("v", F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 3 == 1, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding")))
+    return e.select("vec_id", vectors.vector_problem(F.col("v"), 64).alias("problem"))
+
+
+@_query
+def query_seeds(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", numbers.query_seed(17, F.col("c_name")).cast("string").alias("seed"))
+
+
+@_query
+def public_hits(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", *cands.public_hit(F.col("text"), F.lit(1.0) / (F.col("doc_id") + 1))).select("doc_id", F.sha2(F.col("snippet").cast("binary"), 256).alias("snippet_sha256"), F.length("snippet").alias("chars"))
+
+
+@_query
+def resolve_queries(spark, sf):
+    c = table(spark, sf, "conversations")
+    known = c.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    asked = c.select(F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.when(F.col("turn") % 2 == 0, F.concat_ws("-", "conv_id", "turn")).alias("query_id"), F.concat(F.lit("  "), F.col("text"), F.lit("\n")).alias("query"))
+    return cands.resolve_query(asked, known)
+
+
+@_query
+def nonempty_views(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.col("lang")).alias("a"), F.col("source").alias("b"))
+    return d.select("doc_id", sinks.nonempty_map(["a", "b"]).alias("m")).select("doc_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+
+
+@_query
+def hit_texts(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", text.hit_text(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.lit("  ")).otherwise(F.col("p_brand")), F.lit(None).cast("string"), F.col("p_type")).alias("text"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracle import SQL
+
+    return dict(SQL)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +25,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, unless their PYTHONPATH has it already."""
+    package = Path(__file__).resolve().parent
+    context = spark.sparkContext
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(package.parent) in known or getattr(context, "_lexispark_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lexispark-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._lexispark_shipped = True
