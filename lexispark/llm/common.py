@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship  # noqa: F401  (operators take it from here)
+
 #: A word, for every operator that counts or compares words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,16 +73,22 @@ def hex_bits(text: Column, start: int, digits: int) -> Column:
     return F.conv(F.substring(text, start, digits), 16, 10).cast("long")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, unless their PYTHONPATH has it already."""
-    package = Path(__file__).resolve().parents[1]
-    context = spark.sparkContext
-    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
-    if str(package.parent) in known or getattr(context, "_lexispark_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="lexispark-code-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(package.rglob("*.py")):
-            out.write(source, source.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._lexispark_shipped = True
+#: Bitmaps of ``maybe_in``: BUCKETS rows of 4 KB at most, whatever the corpus.
+BUCKETS, _BITS = 1_024, 32_768
+
+
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str, other: bool = False) -> DataFrame:
+    """The rows whose ``key`` may be among those of ``wanted``, so that a join need not deal out the rest.
+
+    The filter is a broadcast bitmap of bounded size: it never loses a row, and
+    with many more keys than bits it only lets more rows pass. ``other``: the
+    rows that are surely not among them, null keys included.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(BUCKETS * _BITS))
+    bucket = lambda p: (p / _BITS).cast("int").alias("__bucket")
+    bitmaps = wanted.select(place.alias("p")).groupBy(bucket(F.col("p"))).agg(F.bitmap_construct_agg((F.col("p") % _BITS).cast("long")).alias("__bits"))
+    bit = F.col("__place") % _BITS
+    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("__place", place).withColumn("__bucket", bucket(F.col("__place")))
+    found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return placed.join(F.broadcast(bitmaps), "__bucket", "left").where(~found if other else found).drop("__place", "__bucket", "__bits")

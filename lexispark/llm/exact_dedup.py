@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, release, written
+from .common import maybe_in, new_path, release, written
 
 #: Rows of one group that are compared with one copy of the group's text.
 SALT_ROWS = 2_000
@@ -83,24 +83,6 @@ def _state(spark: SparkSession, arrivals_path: str, schema) -> DataFrame:
                 spark.conf.set(k, v)
 
 
-#: Bitmaps of the hits' digests: BUCKETS rows of 4 KB at most, whatever the corpus.
-BUCKETS, _BITS = 1_024, 32_768
-
-
-def _maybe(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """The rows whose digest may be a hit, so that texts that came once are not dealt out.
-
-    The filter is a bitmap of bounded size: it never loses a hit, and with many
-    more hits than bits it only lets more rows pass.
-    """
-    place = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS * _BITS))
-    bitmaps = hits.select(place.alias("p")).groupBy((F.col("p") / _BITS).cast("int").alias("__bucket")).agg(F.bitmap_construct_agg((F.col("p") % _BITS).cast("long")).alias("__bits"))
-    bit = F.col("__place") % _BITS
-    byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    placed = rows.withColumn("__place", place).withColumn("__bucket", (F.col("__place") / _BITS).cast("int"))
-    return placed.join(F.broadcast(bitmaps), "__bucket").where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("__place", "__bucket", "__bits")
-
-
 def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
     """Located rows; slim rows; the state; rows of collided digests grouped by text, or None."""
     spark = docs.sparkSession
@@ -112,7 +94,7 @@ def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFr
     state = written(_state(spark, arrivals, spark.read.parquet(arrivals).schema), "dedup-groups")
     hits = written(state.where("group_size > 1"), "dedup-hits")
     members = written(
-        _maybe(base.select("doc_id", "__file", "__row", text.alias("__text"), digest(text).alias("digest")), hits)
+        maybe_in(base.select("doc_id", "__file", "__row", text.alias("__text"), digest(text).alias("digest")), hits, "digest")
         .join(hits.hint("merge"), "digest")
         .withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
         .withColumn("salt", F.pmod(F.xxhash64("__file", "__row"), F.col("salts")).cast("int")),

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import release, ship, written
+from .common import maybe_in, release, ship, written
 from .graph import components
 
 ROWS, BANDS = 6, 48
@@ -138,7 +138,7 @@ def _full_sets(width: int):
 def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node"), "near-ends")
-    asked = texts.join(ends, texts["__id"] == ends["doc_id"]).select("node", "__text")
+    asked = maybe_in(texts.withColumnRenamed("__id", "doc_id"), ends, "doc_id").join(ends.hint("merge"), "doc_id").select("node", "__text")
     run, schema = _full_sets(width)
     # Rows that share a doc_id but not a text are told apart by their digest before; one text a node is asked for.
     sets = written(asked.mapInArrow(run, schema), "near-sets").dropDuplicates(["node"])
