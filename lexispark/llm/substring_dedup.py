@@ -32,11 +32,11 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import release, ship, written
+from .common import maybe_in, release, ship, written
 
 LENGTH, GRAM = 20, 8
 
@@ -140,27 +140,32 @@ def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _order(doc_id: Column | str) -> Column:
+    """The id by which documents are ordered; null is before all others."""
+    return F.coalesce(doc_id, F.lit(-(2**63)))
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """For each document with something to remove: __id, fingerprints that an earlier document has, fingerprints it repeats itself."""
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     anchors = written(texts.mapInArrow(_anchors, "id long, anchors array<long>"), "sub-anchors")
-    each = anchors.select("id", F.explode("anchors").alias("anchor"))
+    each = anchors.select(_order("id").alias("id"), F.explode("anchors").alias("anchor"))
     seeds = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "sub-seeds")
     release(spark)
     by_doc = each.join(seeds, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     by_doc = written(by_doc, "sub-seeded")
     release(spark)
-    asked = texts.join(by_doc, texts["id"].eqNullSafe(by_doc["id"])).select(texts["id"], "anchors", "text")
+    asked = maybe_in(texts.withColumn("id", _order("id")), by_doc, "id").join(by_doc.hint("merge"), "id").select("id", "anchors", "text")
     prints = written(asked.mapInArrow(_seeded, "id long, prints array<long>, twice array<long>"), "sub-prints")
     release(spark)
-    rows = prints.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), F.explode("prints").alias("print"))
+    rows = prints.select("id", F.explode("prints").alias("print"))
     firsts = written(rows.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("print", "first"), "sub-firsts")
     release(spark)
     later = rows.join(firsts, "print").where("id > first").groupBy("id").agg(F.collect_set("print").alias("earlier"))
     later = written(later, "sub-later")
-    own = prints.where(F.size("twice") > 0).select(F.coalesce("id", F.lit(-(2**63))).alias("id"), "twice").groupBy("id").agg(F.flatten(F.collect_list("twice")).alias("twice"))
+    own = prints.where(F.size("twice") > 0).select("id", "twice").groupBy("id").agg(F.flatten(F.collect_list("twice")).alias("twice"))
     both = written(later.join(own, "id", "full").withColumnRenamed("id", "__id"), "sub-repeats")
     release(spark)
     return both
@@ -169,6 +174,9 @@ def repeats(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     found = repeats(docs)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("__text"))
-    joined = texts.join(found, F.coalesce(texts["doc_id"], F.lit(-(2**63))) == found["__id"], "left").select("doc_id", "earlier", "twice", "__text")
-    return joined.mapInArrow(_finished, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _order(docs["doc_id"].cast("long")).alias("__id"), docs["text"].cast("string").alias("__text"))
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    some = maybe_in(texts, found, "__id").join(found.hint("merge"), "__id", "left").select("doc_id", "earlier", "twice", "__text")
+    empty = F.lit(None).cast("array<long>")
+    rest = maybe_in(texts, found, "__id", other=True).select("doc_id", empty.alias("earlier"), empty.alias("twice"), "__text")
+    return some.mapInArrow(_finished, schema).union(rest.mapInArrow(_finished, schema))
