@@ -76,7 +76,7 @@ class Model:
         self.floor = np.full(len(languages), FLOOR)
         self.rows = {p: i for i, p in enumerate(table)}
         # Rows of the pieces, of a string that is no piece, and of a letter that is none.
-        self.matrix = np.array([*table.values(), np.zeros(len(languages)), self.floor]).reshape(-1, len(languages))
+        self.matrix = np.array([*table.values(), np.zeros(len(languages)), self.floor]).reshape(len(table) + 2, len(languages))
         self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(languages)))
 
