@@ -193,3 +193,26 @@ def historical_scores(lines: DataFrame, model_key: str) -> tuple[DataFrame, Data
     own = lines.where(F.col("model_key") == model_key)
     failed = own.where(~F.coalesce("ok", F.lit(False))).select(F.lit("batch ok").alias("rule"), F.col("batch_id").cast("string").alias("key"), F.lit("batch failed").alias("message"))
     return own.select("batch_id", F.explode("scores").alias("s")).select("batch_id", "s.*"), failed
+
+
+def checkpoint_violations(saved: DataFrame, batches: DataFrame) -> DataFrame:
+    """Saved batches (query_id, batch, batch_sha256, candidate_id) that are no current batch, or whose rows differ."""
+    keys = ["query_id", "batch", "batch_sha256"]
+    stale = integrity.missing(saved, batches, keys, "stale batch")
+    own = batches.join(saved.select(*keys).distinct(), keys, "left_semi")
+    rows = [*keys, "candidate_id"]
+    return integrity.all_of(stale, integrity.duplicates(saved, ["candidate_id"]), integrity.missing(own, saved, rows, "incomplete batch"))
+
+
+def batch_shape(batched: DataFrame, queries: int, batches: int, candidates: int) -> DataFrame:
+    """Violations unless the batches have exactly these counts and each query's ranks are 1..n."""
+    facts = batched.agg(F.count_distinct("query_id").alias("q"), F.count_distinct("query_id", "batch").alias("b"), F.count(F.lit(1)).alias("c"))
+    counts = {"queries": F.col("q") == queries, "batches": F.col("b") == batches, "candidates": F.col("c") == candidates}
+    return integrity.all_of(integrity.record_rules(facts, [], counts), integrity.contiguous(batched, ["query_id"], "rank"))
+
+
+def same_settings(saved: dict, now: dict) -> None:
+    """A run may only be resumed with the settings and inputs it was begun with."""
+    changed = sorted(k for k in {*saved, *now} if saved.get(k) != now.get(k))
+    if changed:
+        raise integrity.IntegrityError("resumed with other settings: " + ", ".join(changed))

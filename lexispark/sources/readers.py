@@ -191,3 +191,35 @@ def positive(table: dict, name: str, default: int) -> int:
     if value <= 0:
         raise ValueError(f"{name} must be positive")
     return value
+
+
+def retrieval_summary(spark: SparkSession, path: str | None) -> DataFrame:
+    """(query_id, query, meta_query, keywords_query) of a JSON array; no path gives no rows."""
+    schema = "query_id string, query string, meta_query string, keywords_query string"
+    return json_document(spark, path, schema) if path else spark.createDataFrame([], schema)
+
+
+def analysis_tables(spark: SparkSession, queries: str, retrieval: str, predictions: str) -> DataFrame:
+    """(query_id, gold, retrieved, predicted) of three JSON-lines files that hold the same queries."""
+    parts = [(queries, QUERY_GOLD, "gold_citations", "gold"), (retrieval, RETRIEVAL, "retrieved_citations", "retrieved"), (predictions, PREDICTION, "predicted_citations", "predicted")]
+    tables = [json_lines(spark, p, s).select("query_id", F.col(c).alias(n)) for p, s, c, n in parts]
+    checks = []
+    for df in tables:
+        name = df.columns[1]
+        checks += [integrity.non_empty(df), integrity.duplicates(df, ["query_id"]), integrity.record_rules(df, ["query_id"], integrity.gold_rules(name))]
+    for df in tables[1:]:
+        checks += [integrity.missing(tables[0], df, ["query_id"], "query is missing"), integrity.missing(df, tables[0], ["query_id"], "unknown query")]
+    integrity.require(*checks)
+    return tables[0].join(tables[1], "query_id").join(tables[2], "query_id")
+
+
+def gate_candidates(spark: SparkSession, path: str) -> DataFrame:
+    df = json_lines(spark, path, GATE_CANDIDATE)
+    integrity.require(integrity.record_rules(df, ["query_id", "citation"], integrity.gate_candidate_rules()), integrity.surrogate_table_rules(df))
+    return df
+
+
+def perturbation_cases(spark: SparkSession, path: str) -> DataFrame:
+    df = json_lines(spark, path, PERTURBATION)
+    integrity.require(integrity.non_empty(df), integrity.duplicates(df, ["query_id"]), integrity.record_rules(df, ["query_id"], integrity.perturbation_rules()))
+    return df

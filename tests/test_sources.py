@@ -79,3 +79,52 @@ def test_tree_digest_orders_by_path_component(spark, tmp_path):
 def test_missing_files_are_told(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="laws is missing"):
         readers.exists(spark, str(tmp_path / "none"), "laws")
+
+
+def test_settings_files_and_providers(spark, tmp_path):
+    from lexispark.sources import providers, settings
+
+    env = {"SERVICE_BASE_URL": "https://x", "SERVICE_TOKEN": "t" * 16, "SERVICE_MODELS": "a, b,a", "SERVICE_ORIGINS": "https://o", "SERVICE_RERANK_N": "7"}
+    got = settings.ServiceSettings.from_environment(env)
+    assert got.models == ("a", "b") and got.rerank_n == 7
+    for change in ({"SERVICE_TOKEN": ""}, {"SERVICE_RERANK_N": "0"}, {"SERVICE_ORIGINS": "*"}, {"SERVICE_BASE_URL": "http://x"}):
+        with pytest.raises(ValueError):
+            settings.ServiceSettings.from_environment(env | change)
+    (tmp_path / "b.parquet").write_text("")
+    (tmp_path / "a.parquet").write_text("")
+    assert [p.rsplit("/", 1)[1] for p in settings.corpus_files(spark, str(tmp_path), "*.parquet")] == ["a.parquet", "b.parquet"]
+    with pytest.raises(FileNotFoundError):
+        settings.corpus_files(spark, str(tmp_path), "*.csv")
+    body = lambda text, reason="stop": json.dumps({"choices": [{"message": {"content": text}, "finish_reason": reason}]})
+    assert providers.content_of(body("<think>x</think> yes")) == "yes"
+    for bad in ("{}", body(" "), body("x", "length"), body("<think>x"), body("a</think>")):
+        with pytest.raises(providers.ProviderError):
+            providers.content_of(bad)
+    with pytest.raises(ValueError):
+        providers.ChatEndpoint("http://x", "k", "m")
+    assert providers.ChatEndpoint("https://x/v1/", "k", "m").request("s", "u").full_url == "https://x/v1/chat/completions"
+
+
+def test_analysis_inputs(spark, tmp_path):
+    write = lambda name, rows: (tmp_path / name).write_text("\n".join(map(json.dumps, rows)))
+    write("q", [{"query_id": "a", "query": "x", "gold_citations": ["g"]}])
+    write("r", [{"query_id": "a", "retrieved_citations": ["g", "h"]}])
+    write("p", [{"query_id": "a", "predicted_citations": []}])
+    paths = [str(tmp_path / n) for n in "qrp"]
+    assert readers.analysis_tables(spark, *paths).first()["retrieved"] == ["g", "h"]
+    write("p", [{"query_id": "b", "predicted_citations": []}])
+    with pytest.raises(integrity.IntegrityError):
+        readers.analysis_tables(spark, *paths)
+
+
+def test_batches_and_checkpoints(spark):
+    from lexispark.operators import candidates, verify
+
+    rows = candidates.batches(spark.createDataFrame([("q", f"q::{i}", i) for i in (1, 2, 3)], "query_id string, candidate_id string, rank int"), 2)
+    assert verify.batch_shape(rows, 1, 2, 3).count() == 0 and verify.batch_shape(rows, 1, 2, 4).count() == 1
+    now = rows.selectExpr("query_id", "batch", "concat('h', batch) as batch_sha256", "candidate_id")
+    assert verify.checkpoint_violations(now.where("batch = 0"), now).count() == 0
+    assert {r["rule"] for r in verify.checkpoint_violations(now.where("candidate_id = 'q::1'"), now).collect()} == {"incomplete batch"}
+    assert {r["rule"] for r in verify.checkpoint_violations(now.withColumn("batch_sha256", now["candidate_id"]), now).collect()} == {"stale batch"}
+    with pytest.raises(integrity.IntegrityError):
+        verify.same_settings({"a": 1}, {"a": 2})
