@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidied
 
 #: Pre-tokens that a worker remembers.
 CACHE = 200_000
@@ -144,7 +144,7 @@ def encode_table(docs: DataFrame, path: str) -> DataFrame:
 
     texts = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts.mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -169,7 +169,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     texts = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, n_tokens long, token_ids array<int>, decoded_sha256 string")
+    return texts.mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, token_ids array<int>, decoded_sha256 string")
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -184,7 +184,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
 
     texts = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, token_ids array<int>")
+    return texts.mapInArrow(tidied(run), f"doc_id {kind}, token_ids array<int>")
 
 
 def decode_ids(tokens: DataFrame, path: str) -> DataFrame:
@@ -198,4 +198,4 @@ def decode_ids(tokens: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", F.col("token_ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return tokens.select("doc_id", F.col("token_ids")).mapInArrow(tidied(run), f"doc_id {kind}, text string")

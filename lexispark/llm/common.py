@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship  # noqa: F401  (operators take it from here)
+from ..session import ship as ship_code
 
 #: A word, for every operator that counts or compares words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,3 +96,34 @@ def maybe_in(rows: DataFrame, wanted: DataFrame, key: str, other: bool = False)
     placed = rows.withColumn("__place", place).withColumn("__bucket", bucket(F.col("__place")))
     found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
     return placed.join(F.broadcast(bitmaps), "__bucket", "left").where(~found if other else found).drop("__place", "__bucket", "__bits")
+
+
+#: Rows of an Arrow batch between the JVM and Python: texts may be long, and each batch is held on both sides.
+BATCH_ROWS = 512
+
+
+def ship(spark: SparkSession) -> None:
+    """Prepare a session for Python workers: importable code, batches of bounded rows."""
+    ship_code(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+
+
+def tidied(run):
+    """A function over a task's batches that tidies up when the task has read its last one."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        tidy()
+
+    return wrapped
+
+
+def tidy() -> None:
+    """Give memory that a task's Python code has freed back to the system; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boosting
-from .common import ship
+from .common import ship, tidied
 
 #: Pages that the model is trained on, and the seed that makes them.
 EXAMPLES, SEED = 500, 20_240
@@ -433,4 +433,4 @@ def extract(pages: DataFrame) -> DataFrame:
 
     rows = pages.select("page_id", "url", pages["html"].cast("string").alias("html"))
     kinds = [rows.schema[c].dataType.simpleString() for c in ("page_id", "url")]
-    return rows.mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    return rows.mapInArrow(tidied(run), f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")

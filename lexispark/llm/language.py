@@ -35,12 +35,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import ship, tidy
 
 #: Labelled documents of a language that are learnt from, words of a language, rounds of training.
 SAMPLE, WORDS, ROUNDS = 400, 8_000, 3
 #: Words that a worker remembers; texts it looks at together.
-CACHE, TEXTS = 400_000, 128
+CACHE, TEXTS = 200_000, 128
 FLOOR = 1e-7
 #: Letters of a word that are looked at together; longer runs of letters are scored in parts.
 PART = 24
@@ -124,12 +124,16 @@ class Model:
                 out[ids] = np.log(sums[n])
         return out
 
+    def forget(self) -> None:
+        """Drop remembered words."""
+        self.known, self.scores = {}, np.zeros((0, len(self.languages)))
+
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
         cut = [words_of(t) if t and self.languages else [] for t in texts]
         new = list(set().union(*cut).difference(self.known))
         if len(self.known) + len(new) > CACHE:
-            self.known, self.scores = {}, self.scores[:0]
+            self.forget()
             new = list(set().union(*cut))
         if new:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
@@ -228,6 +232,11 @@ def predict(docs: DataFrame, model: Model, key: str) -> DataFrame:
             _models.clear()
             _models[number] = Model(*sent.value)
         own = _models[number]
+        yield from predicted(own, batches)
+        own.forget()
+        tidy()
+
+    def predicted(own: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):
                 part = batch.slice(at, TEXTS)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import maybe_in, release, ship, written
+from .common import maybe_in, release, ship, tidied, written
 from .graph import components
 
 ROWS, BANDS = 6, 48
@@ -120,7 +120,7 @@ def _sketches(width: int):
                     schema=schema,
                 )
 
-    return run, "doc_id long, node long, n long, digest binary, keys array<long>"
+    return tidied(run), "doc_id long, node long, n long, digest binary, keys array<long>"
 
 
 def _full_sets(width: int):
@@ -132,7 +132,7 @@ def _full_sets(width: int):
                 sets = shingle_sets([r[1] for r in part], width)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
-    return run, "node long, shingles array<long>"
+    return tidied(run), "node long, shingles array<long>"
 
 
 def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, per
     ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node"), "near-ends")
     asked = maybe_in(texts.withColumnRenamed("__id", "doc_id"), ends, "doc_id").join(ends.hint("merge"), "doc_id").select("node", "__text")
     run, schema = _full_sets(width)
-    # Rows that share a doc_id but not a text are told apart by their digest before; one text a node is asked for.
+    # Rows that share a doc_id are one node, and one of their texts is asked for.
     sets = written(asked.mapInArrow(run, schema), "near-sets").dropDuplicates(["node"])
     sets = written(sets, "near-sets")
     release(texts.sparkSession)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import maybe_in, release, ship, written
+from .common import maybe_in, release, ship, tidied, written
 
 LENGTH, GRAM = 20, 8
 
@@ -71,6 +71,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield (*row[:-1], row[-1] or b"")
 
 
+@tidied
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct anchors of each document; one that has several places in it comes twice."""
     for batch in batches:
@@ -85,6 +86,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "anchors"])
 
 
+@tidied
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of each document's seeded windows, and of those that come more than once in it."""
     for batch in batches:
@@ -128,6 +130,7 @@ def kept_words(text: bytes, earlier: list[int] | None, twice: list[int] | None)
     return len(words), list(compress(words, ~gone))
 
 
+@tidied
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
