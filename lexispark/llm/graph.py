@@ -14,17 +14,18 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links every node's larger neighbours to its smallest one, then
     its smaller neighbours likewise, and writes the edges; it ends when a round
     changes none. Rounds grow with the logarithm of the longest chain. Minima
-    are combined before the shuffle, so a node with very many edges is no
-    single task's work.
+    are combined before the shuffle and written, so that the joins back to the
+    edges are plain ones whose skewed partitions Spark splits: a node with very
+    many edges is no single task's work.
     """
     now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges")
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         # Of large's edges u > v: link u and its neighbours to the smallest neighbour.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "edges")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = written(small.where("u != v").distinct(), "edges")
         new = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
