@@ -7,7 +7,8 @@ price) on a bounded sample; every vector of the table is then indexed, in the
 list of its nearest centroid and of up to REPLICAS - 1 others that are hardly
 farther (boundary vectors). A query walks an in-memory graph of the centroids
 (nearest neighbours and a few far links), keeps those whose distance is within
-a ratio of the nearest's, and searches their lists.
+a ratio of the nearest's (and the LEAST nearest ones in any case, as a query
+may lie on a centroid), and searches their lists.
 
 Bounds: centroids and graph are MAX_LISTS rows at most and are broadcast. Lists
 longer than PART vectors are dealt in parts, queries of a list in blocks of
@@ -35,8 +36,8 @@ from .common import ship, written
 LIST, MAX_LISTS, SAMPLE = 160, 16_384, 65_536
 #: Lists that may hold a vector, and how much farther than the nearest they may be.
 REPLICAS, CLOSURE = 4, 1.12
-#: Lists that a query searches at most, and how much farther than the nearest they may be.
-PROBES, RATIO = 96, 1.6
+#: Lists that a query searches at most and at least, and how much farther than the nearest the others may be.
+PROBES, LEAST, RATIO = 96, 16, 1.6
 #: Links of a centroid, breadth of the walk; vectors of a part and queries of a block.
 LINKS, BREADTH, PART = 24, 128, 1_024
 
@@ -168,7 +169,7 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: in
             row, lists = [], []
             for i in range(len(q)):
                 ids, d = walk(q[i], c, graph)
-                own = ids[d <= d[0] * RATIO][:probes]
+                own = ids[(d <= d[0] * RATIO) | (np.arange(len(d)) < LEAST)][:probes]
                 row.append(np.full(len(own), i))
                 lists.append(own)
             taken = batch.take(pa.array(np.concatenate(row))) if row else batch
