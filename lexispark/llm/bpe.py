@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, tidied
+from .common import ship, tidied, tidy
 
 #: Pre-tokens that a worker remembers.
-CACHE = 200_000
+CACHE = 150_000
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -124,6 +124,7 @@ _loaded: dict[str, Bpe] = {}
 def load(path: str) -> Bpe:
     if path not in _loaded:
         _loaded[path] = Bpe(path)
+        tidy()
     return _loaded[path]
 
 

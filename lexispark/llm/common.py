@@ -43,15 +43,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, rows: int | None = None, each: int = 20_000) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     This cuts the lineage in a way that survives lost executors, and the
-    reader knows the size, so the planner broadcasts what is small only.
+    reader knows the size, so the planner broadcasts what is small only. With
+    ``rows``, a measure that grows with the work, the last stage has a task and
+    a file for ``each`` of them (4 at least), so small tables are few files.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(4, rows // each))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,12 +112,14 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(rows, BATCH_ROWS)
 
 
-def tidied(run):
-    """A function over a task's batches that tidies up when the task has read its last one."""
+def tidied(run, forget=None):
+    """A function over a task's batches that tidies up, after ``forget``, when the task has read its last one."""
 
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
+        if forget:
+            forget()
         tidy()
 
     return wrapped

@@ -89,20 +89,23 @@ def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFr
     base = located(docs)
     text = F.coalesce(base["text"].cast("string"), F.lit(""))
     slim = written(base.select(base["doc_id"], "__file", "__row", digest(text).alias("digest"), F.sha2(F.encode(text, "utf-8"), 256).alias("text_sha256")), "dedup-slim")
+    size = slim.count()
     arrivals = new_path(spark, "dedup-arrivals")
     slim.select("digest", "doc_id", F.col("__file").alias("file"), F.col("__row").alias("row")).write.parquet(arrivals)
-    state = written(_state(spark, arrivals, spark.read.parquet(arrivals).schema), "dedup-groups")
-    hits = written(state.where("group_size > 1"), "dedup-hits")
+    state = written(_state(spark, arrivals, spark.read.parquet(arrivals).schema), "dedup-groups", rows=size)
+    hits = written(state.where("group_size > 1"), "dedup-hits", rows=size)
     members = written(
         maybe_in(base.select("doc_id", "__file", "__row", text.alias("__text"), digest(text).alias("digest")), hits, "digest")
         .join(hits.hint("merge"), "digest")
         .withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
         .withColumn("salt", F.pmod(F.xxhash64("__file", "__row"), F.col("salts")).cast("int")),
         "dedup-members",
+        rows=size,
+        each=4_000,
     )
     stays = (F.col("keeper.file") == F.col("__file")) & (F.col("keeper.row") == F.col("__row"))
     kept = members.where(stays).select("digest", F.col("__text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    differ = written(members.join(kept, ["digest", "salt"]).where(F.col("__text") != F.col("kept_text")).select("digest").distinct(), "dedup-collisions")
+    differ = written(members.join(kept, ["digest", "salt"]).where(F.col("__text") != F.col("kept_text")).select("digest").distinct(), "dedup-collisions", rows=size, each=4_000)
     if differ.isEmpty():
         return base, slim, state, None
     apart = members.join(differ, "digest", "left_semi")

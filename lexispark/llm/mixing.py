@@ -87,12 +87,14 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
         ),
         "mix-rows",
     )
+    size = slim.count()
     sizes = slim.groupBy("__sk", "source").agg(F.sum("__size").alias("__source_size"), F.count(F.lit(1)).alias("__n"))
     sources = written(
         _targets(sizes, weights, cap)
         .withColumn("__whole", F.when(F.col("__source_size") > 0, F.least(F.lit(cap), F.floor(F.col("__target") / F.col("__source_size")))).otherwise(0).cast("long"))
         .withColumn("__rest", F.col("__target") - (F.col("__whole") * F.col("__source_size")).cast("double")),
         "mix-sources",
+        rows=size,
     )
     rows = _place(slim.drop("source").join(sources, "__sk")).where(F.col("__k").isNotNull())
 
@@ -100,7 +102,7 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
         """The first cell of each source at whose end the words exceed the remainder, and the words before it."""
         upto = Window.partitionBy("__sk").orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
         over = cells.withColumn("__upto", F.sum("__words").over(upto)).where(F.col("__base") + F.col("__upto") > F.col("__rest"))
-        return written(over.groupBy("__sk").agg(F.min_by(F.struct("__cell", (F.col("__base") + F.col("__upto") - F.col("__words")).alias("base")), "__cell").alias("c")).select("__sk", F.col("c.__cell").alias("__cut"), F.col("c.base").alias("__base")), label)
+        return written(over.groupBy("__sk").agg(F.min_by(F.struct("__cell", (F.col("__base") + F.col("__upto") - F.col("__words")).alias("base")), "__cell").alias("c")).select("__sk", F.col("c.__cell").alias("__cut"), F.col("c.base").alias("__base")), label, rows=size)
 
     first = rows.withColumn("__cell", F.shiftright("__k", 30)).groupBy("__sk", "__cell").agg(F.sum("__size").alias("__words"), F.first("__rest").alias("__rest")).withColumn("__base", F.lit(0).cast("long"))
     one = cut(first, "mix-cut")
@@ -121,11 +123,12 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = MAX
         .withColumn("__gap", F.col("__rest") - F.coalesce("__got", "__base").cast("double"))
         .select("__sk", "__source_size", "__n", "__target", "__whole", "__stop", "__gap"),
         "mix-edge",
+        rows=size,
     )
     open_rows = _place(slim.drop("source").join(edge, "__sk")).where(F.col("__k").isNotNull() & (F.struct("__k", "__h") >= F.col("__stop")))
     off = F.abs(F.col("__gap") - F.col("__size"))
     fill = open_rows.where(off < F.col("__gap")).groupBy("__sk").agg(F.min(F.struct(off.alias("off"), F.col("__k").alias("__k"), F.col("__h").alias("__h"))).alias("f"))
-    plan = written(edge.join(fill, "__sk", "left").withColumn("__fill", F.struct(F.col("f.__k"), F.col("f.__h"))).drop("f", "__gap"), "mix-plan")
+    plan = written(edge.join(fill, "__sk", "left").withColumn("__fill", F.struct(F.col("f.__k"), F.col("f.__h"))).drop("f", "__gap"), "mix-plan", rows=size)
     return slim.drop("source"), plan
 
 

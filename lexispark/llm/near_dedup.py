@@ -120,7 +120,7 @@ def _sketches(width: int):
                     schema=schema,
                 )
 
-    return tidied(run), "doc_id long, node long, n long, digest binary, keys array<long>"
+    return tidied(run, wordhash.forget), "doc_id long, node long, n long, digest binary, keys array<long>"
 
 
 def _full_sets(width: int):
@@ -132,24 +132,23 @@ def _full_sets(width: int):
                 sets = shingle_sets([r[1] for r in part], width)
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
-    return tidied(run), "node long, shingles array<long>"
+    return tidied(run, wordhash.forget), "node long, shingles array<long>"
 
 
-def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node"), "near-ends")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node"), "near-ends", rows=rows)
     asked = maybe_in(texts.withColumnRenamed("__id", "doc_id"), ends, "doc_id").join(ends.hint("merge"), "doc_id").select("node", "__text")
     run, schema = _full_sets(width)
     # Rows that share a doc_id are one node, and one of their texts is asked for.
-    sets = written(asked.mapInArrow(run, schema), "near-sets").dropDuplicates(["node"])
-    sets = written(sets, "near-sets")
+    sets = written(asked.mapInArrow(run, schema).dropDuplicates(["node"]), "near-sets", rows=rows, each=4_000)
     release(texts.sparkSession)
     one = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
     two = one.join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     nx, ny = F.size("x"), F.size("y")
     common = F.size(F.array_intersect("x", "y"))
     close = two.where(100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)).where(100 * common >= percent * (nx + ny - common))
-    links = written(close.select("a", "b"), "near-links")
+    links = written(close.select("a", "b"), "near-links", rows=rows, each=4_000)
     release(texts.sparkSession)
     return links
 
@@ -160,41 +159,42 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     ship(docs.sparkSession)
     run, schema = _sketches(width)
     rows = written(texts.mapInArrow(run, schema), "near-rows")
-    first = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first")
+    size = rows.count()
+    first = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first", rows=size)
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(first, "digest")
-    nodes = written(linked.where("doc_id = rep").select("doc_id", "node", "keys").dropDuplicates(["node"]), "near-nodes")
+    nodes = written(linked.where("doc_id = rep").select("doc_id", "node", "keys").dropDuplicates(["node"]), "near-nodes", rows=size)
     bands = nodes.select("node", F.explode("keys").alias("key"))
-    centres = written(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-centres")
+    centres = written(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-centres", rows=size, each=4_000)
     members = bands.join(centres, "key")
     starred = members.select("node", F.explode(F.array("lo", "hi")).alias("c")).where("node != c")
-    pairs = written(starred.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "near-pairs")
+    pairs = written(starred.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "near-pairs", rows=size, each=4_000)
     release(docs.sparkSession)
     ids = nodes.select("node", "doc_id")
-    links = _confirm(texts, ids, pairs, width, percent)
-    found = written(components(links), "near-components")
+    links = _confirm(texts, ids, pairs, width, percent, size)
+    found = written(components(links, size), "near-components", rows=size)
 
     # Second round: where a bucket still holds several components, stars from one member of each end.
     labelled = written(
-        members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-members"
+        members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-members", rows=size, each=4_000
     )
     split = labelled.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi")).where("c_lo != c_hi")
-    split = written(split, "near-split")
+    split = written(split, "near-split", rows=size, each=4_000)
     again = labelled.join(split, "key")
-    heads = written(again.groupBy("key").agg(F.min(F.when(F.col("component") == F.col("c_lo"), F.col("node"))).alias("h1"), F.max(F.when(F.col("component") == F.col("c_hi"), F.col("node"))).alias("h2"), F.max(F.when(F.col("component") == F.col("c_lo"), F.col("node"))).alias("h3"), F.min(F.when(F.col("component") == F.col("c_hi"), F.col("node"))).alias("h4")), "near-heads")
+    heads = written(again.groupBy("key").agg(F.min(F.when(F.col("component") == F.col("c_lo"), F.col("node"))).alias("h1"), F.max(F.when(F.col("component") == F.col("c_hi"), F.col("node"))).alias("h2"), F.max(F.when(F.col("component") == F.col("c_lo"), F.col("node"))).alias("h3"), F.min(F.when(F.col("component") == F.col("c_hi"), F.col("node"))).alias("h4")), "near-heads", rows=size, each=4_000)
     more = (
         labelled.join(split, "key").join(heads, "key")
         .select("node", "component", F.explode(F.array(F.struct(F.col("c_lo").alias("k"), F.col("h1").alias("c")), F.struct(F.col("c_hi").alias("k"), F.col("h2").alias("c")), F.struct(F.col("c_lo").alias("k"), F.col("h3").alias("c")), F.struct(F.col("c_hi").alias("k"), F.col("h4").alias("c")))).alias("s"))
         .where(F.col("component") != F.col("s.k"))
         .select(F.least("node", "s.c").alias("a"), F.greatest("node", "s.c").alias("b")).distinct()
     )
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs", rows=size, each=4_000)
     if not more.isEmpty():
-        links = links.union(_confirm(texts, ids, more, width, percent))
-        found = written(components(links), "near-components")
+        links = links.union(_confirm(texts, ids, more, width, percent, size))
+        found = written(components(links, size), "near-components", rows=size)
 
     named = found.join(ids, "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    labels = written(named.join(least, "component").select(F.col("doc_id").alias("rep"), "least"), "near-labels")
+    labels = written(named.join(least, "component").select(F.col("doc_id").alias("rep"), "least"), "near-labels", rows=size)
     joined = rows.join(first, "digest", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     joined = joined.select("doc_id", "n", "rep").join(labels, "rep", "left")
     component = F.coalesce("least", "rep")

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -71,7 +72,7 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
         yield (*row[:-1], row[-1] or b"")
 
 
-@tidied
+@partial(tidied, forget=wordhash.forget)
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct anchors of each document; one that has several places in it comes twice."""
     for batch in batches:
@@ -86,7 +87,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["id", "anchors"])
 
 
-@tidied
+@partial(tidied, forget=wordhash.forget)
 def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints of each document's seeded windows, and of those that come more than once in it."""
     for batch in batches:
@@ -130,7 +131,7 @@ def kept_words(text: bytes, earlier: list[int] | None, twice: list[int] | None)
     return len(words), list(compress(words, ~gone))
 
 
-@tidied
+@partial(tidied, forget=wordhash.forget)
 def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -154,22 +155,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     ship(spark)
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"))
     anchors = written(texts.mapInArrow(_anchors, "id long, anchors array<long>"), "sub-anchors")
+    size = anchors.count()
     each = anchors.select(_order("id").alias("id"), F.explode("anchors").alias("anchor"))
-    seeds = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "sub-seeds")
+    seeds = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "sub-seeds", rows=size, each=2_000)
     release(spark)
     by_doc = each.join(seeds, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
-    by_doc = written(by_doc, "sub-seeded")
+    by_doc = written(by_doc, "sub-seeded", rows=size, each=2_000)
     release(spark)
     asked = maybe_in(texts.withColumn("id", _order("id")), by_doc, "id").join(by_doc.hint("merge"), "id").select("id", "anchors", "text")
-    prints = written(asked.mapInArrow(_seeded, "id long, prints array<long>, twice array<long>"), "sub-prints")
+    prints = written(asked.mapInArrow(_seeded, "id long, prints array<long>, twice array<long>"), "sub-prints", rows=size, each=2_000)
     release(spark)
     rows = prints.select("id", F.explode("prints").alias("print"))
-    firsts = written(rows.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("print", "first"), "sub-firsts")
+    firsts = written(rows.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("print", "first"), "sub-firsts", rows=size, each=2_000)
     release(spark)
     later = rows.join(firsts, "print").where("id > first").groupBy("id").agg(F.collect_set("print").alias("earlier"))
-    later = written(later, "sub-later")
+    later = written(later, "sub-later", rows=size, each=2_000)
     own = prints.where(F.size("twice") > 0).select("id", "twice").groupBy("id").agg(F.flatten(F.collect_list("twice")).alias("twice"))
-    both = written(later.join(own, "id", "full").withColumnRenamed("id", "__id"), "sub-repeats")
+    both = written(later.join(own, "id", "full").withColumnRenamed("id", "__id"), "sub-repeats", rows=size, each=2_000)
     release(spark)
     return both
 
