@@ -57,10 +57,13 @@ def written(df: DataFrame, label: str, rows: int | None = None, each: int = 20_0
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a written table that no later step reads."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def drop(*tables: DataFrame) -> None:
+    """Remove written tables that no later step reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import maybe_in, release, ship, tidied, written
+from .common import drop, maybe_in, release, ship, tidied, written
 
 LENGTH, GRAM = 20, 8
 
@@ -161,9 +161,11 @@ def repeats(docs: DataFrame) -> DataFrame:
     release(spark)
     by_doc = each.join(seeds, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
     by_doc = written(by_doc, "sub-seeded", rows=size, each=2_000)
+    drop(anchors, seeds)
     release(spark)
     asked = maybe_in(texts.withColumn("id", _order("id")), by_doc, "id").join(by_doc.hint("merge"), "id").select("id", "anchors", "text")
     prints = written(asked.mapInArrow(_seeded, "id long, prints array<long>, twice array<long>"), "sub-prints", rows=size, each=2_000)
+    drop(by_doc)
     release(spark)
     rows = prints.select("id", F.explode("prints").alias("print"))
     firsts = written(rows.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("print", "first"), "sub-firsts", rows=size, each=2_000)
@@ -172,6 +174,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     later = written(later, "sub-later", rows=size, each=2_000)
     own = prints.where(F.size("twice") > 0).select("id", "twice").groupBy("id").agg(F.flatten(F.collect_list("twice")).alias("twice"))
     both = written(later.join(own, "id", "full").withColumnRenamed("id", "__id"), "sub-repeats", rows=size, each=2_000)
+    drop(prints, firsts, later)
     release(spark)
     return both
 
