@@ -8,13 +8,16 @@ list of its nearest centroid and of up to REPLICAS - 1 others that are hardly
 farther (boundary vectors). A query walks an in-memory graph of the centroids
 (nearest neighbours and a few far links), keeps those whose distance is within
 a ratio of the nearest's (and the LEAST nearest ones in any case, as a query
-may lie on a centroid), and searches their lists.
+may lie on a centroid), and searches their lists. There are MAX_LISTS lists at
+most, whatever the table, so PROBES is a fixed share of them and recall does
+not fall with the table's size; the lists of a larger table are longer.
 
 Bounds: centroids and graph are MAX_LISTS rows at most and are broadcast. Lists
-longer than PART vectors are dealt in parts, queries of a list in blocks of
-PART, so no task holds more than a part and a block; each returns its best k a
-query. Inner products are summed in order of the components, in double
-precision, so equal vectors have equal scores whatever list they are in.
+of more than PART components are dealt in parts, queries of a list in blocks
+likewise, so no task holds more than a part and a block; each returns its best
+k a query. Inner products are summed in order of the components, in double
+precision, so equal vectors have equal scores whatever list they are in; a
+matrix product, with room for its rounding, says which pairs need that sum.
 
 Defined results: vectors that are null, zero, hold a null or non-finite
 component, or have another length than most (ties to the longer) take no part;
@@ -33,13 +36,13 @@ from pyspark.sql import functions as F
 from .common import ship, written
 
 #: Vectors for each list; most lists; rows of the sample that trains centroids.
-LIST, MAX_LISTS, SAMPLE = 160, 16_384, 65_536
+LIST, MAX_LISTS, SAMPLE = 160, 320, 65_536
 #: Lists that may hold a vector, and how much farther than the nearest they may be.
 REPLICAS, CLOSURE = 4, 1.12
-#: Lists that a query searches at most and at least, and how much farther than the nearest the others may be.
+#: Lists that a query searches at most (three tenths of MAX_LISTS) and at least, and how much farther than the nearest the others may be.
 PROBES, LEAST, RATIO = 96, 16, 1.6
-#: Links of a centroid, breadth of the walk; vectors of a part and queries of a block.
-LINKS, BREADTH, PART = 24, 128, 1_024
+#: Links of a centroid, breadth of the walk; components of the vectors of a part and of the queries of a block.
+LINKS, BREADTH, PART = 24, 128, 2_097_152
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -137,6 +140,26 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return use[np.lexsort((ids[use], -scores[use]))][:k]
 
 
+def top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, most: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places of its k best vectors, itself left out, and their inner products summed in order."""
+    about = q @ x.T
+    other = own[:, None] != ids[None, :]
+    about[~other] = -np.inf
+    # Twice the most by which two orders of summation can differ.
+    room = 8.0 * q.shape[1] * np.finfo(np.float64).eps * most * most
+    floor = np.partition(about, len(ids) - k, axis=1)[:, len(ids) - k, None] - room if len(ids) > k else np.full((len(q), 1), -np.inf)
+    row, col = np.nonzero(~(about < floor) & other)
+    score = np.zeros(len(row))
+    for d in range(q.shape[1]):
+        score += q[row, d] * x[col, d]
+    ends = np.searchsorted(row, np.arange(len(q) + 1))
+    out = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        use = best(ids[col[a:b]], score[a:b], k)
+        out.append((col[a:b][use], score[a:b][use]))
+    return out
+
+
 def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: int = LIST, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every query."""
     spark = table.sparkSession
@@ -175,11 +198,12 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: in
             taken = batch.take(pa.array(np.concatenate(row))) if row else batch
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if lists else [], pa.int32()), *taken.columns], names=["list", "query_id", "q"])
 
+    size = max(1, PART // dims)
     postings = written(rows.mapInArrow(index, "list int, vec_id long, v array<double>"), "ann-lists")
     asked = rows.where(F.col("vec_id") % queries_every == 0).select("vec_id", "v").repartition(spark.sparkContext.defaultParallelism * 4, "vec_id")
     asked = written(asked.mapInArrow(probe, "list int, query_id long, q array<double>"), "ann-probes")
-    parts = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    blocks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("blocks"))
+    parts = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    blocks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     plan = F.broadcast(written(parts.join(blocks, "list"), "ann-plan"))  # a row for each list, MAX_LISTS at most
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = postings.join(plan, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), span("blocks").alias("block"), "vec_id", "v")
@@ -191,16 +215,11 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: in
         if held.num_rows and asking.num_rows:
             x, q = _matrix(held.column("v"), dims), _matrix(asking.column("q"), dims)
             ids, own = np.asarray(held.column("vec_id")), np.asarray(asking.column("query_id"))
-            for at in range(0, len(q), 256):
-                s = np.zeros((len(q[at : at + 256]), len(x)))
-                for d in range(dims):
-                    s += q[at : at + 256, d, None] * x[None, :, d]
-                s[own[at : at + 256, None] == ids[None, :]] = -np.inf
-                for i, line in enumerate(s):
-                    top = best(ids, line, k)
-                    out[0].append(np.full(len(top), own[at + i]))
-                    out[1].append(ids[top])
-                    out[2].append(line[top])
+            for at in range(0, len(q), 64):
+                for i, (use, line) in enumerate(top(x, ids, q[at : at + 64], own[at : at + 64], k, most)):
+                    out[0].append(np.full(len(use), own[at + i]))
+                    out[1].append(ids[use])
+                    out[2].append(line)
         arrays = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.Table.from_arrays([pa.array(arrays[0].astype(np.int64)), pa.array(arrays[1].astype(np.int64)), pa.array(arrays[2].astype(np.float64))], names=names)
 

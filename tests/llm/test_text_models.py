@@ -173,6 +173,18 @@ def test_neighbours_reach_recall_and_exact_scores(spark):
     assert hit / (20 * len(want)) >= 0.9
 
 
+def test_a_query_searches_a_fixed_share_of_the_lists(spark):
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(6_000, 48))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = ann.search(df, queries_every=60, list_size=2).collect()  # thousands of lists, if nothing bounds them
+    scores = x[::60] @ x.T
+    scores[np.arange(100), np.arange(0, 6_000, 60)] = -np.inf
+    want = np.argsort(-scores, axis=1)[:, :20]
+    got = {(r["query_id"], r["vec_id"]) for r in rows}
+    assert sum((60 * q, i) in got for q, line in enumerate(want.tolist()) for i in line) >= 0.9 * 2_000
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (6, [0.5, 0.5]), (None, [1.0, 1.0]), (6, [0.5, 0.5]), (40, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
