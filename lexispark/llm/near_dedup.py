@@ -12,13 +12,20 @@ doc_id. In each bucket, two centres, the members with the least and the
 greatest value of a fixed bijection of doc_id, are linked with every member,
 so pairs grow with the members and not with their square. As the order is the
 same in all buckets, a group of near copies meets few centres. A second round
-links, in buckets whose members are still in several components, each
-component's first member with every other, again as stars.
+takes the centres away, as they have met all others of their buckets, and
+compares in each bucket whose rest is still in several components all pairs of
+nodes of different components, in the first bucket that a pair shares. So two
+documents that share a bucket and are similar enough are always in one
+component: only a pair that shares no bucket, and no chain of others, is lost.
 
 Links are confirmed on the full shingle sets, which are computed again for
 the documents in candidate pairs only. Components come from alternating star
 operations on the confirmed links.
 
+Bounds: the rest of a bucket is dealt in blocks of about BLOCK nodes and
+SHINGLES shingles, and a task holds two of them; a bucket of many documents
+just below the threshold costs the square of their number.
+
 Defined results: a text without words, or null, has an empty set, is linked
 with nothing and is kept; so is a row with a null doc_id, whose component is
 null; rows that share a doc_id and a set are one node; an empty table gives an
@@ -41,6 +48,8 @@ from .graph import components
 
 ROWS, BANDS = 6, 48
 BINS = ROWS * BANDS
+#: Nodes and shingles of a block of the second round; shingles that are counted together.
+BLOCK, SHINGLES, COLUMNS = 512, 1_048_576, 4_096
 _ODD = 0xD1342543DE82EF95
 _MIX = wordhash.mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
 _BAND = wordhash.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
@@ -135,14 +144,20 @@ def _full_sets(width: int):
     return tidied(run, wordhash.forget), "node long, shingles array<long>"
 
 
-def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node"), "near-ends", rows=rows)
+def _sets_of(texts: DataFrame, ids: DataFrame, nodes: DataFrame, width: int, rows: int) -> DataFrame:
+    """(node, shingles) of some nodes: their full shingle sets."""
+    ends = written(nodes.distinct().join(ids, "node"), "near-ends", rows=rows)
     asked = maybe_in(texts.withColumnRenamed("__id", "doc_id"), ends, "doc_id").join(ends.hint("merge"), "doc_id").select("node", "__text")
     run, schema = _full_sets(width)
     # Rows that share a doc_id are one node, and one of their texts is asked for.
     sets = written(asked.mapInArrow(run, schema).dropDuplicates(["node"]), "near-sets", rows=rows, each=4_000)
     release(texts.sparkSession)
+    return sets
+
+
+def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
+    sets = _sets_of(texts, ids, pairs.select(F.explode(F.array("a", "b")).alias("node")), width, rows)
     one = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
     two = one.join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
     nx, ny = F.size("x"), F.size("y")
@@ -153,6 +168,77 @@ def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, per
     return links
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    size = len(sets)
+    owner = np.repeat(np.arange(size), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    use = shared[column]
+    owner, column = owner[use], place[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((size, size), np.int64)
+    for at in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        held = np.zeros((size, COLUMNS), np.float32)
+        held[owner[a:b], column[a:b] - at] = 1.0
+        out += (held @ held.T).astype(np.int64)
+    return out
+
+
+def _close_pairs(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda name: np.asarray(table.column(name).combine_chunks())
+        node, component, block, n = get("node"), get("component"), get("block"), get("n")
+        key, one, two = (table.column(c)[0].as_py() for c in ("key", "one", "two"))
+        keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(-1, BANDS)
+        ask = (node[:, None] < node) & (component[:, None] != component)
+        if one != two:
+            ask &= block[:, None] != block
+        ask &= 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+        met = np.zeros_like(ask)
+        first = np.zeros_like(ask)
+        for b in range(BANDS):
+            same = keys[:, b, None] == keys[:, b]
+            first |= same & ~met & (keys[:, b] == key)[:, None]
+            met |= same
+        left, right = np.nonzero(ask & first)
+        if len(left):
+            use, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+            held = table.column("shingles").combine_chunks().take(pa.array(use))
+            ends = np.asarray(held.offsets) - held.offsets[0].as_py()
+            flat = np.asarray(held.flatten())
+            counts = common_counts([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            common = counts[at[: len(left)], at[len(left) :]]
+            close = 100 * common >= percent * (n[left] + n[right] - common)
+            left, right = left[close], right[close]
+        return pa.table({"a": pa.array(node[left], pa.int64()), "b": pa.array(node[right], pa.int64())})
+
+    return run
+
+
+def _rest(texts: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFrame, width: int, percent: int, size: int) -> DataFrame | None:
+    """The links (a, b) between components among the members of buckets that no centre is an end of; None without candidates."""
+    others = members.where("m > 3 AND node != lo AND node != hi").select("key", "node", "n")
+    labelled = written(others.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "near-members", rows=size, each=4_000)
+    split = labelled.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("c_lo != c_hi")
+    split = split.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / SHINGLES)).cast("int").alias("blocks"))
+    again = written(labelled.join(split, "key"), "near-split", rows=size, each=4_000)
+    if again.isEmpty():
+        return None
+    sets = _sets_of(texts, nodes.select("node", "doc_id"), again.select("node"), width, size)
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = again.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    held = sets.join(nodes.select("node", "keys"), "node").withColumn("n", F.size("shingles").cast("long"))
+    links = dealt.join(held, "node").groupBy("key", "one", "two").applyInArrow(_close_pairs(percent), "a long, b long")
+    links = written(links.distinct(), "near-links", rows=size, each=4_000)
+    release(texts.sparkSession)
+    return links
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     texts = docs.select(docs["doc_id"].cast("long").alias("__id"), docs["text"].cast("string").alias("__text"))
@@ -162,8 +248,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     size = rows.count()
     first = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first", rows=size)
     linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(first, "digest")
-    nodes = written(linked.where("doc_id = rep").select("doc_id", "node", "keys").dropDuplicates(["node"]), "near-nodes", rows=size)
-    bands = nodes.select("node", F.explode("keys").alias("key"))
+    nodes = written(linked.where("doc_id = rep").select("doc_id", "node", "n", "keys").dropDuplicates(["node"]), "near-nodes", rows=size)
+    bands = nodes.select("node", "n", F.explode("keys").alias("key"))
     centres = written(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-centres", rows=size, each=4_000)
     members = bands.join(centres, "key")
     starred = members.select("node", F.explode(F.array("lo", "hi")).alias("c")).where("node != c")
@@ -173,24 +259,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     links = _confirm(texts, ids, pairs, width, percent, size)
     found = written(components(links, size), "near-components", rows=size)
 
-    # Second round: where a bucket still holds several components, stars from one member of each end.
-    labelled = written(
-        members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "near-members", rows=size, each=4_000
-    )
-    split = labelled.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi")).where("c_lo != c_hi")
-    split = written(split, "near-split", rows=size, each=4_000)
-    again = labelled.join(split, "key")
-    heads = written(again.groupBy("key").agg(F.min(F.when(F.col("component") == F.col("c_lo"), F.col("node"))).alias("h1"), F.max(F.when(F.col("component") == F.col("c_hi"), F.col("node"))).alias("h2"), F.max(F.when(F.col("component") == F.col("c_lo"), F.col("node"))).alias("h3"), F.min(F.when(F.col("component") == F.col("c_hi"), F.col("node"))).alias("h4")), "near-heads", rows=size, each=4_000)
-    more = (
-        labelled.join(split, "key").join(heads, "key")
-        .select("node", "component", F.explode(F.array(F.struct(F.col("c_lo").alias("k"), F.col("h1").alias("c")), F.struct(F.col("c_hi").alias("k"), F.col("h2").alias("c")), F.struct(F.col("c_lo").alias("k"), F.col("h3").alias("c")), F.struct(F.col("c_hi").alias("k"), F.col("h4").alias("c")))).alias("s"))
-        .where(F.col("component") != F.col("s.k"))
-        .select(F.least("node", "s.c").alias("a"), F.greatest("node", "s.c").alias("b")).distinct()
-    )
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "near-pairs", rows=size, each=4_000)
-    if not more.isEmpty():
-        links = links.union(_confirm(texts, ids, more, width, percent, size))
-        found = written(components(links, size), "near-components", rows=size)
+    more = _rest(texts, nodes, members, found, width, percent, size)
+    if more is not None and not more.isEmpty():
+        found = written(components(links.union(more), size), "near-components", rows=size)
 
     named = found.join(ids, "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))

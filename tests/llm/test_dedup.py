@@ -88,6 +88,38 @@ def test_near_groups_equal_brute_force(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {c for _, c in near_twin(plain(docs), 4).values()}
 
 
+def family(seed=3, n=120, pairs=12):
+    """Texts of one template just below the threshold, with pairs just above it."""
+    draw = np.random.default_rng(seed)
+    word = lambda: f"w{draw.integers(10**12)}"
+    template = [word() for _ in range(400)]
+    texts = {}
+    for i in range(n):
+        own = [word() for _ in range(55)]
+        texts[i] = " ".join(template + own)
+        if i < pairs:
+            texts[1_000 + i] = " ".join(template + own[:9] + [word() for _ in range(46)])
+    return texts
+
+
+def test_pairs_inside_a_family_below_the_threshold(spark, monkeypatch):
+    texts = family()
+    want = near_twin(texts, 4)
+    assert sum(c != d for d, (_, c) in want.items()) == 12
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in texts.items()], SCHEMA)
+    for block in (near_dedup.BLOCK, 20):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = near_dedup.near_groups(docs, 4).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_common_counts():
+    draw = np.random.default_rng(8)
+    sets = [np.unique(draw.integers(0, 9_000, draw.integers(1, 6_000))) for _ in range(9)]
+    got = near_dedup.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def test_near_edge_cases(spark):
     assert near_dedup.near_groups(corpus(spark).limit(0)).count() == 0
     rows = [(1, "a b c d e f", None, None, 1), (1, "a b c d e f", None, None, 1), (None, "a b c d e f", None, None, 1), (3, "one", None, None, 1), (4, "ONE", None, None, 1), (9, None, None, None, 1)]
