@@ -2,7 +2,8 @@
 
 Base spans are three fixed patterns. The method adds spans of kind ``random``:
 runs of 20 or more token characters that overlap no base span, whose encoding
-is inferred (hexadecimal, base32, base36, base62, base64), and that pass
+is inferred (hexadecimal, base32, base36, base62, base64; ``=`` ends a run as
+its padding and is a separator elsewhere), and that pass
 
 * chi-squared uniformity over the encoding's alphabet,
 * a runs test on changes of character class,
@@ -16,6 +17,11 @@ Benjamini-Hochberg rule over all tokens of the corpus. The p-values are counted
 in 4,001 bins of their logarithm, so the cut needs no sort of the tokens, and
 one number goes back into the scan.
 
+A run that mixes + or / with - or _ has no encoding. Its pieces between + and /
+and its pieces between - and _ are looked at instead; of a found piece in
+another the longer is dropped if the shorter is three quarters of it at least,
+otherwise the shorter.
+
 Positions come from the matches and the pieces between them, in code points.
 
 Defined results: a null text is empty and has no spans; rows are independent
@@ -35,7 +41,11 @@ HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 KINDS = ("assign", "access", "hex", "random")
 #: Tokens that the battery looks at.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+_PAD = r"(?:=++(?![A-Za-z0-9+/_-]))?+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+" + _PAD
+#: Pieces of tokens without an encoding.
+SLASHED = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+" + _PAD
+DASHED = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+" + _PAD
 #: Rate of false discoveries among added spans.
 FALSE_RATE = 0.01
 #: Standard deviations at which a test rejects randomness.
@@ -133,9 +143,17 @@ def _scanned(docs: DataFrame) -> DataFrame:
         _spans("__hex", 2, lambda m: F.length(m["found"]) >= LEAST["hex"]),
     )
     df = df.withColumn("__base", F.array_sort(base)).drop("__assign", "__access", "__hex")
-    df = _with_matches(df, "__text", TOKEN, "__token").drop("__text")
+    for name, pattern in (("token", TOKEN), ("slashed", SLASHED), ("dashed", DASHED)):
+        df = _with_matches(df, "__text", pattern, f"__{name}")
+    mixed = lambda t: t["found"].rlike("[+/]") & t["found"].rlike("[_-]")
+    none = F.array().cast("array<struct<start:long,end:long,found:string,piece:boolean>>")
+    marked = lambda tokens, piece: F.coalesce(F.transform(tokens, lambda t: F.struct(t["start"].cast("long").alias("start"), t["end"].cast("long").alias("end"), t["found"].alias("found"), F.lit(piece).alias("piece"))), none)
+    df = df.withColumn("__mixed", F.filter("__token", mixed))
+    inside = lambda tokens: F.filter(tokens, lambda t: F.exists("__mixed", lambda m: (m["start"] <= t["start"]) & (t["end"] <= m["end"])))
+    pieces = F.when(F.size("__mixed") > 0, F.array_distinct(F.concat(marked(inside("__slashed"), True), marked(inside("__dashed"), True)))).otherwise(none)
+    df = df.withColumn("__token", F.concat(marked(F.filter("__token", lambda t: ~mixed(t)), False), pieces)).drop("__text", "__slashed", "__dashed", "__mixed")
     free = F.filter(F.col("__token"), lambda t: ~F.exists(F.col("__base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return df.withColumn("__tests", F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), _tests(t["found"]).alias("test"))))
+    return df.withColumn("__tests", F.transform(free, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["piece"].alias("piece"), _tests(t["found"]).alias("test"))))
 
 
 def _bin(p: Column) -> Column:
@@ -160,8 +178,13 @@ def scan(docs: DataFrame, rate: float = FALSE_RATE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
     scanned = _scanned(docs)
     cut = discovery_bin(scanned, rate)
+    scanned = scanned.withColumn("__found", F.filter(F.col("__tests"), lambda t: t["test"]["passes"] & (_bin(t["test"]["p"]) >= cut)))
+    scanned = scanned.withColumn("__pieces", F.filter("__found", lambda t: t["piece"]))
+    length = lambda t: t["end"] - t["start"]
+    within = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (length(x) < length(y))
+    worse = lambda x, y: (within(y, x) & (4 * length(y) >= 3 * length(x))) | (within(x, y) & (4 * length(x) < 3 * length(y)))
     added = F.transform(
-        F.filter(F.col("__tests"), lambda t: t["test"]["passes"] & (_bin(t["test"]["p"]) >= cut)),
+        F.filter(F.col("__found"), lambda t: ~(t["piece"] & F.exists("__pieces", lambda o: worse(t, o)))),
         lambda t: F.struct(t["start"].cast("long").alias("start"), F.lit(3).alias("kind"), t["end"].cast("long").alias("end")),
     )
     every = F.array_sort(F.concat("__base", F.coalesce(added, F.array().cast(_SPAN))))

@@ -106,6 +106,23 @@ def test_battery_adds_random_tokens_and_leaves_text(spark):
     assert all(got[i] == "" for i in range(30, len(texts)))
 
 
+def test_battery_finds_values_of_names_and_urls(spark):
+    draw = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    shapes = ["auth={}", "session_id={} end", "https://a.example/get?sig={}&x=1", "AccountKey={}==", "see my-app/{} here", "a_b/{}/c-d"]
+    texts, want = [], []
+    for i in range(60):
+        v, shape = "".join(draw.choice(alphabet) for _ in range(40)), shapes[i % 6]
+        texts.append(shape.format(v))
+        want.append(f"random:{shape.index('{')}:{shape.index('{') + 40 + 2 * ('==' in shape)}")
+    ordinary = ["path/to-some/ordinary_file_name_of_a_page/and-other_words", "internationalisation=configuration_directory", "some_very_long_name_here=another_long_name_here/with-dashes"]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts + ordinary)], SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(docs).collect()}
+    for shape in range(6):
+        assert sum(got[i] == want[i] for i in range(shape, 60, 6)) >= 8, shapes[shape]
+    assert all(got[i] == "" for i in range(60, len(got)))
+
+
 def test_secrets_of_an_empty_table(spark):
     assert secrets.scan(corpus(spark).limit(0)).count() == 0
 
