@@ -401,7 +401,7 @@ def surrogate_fit(spark, sf):
     c = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
     rows = c.groupBy("n_name").agg(F.avg("c_acctbal").alias("balance"), F.count(F.lit(1)).cast("double").alias("customers"), (F.count_if(F.col("c_mktsegment") == "BUILDING") * 5 > F.count(F.lit(1))).alias("accepted"))
     table_ = rows.select(F.col("n_name").alias("query_id"), F.lit("c").alias("citation"), "accepted", F.create_map(F.lit("balance"), "balance", F.lit("customers"), "customers").alias("features"))
-    fitted = analysis.gate_surrogate(table_, iterations=500)
+    fitted = analysis.gate_surrogate(table_)
     return fitted.select("query_id", "citation", "accepted", F.round("probability", 9).alias("probability"), "prediction", F.round("log_odds", 9).alias("log_odds"), F.round("brier", 9).alias("brier"))
 
 
@@ -419,7 +419,7 @@ def perturbation_aopc(spark, sf):
 
 @_query
 def perturbation_baseline(spark, sf):
-    return analysis.perturbation_faithfulness(_cases(spark, sf), trials=100).select("query_id", *[F.round(c, 9).alias(c) for c in ("targeted_aopc", "random_aopc", "random_std", "gap")])
+    return analysis.perturbation_faithfulness(_cases(spark, sf)).select("query_id", *[F.round(c, 9).alias(c) for c in ("targeted_aopc", "random_aopc", "random_std", "gap")])
 
 
 _AS_RUN = {"signup": "run_start", "view": "step_start", "click": "step_complete", "purchase": "run_complete", "error": "error"}

@@ -1,13 +1,16 @@
 """Whole runs on small inputs of our own, and the driver's contract."""
 
 import json
+import os
 
 import pytest
 
 from lexispark.operators import integrity
-from lexispark.plans import index, offline, online
+from lexispark.plans import catalog, index, offline, online
 from lexispark.operators.fusion import VIEWS
 
+from .oracle_check import SF_DIR
+
 
 def fixture(tmp_path):
     """Two queries, five documents each, rankings equal in all views; the answers are known by hand."""
@@ -103,3 +106,21 @@ def test_contract(spark):
     found = contract.entry(spark)
     assert found.columns == ["query_id", "doc_ref", "rank", "fusion_score"] and found.count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
+def test_analyses_run_with_the_defaults_of_their_operators(spark, monkeypatch):
+    seen = {}
+
+    def stand_in(name):
+        def run(*args, **options):
+            seen[name] = (len(args), options)
+            raise KeyError(name)
+
+        return run
+
+    for query, operator in (("surrogate_fit", "gate_surrogate"), ("perturbation_baseline", "perturbation_faithfulness")):
+        monkeypatch.setattr(catalog.analysis, operator, stand_in(operator))
+        with pytest.raises(KeyError):
+            catalog.queries()[query](spark, SF_DIR)
+    assert seen == {"gate_surrogate": (1, {}), "perturbation_faithfulness": (1, {})}
