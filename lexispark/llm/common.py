@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 
@@ -43,20 +44,48 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str, rows: int | None = None, each: int = 20_000) -> DataFrame:
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     This cuts the lineage in a way that survives lost executors, and the
-    reader knows the size, so the planner broadcasts what is small only. With
-    ``rows``, a measure that grows with the work, the last stage has a task and
-    a file for ``each`` of them (4 at least), so small tables are few files.
+    reader knows the size, so the planner broadcasts what is small only.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    (df if rows is None else df.coalesce(max(4, rows // each))).write.parquet(path)
+    path = path or new_path(spark, label)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that start like ``names`` and that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is a Parquet scan and nothing else, so that file and row number find a row again."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.relation().toString().lower()
+
+
+def located(docs: DataFrame, label: str = "input", path: str | None = None) -> DataFrame:
+    """struct ``row`` with all columns of ``docs``, and ``file`` and ``at`` that find a row again.
+
+    They are the file and row number of a Parquet scan; what is not such a scan
+    (or where a ``path`` to keep it is given) is written first.
+    """
+    if path or not is_scan(docs):
+        docs = written(docs.select(F.struct("*").alias("row")), label, path).select("row", "_metadata")
+        return docs.select("row", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return docs.select(F.struct("*").alias("row"), docs.metadataColumn("_metadata").alias("__m")).select("row", F.col("__m.file_path").alias("file"), F.col("__m.row_index").alias("at"))
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove written tables that no later step reads."""
     for df in tables:
@@ -67,7 +96,12 @@ def drop(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of finished steps."""
+    """Let go of finished steps' shuffle files.
+
+    Executors delete them when the driver's garbage collector finds their
+    handles dead; with a large heap that is hours later, so disks would hold
+    every step's exchange at once.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -86,50 +120,61 @@ def hex_bits(text: Column, start: int, digits: int) -> Column:
 BUCKETS, _BITS = 1_024, 32_768
 
 
-def maybe_in(rows: DataFrame, wanted: DataFrame, key: str, other: bool = False) -> DataFrame:
+def maybe_in(rows: DataFrame, wanted: DataFrame, key: str | list[str], other: bool = False) -> DataFrame:
     """The rows whose ``key`` may be among those of ``wanted``, so that a join need not deal out the rest.
 
     The filter is a broadcast bitmap of bounded size: it never loses a row, and
     with many more keys than bits it only lets more rows pass. ``other``: the
     rows that are surely not among them, null keys included.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(BUCKETS * _BITS))
+    keys = [key] if isinstance(key, str) else key
+    place = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS * _BITS))
     bucket = lambda p: (p / _BITS).cast("int").alias("__bucket")
     bitmaps = wanted.select(place.alias("p")).groupBy(bucket(F.col("p"))).agg(F.bitmap_construct_agg((F.col("p") % _BITS).cast("long")).alias("__bits"))
     bit = F.col("__place") % _BITS
     byte = F.conv(F.hex(F.substring("__bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     placed = rows.withColumn("__place", place).withColumn("__bucket", bucket(F.col("__place")))
-    found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)) & F.col(key).isNotNull()
+    found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    for k in keys:
+        found &= F.col(k).isNotNull()
     return placed.join(F.broadcast(bitmaps), "__bucket", "left").where(~found if other else found).drop("__place", "__bucket", "__bits")
 
 
-#: Rows of an Arrow batch between the JVM and Python: texts may be long, and each batch is held on both sides.
-BATCH_ROWS = 512
+#: Most rows and bytes of an Arrow batch between the JVM and Python: texts may be long, and each batch is held on both sides.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Prepare a session for Python workers: importable code, batches of bounded rows."""
+    """Prepare a session for Python workers: importable code, and Arrow batches bounded in rows and bytes.
+
+    The bounds are the session's settings, as Spark reads them when a query
+    runs; lower ones are left as they are.
+    """
     ship_code(spark)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
-        spark.conf.set(rows, BATCH_ROWS)
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        size = re.fullmatch(r"(\d+)b?", str(spark.conf.get(key)).lower())
+        if not size or not 0 < int(size[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
-def tidied(run, forget=None):
-    """A function over a task's batches that tidies up, after ``forget``, when the task has read its last one."""
+def tidied(run):
+    """A function over a task's batches that tidies up when the task has read its last one."""
 
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        if forget:
-            forget()
         tidy()
 
     return wrapped
 
 
 def tidy() -> None:
-    """Give memory that a task's Python code has freed back to the system; workers outlive their tasks."""
+    """Give memory that a task's Python code has freed back to the system.
+
+    Workers outlive their tasks and share a container with the JVM, which
+    kills the executor if a worker keeps the most it ever held.
+    """
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call

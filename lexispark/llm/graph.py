@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a long, b long); component is the smallest node reachable.
 
     Each round links every node's larger neighbours to its smallest one, then
     its smaller neighbours likewise, and writes the edges; it ends when a round
-    changes none. ``rows`` is a measure of the edges' number, if one is known. Rounds grow with the logarithm of the longest chain. Minima
-    are combined before the shuffle and written, so that the joins back to the
-    edges are plain ones whose skewed partitions Spark splits: a node with very
-    many edges is no single task's work.
+    changes none. Rounds grow with the logarithm of the longest chain. Minima are
+    combined before the shuffle and written, so that the joins back to the edges
+    are plain ones whose skewed partitions Spark splits: a node with very many
+    edges is no single task's work.
     """
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", rows=rows)
-    size, mark = now.count(), None
-    keep = lambda df: written(df, "edges", rows=size)
+    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    mark = None
+    keep = lambda df: written(df, "edges")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))

@@ -7,29 +7,32 @@ keeps each bin's chance of equality at the Jaccard similarity. BANDS bands of
 ROWS bins each give a bucket key; at similarity 0.8 a pair shares no bucket
 with probability (1 - 0.8**6)**48 < 5e-7.
 
-Candidates: documents with equal shingle sets are one node, the smallest
-doc_id. In each bucket, two centres, the members with the least and the
-greatest value of a fixed bijection of doc_id, are linked with every member,
-so pairs grow with the members and not with their square. As the order is the
-same in all buckets, a group of near copies meets few centres. A second round
-takes the centres away, as they have met all others of their buckets, and
-compares in each bucket whose rest is still in several components all pairs of
-nodes of different components, in the first bucket that a pair shares. So two
-documents that share a bucket and are similar enough are always in one
-component: only a pair that shares no bucket, and no chain of others, is lost.
-
-Links are confirmed on the full shingle sets, which are computed again for
-the documents in candidate pairs only. Components come from alternating star
-operations on the confirmed links.
-
-Bounds: the rest of a bucket is dealt in blocks of about BLOCK nodes and
-SHINGLES shingles, and a task holds two of them; a bucket of many documents
-just below the threshold costs the square of their number.
+Candidates: documents with equal words (by a 128-bit digest of their bytes) are
+one node. In each bucket, two centres, the members with the least and the
+greatest node, are linked with every member, so pairs grow with the members and
+not with their square. As the order is the same in all buckets, a group of near
+copies meets few centres. A second round takes the centres away, as they have
+met all others of their buckets, and compares in each bucket whose rest is
+still in several components all pairs of nodes of different components, in the
+first bucket that a pair shares. So two documents that share a bucket and are
+similar enough are always in one component: only a pair that shares no bucket,
+and no chain of others, is lost.
+
+Links are confirmed on the words: texts of nodes in candidate pairs are dealt
+out, a centre's to blocks of its members, and where a pair meets, shingles get
+names that are equal if and only if all their words are. Sizes of sets are
+counted from such names too; hashes choose candidates only. Components come
+from alternating star operations on the confirmed links.
+
+Bounds: a task holds one centre and about CHUNK bytes of its members, or two
+blocks of about BLOCK nodes and WORDS words of a bucket's rest; a bucket of many
+documents just below the threshold costs the square of their number.
 
 Defined results: a text without words, or null, has an empty set, is linked
 with nothing and is kept; so is a row with a null doc_id, whose component is
-null; rows that share a doc_id and a set are one node; an empty table gives an
-empty result; extra columns are not read.
+null; rows that share a doc_id are told apart by their words, and are both
+kept if their component is their doc_id; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations
@@ -43,34 +46,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import maybe_in, release, ship, tidied, written
+from .common import fresh, maybe_in, release, ship, tidied, written
 from .graph import components
 
 ROWS, BANDS = 6, 48
 BINS = ROWS * BANDS
-#: Nodes and shingles of a block of the second round; shingles that are counted together.
-BLOCK, SHINGLES, COLUMNS = 512, 1_048_576, 4_096
+#: Nodes and words of a block of the second round; shingles that are counted together.
+BLOCK, WORDS, COLUMNS = 512, 1_048_576, 4_096
+#: Members and words of a block that is compared with one copy of a centre's text.
+MEMBERS, MEMBER_WORDS = 4_096, 4_194_304
 _ODD = 0xD1342543DE82EF95
 _MIX = wordhash.mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
 _BAND = wordhash.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def node_of(doc_id: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit ids that orders them as if at random."""
-    return wordhash.mix(doc_id.astype(np.uint64) * np.uint64(_ODD)).astype(np.int64)
-
-
-def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    hashes, at = wordhash.words(texts, lower=True)
-    shingles = wordhash.grams(hashes, width)
+def shingle_hashes(low: np.ndarray, high: np.ndarray, at: np.ndarray, width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text, from its words' codes."""
+    words = wordhash.hashes(low, high)
+    shingles = wordhash.grams(words, width)
     out = []
-    for i in range(len(texts)):
+    for i in range(len(at) - 1):
         first, n = at[i], at[i + 1] - at[i]
         if n >= width:
             out.append(np.unique(shingles[first : first + n - width + 1]))
         else:
-            out.append(wordhash.grams(hashes[first : first + n], n) if n else np.zeros(0, np.uint64))
+            out.append(wordhash.grams(words[first : first + n], n) if n else np.zeros(0, np.uint64))
     return out
 
 
@@ -99,71 +99,113 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    ids = batch.column(0).to_pylist()
-    for i, text in zip(ids, batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-        yield i, text or b""
+    """The columns as they are; the last, the text, as bytes."""
+    lists = [c.to_pylist() for c in batch.columns[:-1]]
+    for row in zip(*lists, batch.columns[-1].cast(pa.binary()).to_pylist(), strict=True):
+        yield (*row[:-1], row[-1] or b"")
+
+
+def digests(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """A digest of each text's words in their order."""
+    both = np.stack([low, high], axis=1)
+    return [hashlib.blake2b(both[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _sketches(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("words", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.chunks(_rows(batch)):
-                ids = [r[0] for r in part]
-                sets = shingle_sets([r[1] for r in part], width)
+                texts = [r[1] for r in part]
+                low, high, at = wordhash.codes(texts, lower=True)
+                sets = shingle_hashes(low, high, at, width)
                 keys: list = [None] * len(part)
                 use = [i for i, s in enumerate(sets) if len(s)]
                 if use:
                     for i, k in zip(use, band_keys(sketch([sets[i] for i in use])), strict=True):
                         keys[i] = k
-                nodes = node_of(np.array([i or 0 for i in ids], np.int64)).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()),
-                        pa.array([None if i is None else n for i, n in zip(ids, nodes, strict=True)], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                        pa.array([r[0] for r in part], pa.int64()),
+                        pa.array([len(s) for s in wordhash.shingle_names(texts, width)], pa.int64()),
+                        pa.array(np.diff(at), pa.int64()),
+                        pa.array(digests(low, high, at), pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
                     schema=schema,
                 )
 
-    return tidied(run, wordhash.forget), "doc_id long, node long, n long, digest binary, keys array<long>"
+    return tidied(run), "doc_id long, n long, words long, digest binary, keys array<long>"
 
 
-def _full_sets(width: int):
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+@tidied
+def _of_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text) of the rows whose text has the node's words: texts of rows that share its doc_id may differ."""
+    for batch in batches:
+        for part in wordhash.chunks(_rows(batch)):
+            found = digests(*wordhash.codes([r[2] for r in part], lower=True))
+            own = [r for r, d in zip(part, found, strict=True) if r[1] == d]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.int64()), pa.array([r[2] for r in own], pa.binary())], names=["node", "text"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in wordhash.chunks(_rows(batch)):
-                sets = shingle_sets([r[1] for r in part], width)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
-    return tidied(run, wordhash.forget), "node long, shingles array<long>"
+def _texts_of(texts: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text as bytes) of some nodes; a node may come more than once, with equal words."""
+    ends = written(wanted.distinct().join(nodes.select("node", "doc_id", "digest"), "node"), "near-ends")
+    asked = maybe_in(texts, ends, "doc_id").join(ends.hint("merge"), "doc_id").select("node", "digest", "text")
+    found = written(asked.mapInArrow(_of_digest, "node long, text binary"), "near-texts")
+    release(texts.sparkSession)
+    return found
 
 
-def _sets_of(texts: DataFrame, ids: DataFrame, nodes: DataFrame, width: int, rows: int) -> DataFrame:
-    """(node, shingles) of some nodes: their full shingle sets."""
-    ends = written(nodes.distinct().join(ids, "node"), "near-ends", rows=rows)
-    asked = maybe_in(texts.withColumnRenamed("__id", "doc_id"), ends, "doc_id").join(ends.hint("merge"), "doc_id").select("node", "__text")
-    run, schema = _full_sets(width)
-    # Rows that share a doc_id are one node, and one of their texts is asked for.
-    sets = written(asked.mapInArrow(run, schema).dropDuplicates(["node"]), "near-sets", rows=rows, each=4_000)
-    release(texts.sparkSession)
-    return sets
-
-
-def _confirm(texts: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets are similar enough."""
-    sets = _sets_of(texts, ids, pairs.select(F.explode(F.array("a", "b")).alias("node")), width, rows)
-    one = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
-    two = one.join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
-    nx, ny = F.size("x"), F.size("y")
-    common = F.size(F.array_intersect("x", "y"))
-    close = two.where(100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)).where(100 * common >= percent * (nx + ny - common))
-    links = written(close.select("a", "b"), "near-links", rows=rows, each=4_000)
+def _confirm(width: int, percent: int):
+    """Links (a, b) from rows (centre, block, node, text) in order: a centre's text, then its members'."""
+
+    def close(centres: list[bytes], pairs: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        sets = wordhash.shingle_names([*centres, *[p[3] for p in pairs]], width)
+        out = []
+        for (place, a, b, _), y in zip(pairs, sets[len(centres) :], strict=True):
+            x = sets[place]
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    out.append((a, b))
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres: list[bytes] = []
+        pairs: list[tuple[int, int, int, bytes]] = []
+        now, held = None, 0
+        for batch in batches:
+            for centre, node, text in _rows(batch):
+                if node == centre:
+                    if now != centre:
+                        now = centre
+                        centres.append(text)
+                        held += len(text)
+                    continue
+                pairs.append((len(centres) - 1, centre, node, text))
+                held += len(text)
+                if held > wordhash.CHUNK:
+                    yield close(centres, pairs)
+                    centres, pairs = centres[-1:], []
+                    held = len(centres[0])
+        if pairs:
+            yield close(centres, pairs)
+
+    return tidied(run)
+
+
+def _star_links(texts: DataFrame, nodes: DataFrame, stars: DataFrame, width: int, percent: int) -> DataFrame:
+    """The links (a, b) among pairs (centre, node)."""
+    held = _texts_of(texts, nodes, stars.select(F.explode(F.array("centre", "node")).alias("node")))
+    weighed = stars.join(nodes.select("node", "words"), "node")
+    blocks = weighed.groupBy("centre").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum("words") / MEMBER_WORDS)).cast("int").alias("blocks"))
+    blocks = written(blocks, "near-blocks")
+    dealt = stars.join(blocks, "centre").select("centre", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node")
+    own = blocks.select("centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("centre").alias("node"))
+    rows = dealt.unionByName(own).join(held, "node").repartition("centre", "block").sortWithinPartitions("centre", "block", F.col("node") != F.col("centre"))
+    links = written(rows.select("centre", "node", "text").mapInArrow(_confirm(width, percent), "a long, b long").distinct(), "near-links")
     release(texts.sparkSession)
     return links
 
@@ -188,29 +230,28 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _close_pairs(percent: int):
+def _close_pairs(width: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
+        key, one, two = (table.column(c)[0].as_py() for c in ("key", "one", "two"))
+        _, first = np.unique(np.asarray(table.column("node").combine_chunks()), return_index=True)
+        table = table.take(pa.array(first))
         get = lambda name: np.asarray(table.column(name).combine_chunks())
         node, component, block, n = get("node"), get("component"), get("block"), get("n")
-        key, one, two = (table.column(c)[0].as_py() for c in ("key", "one", "two"))
         keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(-1, BANDS)
         ask = (node[:, None] < node) & (component[:, None] != component)
         if one != two:
             ask &= block[:, None] != block
         ask &= 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
         met = np.zeros_like(ask)
-        first = np.zeros_like(ask)
+        chosen = np.zeros_like(ask)
         for b in range(BANDS):
             same = keys[:, b, None] == keys[:, b]
-            first |= same & ~met & (keys[:, b] == key)[:, None]
+            chosen |= same & ~met & (keys[:, b] == key)[:, None]
             met |= same
-        left, right = np.nonzero(ask & first)
+        left, right = np.nonzero(ask & chosen)
         if len(left):
             use, at = np.unique(np.concatenate([left, right]), return_inverse=True)
-            held = table.column("shingles").combine_chunks().take(pa.array(use))
-            ends = np.asarray(held.offsets) - held.offsets[0].as_py()
-            flat = np.asarray(held.flatten())
-            counts = common_counts([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            counts = common_counts(wordhash.shingle_names(table.column("text").take(pa.array(use)).to_pylist(), width))
             common = counts[at[: len(left)], at[len(left) :]]
             close = 100 * common >= percent * (n[left] + n[right] - common)
             left, right = left[close], right[close]
@@ -219,61 +260,62 @@ def _close_pairs(percent: int):
     return run
 
 
-def _rest(texts: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFrame, width: int, percent: int, size: int) -> DataFrame | None:
+def _rest(texts: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame | None:
     """The links (a, b) between components among the members of buckets that no centre is an end of; None without candidates."""
-    others = members.where("m > 3 AND node != lo AND node != hi").select("key", "node", "n")
-    labelled = written(others.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component")), "near-members", rows=size, each=4_000)
-    split = labelled.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).where("c_lo != c_hi")
-    split = split.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / SHINGLES)).cast("int").alias("blocks"))
-    again = written(labelled.join(split, "key"), "near-split", rows=size, each=4_000)
+    others = members.where("m > 3 AND node != lo AND node != hi").select("key", "node", "words")
+    labelled = written(others.join(found, "node", "left").select("key", "node", "words", F.coalesce("component", "node").alias("component")), "near-members")
+    split = labelled.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count(F.lit(1)).alias("m"), F.sum("words").alias("s")).where("c_lo != c_hi")
+    split = split.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / WORDS)).cast("int").alias("blocks"))
+    again = written(labelled.join(split, "key"), "near-split")
     if again.isEmpty():
         return None
-    sets = _sets_of(texts, nodes.select("node", "doc_id"), again.select("node"), width, size)
+    held = _texts_of(texts, nodes, again.select("node")).join(nodes.select("node", "keys", "n"), "node")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = again.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
-    held = sets.join(nodes.select("node", "keys"), "node").withColumn("n", F.size("shingles").cast("long"))
-    links = dealt.join(held, "node").groupBy("key", "one", "two").applyInArrow(_close_pairs(percent), "a long, b long")
-    links = written(links.distinct(), "near-links", rows=size, each=4_000)
+    links = dealt.join(held, "node").groupBy("key", "one", "two").applyInArrow(_close_pairs(width, percent), "a long, b long")
+    links = written(links.distinct(), "near-links")
     release(texts.sparkSession)
     return links
 
 
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("__id"), docs["text"].cast("string").alias("__text"))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     ship(docs.sparkSession)
     run, schema = _sketches(width)
     rows = written(texts.mapInArrow(run, schema), "near-rows")
-    size = rows.count()
-    first = written(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")), "near-first", rows=size)
-    linked = rows.where("n > 0 AND doc_id IS NOT NULL").join(first, "digest")
-    nodes = written(linked.where("doc_id = rep").select("doc_id", "node", "n", "keys").dropDuplicates(["node"]), "near-nodes", rows=size)
-    bands = nodes.select("node", "n", F.explode("keys").alias("key"))
-    centres = written(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-centres", rows=size, each=4_000)
+    linkable = rows.where("n > 0 AND doc_id IS NOT NULL")
+    # Rows with one digest have equal words, so the first one's facts are all of theirs.
+    same = linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("words").alias("words"), F.first("keys").alias("keys"))
+    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    bands = nodes.select("node", "words", F.explode("keys").alias("key"))
+    centres = written(bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("m")).where("m > 1"), "near-centres")
     members = bands.join(centres, "key")
-    starred = members.select("node", F.explode(F.array("lo", "hi")).alias("c")).where("node != c")
-    pairs = written(starred.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct(), "near-pairs", rows=size, each=4_000)
+    starred = members.select("node", F.explode(F.array("lo", "hi")).alias("centre")).where("node != centre")
+    # A pair of two centres comes once, under the lower one.
+    both = F.greatest("node", "centre")
+    stars = written(starred.select(F.least("node", "centre").alias("a"), both.alias("b"), F.col("centre")).groupBy("a", "b").agg(F.min("centre").alias("centre")).select("centre", F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")).alias("node")), "near-pairs")
     release(docs.sparkSession)
-    ids = nodes.select("node", "doc_id")
-    links = _confirm(texts, ids, pairs, width, percent, size)
-    found = written(components(links, size), "near-components", rows=size)
+    links = _star_links(texts, nodes, stars, width, percent)
+    found = written(components(links), "near-components")
 
-    more = _rest(texts, nodes, members, found, width, percent, size)
+    more = _rest(texts, nodes, members, found, width, percent)
     if more is not None and not more.isEmpty():
-        found = written(components(links.union(more), size), "near-components", rows=size)
+        found = written(components(links.union(more)), "near-components")
 
-    named = found.join(ids, "node")
+    named = found.join(nodes.select("node", "doc_id", "digest"), "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
-    labels = written(named.join(least, "component").select(F.col("doc_id").alias("rep"), "least"), "near-labels", rows=size)
-    joined = rows.join(first, "digest", "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
-    joined = joined.select("doc_id", "n", "rep").join(labels, "rep", "left")
-    component = F.coalesce("least", "rep")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    labels = written(named.join(least, "component").select("digest", "least"), "near-labels")
+    alone = nodes.select("digest", F.col("doc_id").alias("rep")).join(labels, "digest", "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
+    own = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(alone, "digest", "left")
+    component = F.coalesce("component_id", "doc_id")
+    return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with the smallest doc_id of each group of near-duplicates only."""
-    gone = written(near_groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-dropped")
+    (name,) = fresh(docs, "gone")
+    gone = written(near_groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "near-dropped")
     release(docs.sparkSession)
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
