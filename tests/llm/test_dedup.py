@@ -54,6 +54,31 @@ def test_exact_edge_cases(spark):
     assert sorted((r["keep_id"] or 0, r["group_size"], r["kept"]) for r in got) == [(0, 2, False), (0, 2, True), (5, 3, False), (5, 3, False), (5, 3, True)]
 
 
+def test_exact_groups_of_derived_tables(spark, tmp_path):
+    """Rows that a plan makes of one scanned row, and columns named like locators, are told apart all the same."""
+    spark.createDataFrame([(i, f"t{i % 3}", None, None, 1) for i in range(9)], SCHEMA).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    exploded = docs.withColumn("copy", F.explode(F.array(*map(F.lit, range(3)))))
+    for df in (exploded, docs.withColumns({"__file": F.lit("f"), "__row": F.lit(1)}), docs.withColumns({"__file": F.lit("f"), "file": F.lit(1), "at": F.lit(2), "row": F.lit(3)})):
+        kept = exact_dedup.drop_exact(df)
+        assert kept.count() == 3 and kept.columns == df.columns
+        assert exact_dedup.exact_groups(df).where("kept").count() == 3
+
+
+def test_state_is_kept_between_runs(spark, tmp_path):
+    state = str(tmp_path / "state")
+    first = spark.createDataFrame([(1, "a", None, None, 1), (2, "a", None, None, 1), (3, "b", None, None, 1)], SCHEMA)
+    second = spark.createDataFrame([(9, "a", None, None, 1), (0, "b", None, None, 1), (7, "c", None, None, 1)], SCHEMA)
+    told = lambda df: {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(df, state=state).collect()}
+    assert told(first) == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
+    assert told(second) == {9: (9, 3, True), 0: (3, 2, False), 7: (7, 1, True)}
+    weak = lambda t: F.lit(b"x")  # noqa: E731  every text collides, in old and new arrivals alike
+    other = str(tmp_path / "weak")
+    exact_dedup.exact_groups(first, weak, other).collect()
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(second, weak, other).collect()}
+    assert got == {9: (9, 3), 0: (3, 2), 7: (7, 1)}
+
+
 def shingles(text, width):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} if words else set()
@@ -182,11 +207,47 @@ def test_repeats_edge_cases(spark):
     assert got == [(0, 0), (2, 30), (2, 30), (3, 0)]
 
 
-def test_word_hashes_follow_the_words():
-    texts = [b"One two\n three", b"", b"two three", "é two".encode()]
-    hashes, at = wordhash.words(texts)
-    assert at.tolist() == [0, 3, 3, 5, 7]
-    assert hashes[1] == hashes[3] == hashes[6] and hashes[2] == hashes[4] and len(set(hashes.tolist())) == 4
-    pairs = wordhash.grams(hashes, 2)
-    assert pairs[1] == pairs[3] and pairs[0] != pairs[1]
-    assert wordhash.words([b"ONE"], lower=True)[0][0] == wordhash.words([b"one"])[0][0]
+def thue_morse(n=1024):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """Two words that any polynomial hash modulo a power of two confuses."""
+    one, two = thue_morse()
+    lead = " ".join(f"w{i}" for i in range(19))
+    texts = {1: f"{lead} {one}", 2: f"{lead} {two}", 3: f"x y z {one}", 4: f"x y z {two}", 5: f"x y z {two}"}
+    docs = spark.createDataFrame([(d, t, None, None, 1) for d, t in texts.items()], SCHEMA)
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()} == dict.fromkeys(texts, 0)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(docs, 4).collect()} == near_twin(texts, 4)
+
+
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    rows = [(3, "a b c d e f g h i j k"), (3, "other text with the id three"), (4, "other text WITH the id three"), (None, "other text with the id three")]
+    got = near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 3, 0, True), (3, 3, 3, True), (3, 8, 3, True), (4, 3, 3, False)]
+
+
+def test_repeats_of_one_long_word_and_of_null_ids(spark):
+    rows = [(None, "n " * 30)] * 3 + [(5, "n " * 30), (6, "y" * 300_000 + " z" * 25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"part": F.lit(1), "at": F.lit(2), "gone": F.lit(3)})
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == [(0, 30, 29)] * 3 + [(5, 30, 30), (6, 26, 24)]
+
+
+def test_word_codes_and_names(monkeypatch):
+    texts = [b"One two\n three", b"", b"two three", "é two".encode(), b"a word-longer-than-fifteen-bytes a"]
+    for piece in (1 << 21, 5):
+        monkeypatch.setattr(wordhash, "PIECE", piece)
+        low, high, at = wordhash.codes(texts)
+        assert at.tolist() == [0, 3, 3, 5, 7, 10]
+        names = wordhash.names(low, high).tolist()
+        assert names[1] == names[3] == names[6] and names[2] == names[4] and names[7] == names[9] and len(set(names)) == 6
+        pairs = wordhash.gram_names(np.array(names), 2)
+        hashes = wordhash.grams(wordhash.hashes(low, high), 2)
+        assert pairs[1] == pairs[3] and pairs[0] != pairs[1] and hashes[1] == hashes[3] and hashes[0] != hashes[1]
+    upper = wordhash.codes([b"ONE"], lower=True)
+    assert upper[0][0] == wordhash.codes([b"one"])[0][0]
+    # Codes that share a hash still get names of their own.
+    monkeypatch.setattr(wordhash, "hashes", lambda low, high: np.zeros(len(low), np.uint64))
+    assert sorted(set(wordhash.names(*wordhash.codes([b"x y x z"])[:2]).tolist())) == [0, 1, 2]
