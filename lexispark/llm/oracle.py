@@ -6,9 +6,9 @@ SQL["op1_mix_sources"] = r"""
 WITH docs AS (
   SELECT doc_id, source,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS h
   FROM documents),
-sizes AS (SELECT source, sum(size)::BIGINT AS s, count(*)::BIGINT AS n FROM docs GROUP BY source),
+sizes AS (SELECT source, sum(size)::BIGINT AS s FROM docs GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM sizes),
 weighed AS (SELECT *, (rk - 1) % 3 + 1 AS w FROM ranked),
 ratio AS (SELECT *, (3 * s)::DOUBLE / w AS r FROM weighed),
@@ -18,30 +18,39 @@ levels AS (
       / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY r, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS lv
   FROM ratio),
 opened AS (SELECT *, max(CASE WHEN r > lv THEN lv END) OVER () AS open_lv FROM levels),
-targets AS (
-  SELECT source, s, n, CASE WHEN r <= lv THEN (3 * s)::DOUBLE ELSE open_lv * w END AS target FROM opened),
-plan AS (
-  SELECT *, CASE WHEN s > 0 THEN least(3, floor(target / s)) ELSE 0 END::BIGINT AS whole FROM targets),
+targets AS (SELECT source, s, CASE WHEN r <= lv THEN (3 * s)::DOUBLE ELSE open_lv * w END AS target FROM opened),
+plan AS (SELECT *, CASE WHEN s > 0 THEN least(3, floor(target / s)) ELSE 0 END::BIGINT AS whole FROM targets),
 rest AS (SELECT *, target - (whole * s)::DOUBLE AS rest FROM plan),
 placed AS (
-  SELECT d.*, p.s, p.n, p.target, p.whole, p.rest,
-    ((h + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS u
+  SELECT d.*, p.s, p.target, p.whole, p.rest,
+    (d.size >> greatest(0, length(bin(d.size)) - 12)) << greatest(0, length(bin(d.size)) - 12) AS class
   FROM docs d JOIN rest p ON d.source IS NOT DISTINCT FROM p.source),
-odds AS (
-  SELECT *, CASE WHEN size > 0 THEN (u / (1 - u)) / (size::DOUBLE / (s::DOUBLE / n)) END AS q FROM placed),
+classes AS (
+  SELECT source, class, any_value(rest) AS rest, sum(size) AS w, sum(size * class) AS q FROM placed WHERE size > 0 GROUP BY source, class),
+tried AS (
+  SELECT *, (rest - coalesce(sum(w) OVER down, 0)::DOUBLE) / (sum(q) OVER (PARTITION BY source) - coalesce(sum(q) OVER down, 0))::DOUBLE AS c
+  FROM classes WINDOW down AS (PARTITION BY source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+factors AS (
+  SELECT source, min(CASE WHEN c * class >= 1 THEN class END) AS sure, greatest(max_by(c, class) FILTER (c * class < 1), 0) AS c,
+    coalesce(sum(CASE WHEN c * class >= 1 THEN w END), 0) AS sure_words FROM tried GROUP BY source),
+chances AS (
+  SELECT p.*, f.sure_words, coalesce(p.size > 0 AND p.class >= f.sure, false) AS surely, f.c * p.class AS p, (h + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM placed p LEFT JOIN factors f ON p.source IS NOT DISTINCT FROM f.source),
+odds AS (SELECT *, CASE WHEN size > 0 AND NOT surely AND p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM chances),
 keyed AS (SELECT *, floor(q / (1 + q) * 1099511627776.0::DOUBLE)::BIGINT AS k FROM odds),
 upto AS (
-  SELECT *, sum(CASE WHEN size > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k NULLS LAST, h) AS cum FROM keyed),
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY k NULLS LAST, h) AS place,
+    sum(CASE WHEN k IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY k NULLS LAST, h ROWS UNBOUNDED PRECEDING) AS cum FROM keyed),
+taken AS (SELECT *, k IS NOT NULL AND cum <= rest - sure_words AS fits FROM upto),
 edge AS (
-  SELECT source, any_value(rest) - coalesce(max(CASE WHEN cum <= rest AND size > 0 THEN cum END), 0)::DOUBLE AS gap
-  FROM upto GROUP BY source),
+  SELECT source, any_value(rest - sure_words) - coalesce(max(CASE WHEN fits THEN cum END), 0)::DOUBLE AS gap FROM taken GROUP BY source),
 fills AS (
-  SELECT u.source, min((abs(gap - size), k, h)) AS f
-  FROM upto u JOIN edge e ON u.source IS NOT DISTINCT FROM e.source
-  WHERE size > 0 AND cum > rest AND abs(gap - size) < gap GROUP BY u.source)
-SELECT u.doc_id, u.size, u.s AS source_size, u.target,
-  (u.size * (u.whole + CASE WHEN u.size > 0 AND (u.cum <= u.rest OR (f.f IS NOT NULL AND u.k = f.f[2] AND u.h = f.f[3])) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM upto u LEFT JOIN fills f ON u.source IS NOT DISTINCT FROM f.source
+  SELECT t.source, min((abs(gap - size), k, h, place))[4] AS place
+  FROM taken t JOIN edge e ON t.source IS NOT DISTINCT FROM e.source
+  WHERE k IS NOT NULL AND NOT fits AND abs(gap - size) < gap GROUP BY t.source)
+SELECT t.doc_id, t.size, t.s AS source_size, t.target,
+  (t.size * (t.whole + CASE WHEN t.size > 0 AND (t.surely OR t.fits OR coalesce(t.place = f.place, false)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM taken t LEFT JOIN fills f ON t.source IS NOT DISTINCT FROM f.source
 """
 
 SQL["op7_exact_dedup"] = """
