@@ -6,54 +6,51 @@ disk in RocksDB and never expired, holds for each digest the row that stays
 combines rows before the shuffle, so a hot digest costs one row per task. The
 state is read back with the state data source and kept as a written table.
 
+With a ``state`` folder the stream goes on where it ended: the folder keeps
+arrivals, contents and the stream's checkpoint, and each call's rows are new
+arrivals that are also compared with all earlier ones. Without one, a call's
+state is its own.
+
 On hits, digests that came more than once, the full bytes are compared: each
 row's text with that of the row its digest points to, fetched by locator and
 dealt by (digest, salt). Rows whose bytes differ under one digest are grouped
 again by their text, so a collision cannot drop a document.
 
-The locator is the file and row of a Parquet scan; a DataFrame that is not one
-is written to the shared folder first.
+The locator is the file and row of a Parquet scan; what is no such scan (or is
+to be kept with the state) is written first.
 
 Defined results: a null text equals the empty text; a null doc_id is smaller
 than any other, and a group of such rows has a null keep_id; of repeated rows
 with the largest doc_id one stays, the one whose locator is last; an empty
-table gives an empty result; extra columns are not read.
+table gives an empty result; extra columns are not read, and ``drop_exact``
+keeps them whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import maybe_in, new_path, release, written
+from .common import located, maybe_in, new_path, release, written
 
 #: Rows of one group that are compared with one copy of the group's text.
 SALT_ROWS = 2_000
 #: Micro-batches into which the arrivals are cut.
 BATCHES = 2
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_KEEPER = ("doc_id", "file", "at")
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "utf-8"), 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns __file and __row that find a row again."""
-    if {"__file", "__row"} <= set(docs.columns):
-        return docs
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    except AnalysisException:
-        return written(docs, "dedup-input").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-
-
-def _state(spark: SparkSession, arrivals_path: str, schema) -> DataFrame:
-    """Runs the stream over the arrivals and returns its state: digest, keeper, group_size."""
-    checkpoint = new_path(spark, "dedup-state")
+def _state(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """Runs the stream over the arrivals that it has not seen, and returns its state: digest, keeper, group_size."""
+    arrivals, checkpoint = f"{folder}/arrivals", f"{folder}/checkpoint"
     settings = {
         "spark.sql.streaming.stateStore.providerClass": _ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -64,16 +61,15 @@ def _state(spark: SparkSession, arrivals_path: str, schema) -> DataFrame:
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
-        files = spark.read.parquet(arrivals_path).inputFiles()
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-len(files) // BATCHES))).parquet(arrivals_path)
-        seen = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-        query = seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-        if not files or query.lastProgress is None:
+        files = spark.read.schema(schema).parquet(arrivals).inputFiles()
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-len(files) // BATCHES))).parquet(arrivals)
+        seen = stream.groupBy("digest").agg(F.max(F.struct(*_KEEPER)).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+        if files:
+            seen.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        if not files or spark.read.schema(schema).parquet(arrivals).isEmpty():
             return spark.createDataFrame([], seen.schema)
         state = spark.read.format("statestore").load(checkpoint)
-        fields = state.schema["value"].dataType.fieldNames()
-        value = [F.col("value").getField(n) for n in fields]
+        value = [F.col("value").getField(n) for n in state.schema["value"].dataType.fieldNames()]
         return state.select(F.col("key.digest").alias("digest"), value[0].alias("keeper"), value[1].alias("group_size"))
     finally:
         for k, v in before.items():
@@ -83,59 +79,64 @@ def _state(spark: SparkSession, arrivals_path: str, schema) -> DataFrame:
                 spark.conf.set(k, v)
 
 
-def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """Located rows; slim rows; the state; rows of collided digests grouped by text, or None."""
+def _text(row: str = "row") -> Column:
+    return F.coalesce(F.col(row).getField("text").cast("string"), F.lit(""))
+
+
+def _decided(docs: DataFrame, digest: Callable[[Column], Column], state: str | None) -> tuple[DataFrame, DataFrame]:
+    """Located rows of ``docs``; and (doc_id, file, at, text_sha256, keeper, group_size) of each."""
     spark = docs.sparkSession
-    base = located(docs)
-    text = F.coalesce(base["text"].cast("string"), F.lit(""))
-    slim = written(base.select(base["doc_id"], "__file", "__row", digest(text).alias("digest"), F.sha2(F.encode(text, "utf-8"), 256).alias("text_sha256")), "dedup-slim")
-    size = slim.count()
-    arrivals = new_path(spark, "dedup-arrivals")
-    slim.select("digest", "doc_id", F.col("__file").alias("file"), F.col("__row").alias("row")).write.parquet(arrivals)
-    state = written(_state(spark, arrivals, spark.read.parquet(arrivals).schema), "dedup-groups", rows=size)
-    hits = written(state.where("group_size > 1"), "dedup-hits", rows=size)
+    folder = state.rstrip("/") if state else new_path(spark, "dedup-state")
+    batch = uuid.uuid4().hex
+    base = located(docs, "dedup-input", f"{folder}/contents/{batch}" if state else None)
+    every = base
+    if state:
+        kept = spark.read.option("recursiveFileLookup", "true").schema(docs.select(F.struct("*").alias("row")).schema).parquet(f"{folder}/contents")
+        every = kept.select("row", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    doc_id = F.col("row").getField("doc_id").alias("doc_id")
+    slim = written(base.select(doc_id, "file", "at", digest(_text()).alias("digest"), F.sha2(F.encode(_text(), "utf-8"), 256).alias("text_sha256")), "dedup-slim")
+    arrivals = slim.select("digest", "doc_id", "file", "at")
+    arrivals.write.mode("append").parquet(f"{folder}/arrivals")
+    groups = written(_state(spark, folder, arrivals.schema), "dedup-groups")
+    hits = written(groups.where("group_size > 1"), "dedup-hits")
+    if state:
+        hits = written(hits.join(slim.select("digest").distinct(), "digest", "left_semi"), "dedup-hits")
     members = written(
-        maybe_in(base.select("doc_id", "__file", "__row", text.alias("__text"), digest(text).alias("digest")), hits, "digest")
+        maybe_in(every.select(doc_id, "file", "at", _text().alias("text"), digest(_text()).alias("digest")), hits, "digest")
         .join(hits.hint("merge"), "digest")
         .withColumn("salts", F.ceil(F.col("group_size") / SALT_ROWS).cast("int"))
-        .withColumn("salt", F.pmod(F.xxhash64("__file", "__row"), F.col("salts")).cast("int")),
+        .withColumn("salt", F.pmod(F.xxhash64("file", "at"), F.col("salts")).cast("int")),
         "dedup-members",
-        rows=size,
-        each=4_000,
-    )
-    stays = (F.col("keeper.file") == F.col("__file")) & (F.col("keeper.row") == F.col("__row"))
-    kept = members.where(stays).select("digest", F.col("__text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    differ = written(members.join(kept, ["digest", "salt"]).where(F.col("__text") != F.col("kept_text")).select("digest").distinct(), "dedup-collisions", rows=size, each=4_000)
-    if differ.isEmpty():
-        return base, slim, state, None
-    apart = members.join(differ, "digest", "left_semi")
-    by_text = apart.groupBy("digest", "__text").agg(F.max(F.struct("doc_id", F.col("__file").alias("file"), F.col("__row").alias("row"))).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
-    again = written(apart.select("digest", "__text", "__file", "__row").join(by_text, ["digest", "__text"]).select("__file", "__row", "digest", "keeper", "group_size"), "dedup-regrouped")
-    return base, slim, state, again
-
-
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and its locator."""
-    _, slim, state, again = _groups(docs, digest)
-    rows = slim.join(state, "digest")
-    if again is not None:
-        rows = slim.join(state, "digest").join(again.select("__file", "__row", F.col("keeper").alias("k2"), F.col("group_size").alias("n2")), ["__file", "__row"], "left")
-        rows = rows.withColumn("keeper", F.coalesce("k2", "keeper")).withColumn("group_size", F.coalesce("n2", "group_size"))
-    return rows.select(
-        "doc_id",
-        F.col("keeper.doc_id").alias("keep_id"),
-        "group_size",
-        ((F.col("keeper.file") == F.col("__file")) & (F.col("keeper.row") == F.col("__row"))).alias("kept"),
-        "text_sha256",
-        F.col("__file").alias("locator_file"),
-        F.col("__row").alias("locator_row"),
     )
+    stays = (F.col("keeper.file") == F.col("file")) & (F.col("keeper.at") == F.col("at"))
+    kept = members.where(stays).select("digest", F.col("text").alias("kept_text"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    differ = written(members.join(kept, ["digest", "salt"]).where(F.col("text") != F.col("kept_text")).select("digest").distinct(), "dedup-collisions")
+    rows = slim.join(groups, "digest")
+    if not differ.isEmpty():
+        apart = members.join(differ, "digest", "left_semi")
+        by_text = apart.groupBy("digest", "text").agg(F.max(F.struct(*_KEEPER)).alias("k2"), F.count(F.lit(1)).alias("n2"))
+        again = written(apart.select("digest", "text", "file", "at").join(by_text, ["digest", "text"]).select("file", "at", "k2", "n2"), "dedup-regrouped")
+        rows = rows.join(again, ["file", "at"], "left").withColumn("keeper", F.coalesce("k2", "keeper")).withColumn("group_size", F.coalesce("n2", "group_size"))
+    return base, rows.select("doc_id", "file", "at", "text_sha256", "keeper", "group_size")
+
+
+def _stays() -> Column:
+    return (F.col("keeper.file") == F.col("file")) & (F.col("keeper.at") == F.col("at"))
+
+
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and its locator.
+
+    With a ``state`` folder, groups hold all arrivals so far; an earlier arrival
+    may have been decided otherwise when it came.
+    """
+    _, rows = _decided(docs, digest, state)
+    return rows.select("doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", _stays().alias("kept"), "text_sha256", F.col("file").alias("locator_file"), F.col("at").alias("locator_row"))
 
 
-def drop_exact(docs: DataFrame) -> DataFrame:
+def drop_exact(docs: DataFrame, state: str | None = None) -> DataFrame:
     """``docs`` without the rows whose text another row with a larger doc_id has."""
-    columns = docs.columns
-    base = located(docs)
-    gone = written(exact_groups(base).where(~F.col("kept")).select(F.col("locator_file").alias("__file"), F.col("locator_row").alias("__row")), "dedup-dropped")
+    base, rows = _decided(docs, sha256, state)
+    gone = written(rows.where(~_stays()).select("file", "at"), "dedup-dropped")
     release(docs.sparkSession)
-    return base.join(gone, ["__file", "__row"], "left_anti").select(*columns)
+    return base.join(gone, ["file", "at"], "left_anti").select("row.*")
