@@ -123,6 +123,94 @@ def test_battery_finds_values_of_names_and_urls(spark):
     assert all(got[i] == "" for i in range(60, len(got)))
 
 
+def labelled_tokens(draw, n):
+    """Random tokens of the encodings, and ordinary ones of 20 characters or more: words joined in the usual ways, repeats, sequences."""
+    alphabets = ["0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    words = "the quick brown fox jumps over lazy dog configuration directory internal service request handler default value between market winter garden letter window report people water system history account morning language".split()
+    good = ["".join(draw.choice(alphabets[i % 4]) for _ in range(draw.choice([32, 40, 48, 64]))) for i in range(n)]
+    plain_ = []
+    while len(plain_) < n:
+        some = [draw.choice(words) for _ in range(draw.randint(3, 8))]
+        t = draw.choice(["_".join(some), "-".join(some), "".join(some), "".join(w.title() for w in some), "".join(some) + str(draw.randint(0, 9999)), draw.choice("abcXYZ019") * draw.randint(20, 40), "_".join(some).upper()])
+        if len(t) >= 20:
+            plain_.append(t)
+    return good, plain_
+
+
+def test_false_discoveries_among_labelled_tokens(spark):
+    good, ordinary = labelled_tokens(random.Random(31), 600)
+    docs = spark.createDataFrame([(i, f"x {t} y", None, None, 0) for i, t in enumerate(good + ordinary)], SCHEMA)
+    found = {r["doc_id"] for r in secrets.scan(docs).collect() if "random" in r["spans"]}
+    false = sum(i >= len(good) for i in found)
+    assert false <= 0.02 * len(found) and len(found) - false >= 0.85 * len(good), (false, len(found))
+
+
+def test_added_spans_equal_a_plain_battery(spark):
+    """Tokens, pieces, statistics, cut and choice of pieces written again in plain Python."""
+    from math import erfc, log10, sqrt
+
+    draw = random.Random(5)
+    good, ordinary = labelled_tokens(draw, 80)
+    texts = [" ".join(draw.choice(good + ordinary + ["secret=" + good[0], "a/b-" + good[1] + "/c", good[2] + "_x/" + ordinary[3], "AKIA" + "A7" * 9, "0a" * 15]) for _ in range(draw.randint(0, 6))) for _ in range(60)]
+    rows = {}
+    for d, t in enumerate(texts):
+        base = secrets_twin(t)
+        tokens = []
+        for m in re.finditer(secrets.TOKEN, t):
+            if re.search("[+/]", m[0]) and re.search("[_-]", m[0]):
+                tokens += [(x.start(), x.end(), x[0], True) for p in (secrets.SLASHED, secrets.DASHED) for x in re.finditer(p, t) if m.start() <= x.start() and x.end() <= m.end()]
+            else:
+                tokens.append((m.start(), m.end(), m[0], False))
+        rows[d] = [x for x in dict.fromkeys(tokens) if not any(a < x[1] and x[0] < b for a, _, b in base)]
+
+    def battery(token):
+        body = token.rstrip("=")
+        alphabet = next((a for p, a in secrets.ENCODINGS if re.search(p, body)), "")
+        n, k = len(body), len(alphabet)
+        if not k or n < 20:
+            return False, None
+        chi = sum(body.count(c) ** 2 for c in alphabet) * k / n - n
+        kind = lambda c: "a" if c.islower() else "A" if c.isupper() else "0"
+        changes = sum(kind(x) != kind(y) for x, y in zip(body, body[1:]))
+        change = 1 - sum((sum(kind(c) == g for c in alphabet) / k) ** 2 for g in "aA0")
+        v = [alphabet.index(c) + 1 - (k + 1) / 2 for c in body]
+        r = sum(x * y for x, y in zip(v, v[1:])) / ((k * k - 1) / 12) / (n - 1)
+        z = [(chi - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n), abs(changes - (n - 1) * change) / sqrt((n - 1) * change * (1 - change)) if change else 0, abs(r) * sqrt(n - 1)]
+        shift = max(0.0, (n - 1) * (k * max(secrets.TEXT_COINCIDENCE, 2 / k) - 1))
+        c = secrets.TEXT_CHANGE
+        against = ((chi - (k - 1) - shift) / sqrt(2 * (k - 1) + 4 * shift) - (changes - (n - 1) * c) / sqrt((n - 1) * c * (1 - c)) + (abs(r) - secrets.SERIAL) * sqrt(n - 1)) / sqrt(3)
+        return max(z) <= secrets.REJECT, erfc(-against / sqrt(2)) / 2 / min(max(n / 32, 0.5), 2)
+
+    judged = {d: [(*x, *battery(x[2])) for x in xs] for d, xs in rows.items()}
+    place = lambda p: min(4000, max(0, int(-log10(max(p, 1e-40)) * 100 // 1)))
+    bins = sorted((place(x[5]) for xs in judged.values() for x in xs if x[5] is not None), reverse=True)
+    cut = min((b for b in bins if 10 ** (-b / 100) <= secrets.FALSE_RATE * sum(o >= b for o in bins) / len(bins)), default=5000)
+    for r in secrets.scan(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA)).collect():
+        xs = [x for x in judged[r["doc_id"]] if x[4] and x[5] is not None and place(x[5]) >= cut]
+        inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and a[1] - a[0] < b[1] - b[0]
+        large = lambda a, b: 4 * (a[1] - a[0]) >= 3 * (b[1] - b[0])
+        kept = [x for x in xs if not x[3] or not any(o[3] and (inside(o, x) and large(o, x) or inside(x, o) and not large(x, o)) for o in xs)]
+        want = sorted([*secrets_twin(texts[r["doc_id"]]), *[(x[0], 3, x[1]) for x in kept]])
+        assert r["spans"] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+
+
+def test_normal_tail(spark):
+    from math import erfc, sqrt
+
+    zs = [-30.0, -12.0, -6.0, -5.0, -4.0, -2.5, -2.0, -1.0, 0.0, 1.0, 3.0]
+    for r in spark.createDataFrame([(z,) for z in zs], "z double").select("z", secrets.normal_below(F.col("z")).alias("p")).collect():
+        want = erfc(-r["z"] / sqrt(2)) / 2
+        assert abs(r["p"] / want - 1) < 1e-5, r
+
+
+def test_secrets_of_a_very_long_text(spark):
+    draw = random.Random(3)
+    tokens = ["".join(draw.choice("0123456789abcdef") for _ in range(32)) for _ in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(f"{t} id" for t in tokens), None, None, 0), (2, "a" * 6_000_000, None, None, 0)], SCHEMA)
+    got = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+    assert got[1]["n_hex"] == 100_000 and got[1]["spans"].endswith(f"hex:{36 * 99_999 - 1 + 1}:{36 * 99_999 + 32}") and got[2]["spans"] == "hex:0:6000000" or got[2]["n_hex"] == 0
+
+
 def test_secrets_of_an_empty_table(spark):
     assert secrets.scan(corpus(spark).limit(0)).count() == 0
 
