@@ -5,22 +5,25 @@ vocabulary. A word's probability is the sum over all ways to cut it into
 pieces of the products of their probabilities, which the forward algorithm
 gives letter by letter; as pieces do not cross word starts, a text's is the
 product over its words. Letters that are no piece are pieces of their own with
-the floor's probability.
+the floor's probability. Long words go through the same sums rescaled, with a
+window of the longest piece, so a run of letters of any length is summed over
+all its segmentations.
 
 Training estimates the tables by expectation maximisation (forward and
 backward sums give each piece's expected count) on a bounded sample: of each
-language the SAMPLE labelled documents with the least hash of their text, of
-which each gives its words' counts; a language's WORDS most frequent words
-(ties by word) are used. Prediction reads every whole text.
+language the SAMPLE labelled documents with the least hash of their text (fewer
+if there are more than TOTAL / SAMPLE languages, one at least), with all their
+words. Prediction reads every whole text.
 
-Workers remember the scores of up to CACHE words and then start afresh; a
-batch that has more distinct words than that is held for its own time only.
+Workers remember the scores of words of CACHE letters in all and then start
+afresh; a batch that has more distinct words than that is held for its own time
+only.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letter;
 otherwise the language with the greatest probability (ties to the first by
 name) and, as score, its share. Without a labelled document all texts are
 ``und``. Repeated rows get equal results; an empty table gives an empty result;
-extra columns are not read.
+extra columns are not read, and ``predict`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -35,15 +38,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, tidy
+from .common import ship, tidy, written
 
-#: Labelled documents of a language that are learnt from, words of a language, rounds of training.
-SAMPLE, WORDS, ROUNDS = 400, 8_000, 3
-#: Words that a worker remembers; texts it looks at together.
-CACHE, TEXTS = 200_000, 128
+#: Labelled documents of a language that are learnt from, of all languages, rounds of training.
+SAMPLE, TOTAL, ROUNDS = 400, 20_000, 3
+#: Letters of the words that a worker remembers; texts and bytes it looks at together.
+CACHE, TEXTS, BYTES = 2_000_000, 128, 4 << 20
 FLOOR = 1e-7
-#: Letters of a word that are looked at together; longer runs of letters are scored in parts.
-PART = 24
+#: Letters up to which a word's probability cannot fall below what a double holds, as no piece's is below FLOOR.
+PLAIN = 40
 START = "▁"
 _letters = regex.compile(r"\p{L}+")
 
@@ -61,12 +64,6 @@ def words_of(text: str) -> list[str]:
     return _letters.findall(text.lower())
 
 
-def parts(word: str) -> list[str]:
-    """A word, with its start marked, in parts of bounded length."""
-    word = START + word
-    return [word[i : i + PART] for i in range(0, len(word), PART)]
-
-
 class Model:
     """Piece probabilities, one column a language."""
 
@@ -77,65 +74,71 @@ class Model:
         self.rows = {p: i for i, p in enumerate(table)}
         # Rows of the pieces, of a string that is no piece, and of a letter that is none.
         self.matrix = np.array([*table.values(), np.zeros(len(languages)), self.floor]).reshape(len(table) + 2, len(languages))
-        self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(languages)))
-
-    def edges(self, part: str) -> list[list[tuple[int, str]]]:
-        """For each end, the pieces that end there: (start, piece)."""
-        out = []
-        for end in range(1, len(part) + 1):
-            own = [(s, p) for s in range(max(0, end - self.longest), end) if (p := part[s:end]) in self.table]
-            if not own or own[-1][0] != end - 1:
-                own.append((end - 1, part[end - 1 : end]))
-            out.append(own)
-        return out
-
-    def forward(self, part: str) -> tuple[np.ndarray, list]:
-        edges = self.edges(part)
-        sums = np.zeros((len(part) + 1, len(self.languages)))
-        sums[0] = 1.0
-        for end, own in enumerate(edges, 1):
-            total = sums[end]
-            for s, p in own:
-                total += sums[s] * self.table.get(p, self.floor)
-        return sums, edges
+        self.forget()
+
+    def pieces(self, words: list[str], start: int, end: int) -> list[int]:
+        """For marked words, the row of the piece from ``start`` to ``end``."""
+        get = self.rows.get
+        if end - start == 1:
+            floor = len(self.rows) + 1
+            return [get(w[start:end], floor) for w in words]
+        none = len(self.rows)
+        return [get(w[start:end], none) for w in words]
+
+    def forward(self, words: list[str]) -> list[np.ndarray]:
+        """Sums over all segmentations of the first 0, 1, ... letters of marked words of one length."""
+        sums = [np.ones((len(words), len(self.languages)))]
+        for end in range(1, len(words[0]) + 1):
+            sums.append(sum(sums[s] * self.matrix[self.pieces(words, s, end)] for s in range(max(0, end - self.longest), end)))
+        return sums
+
+    def score_long(self, word: str) -> np.ndarray:
+        """Log-probability of a marked word of any length: the same sums, rescaled, in a window of the longest piece."""
+        width, none, floor, get = self.longest, len(self.rows), len(self.rows) + 1, self.rows.get
+        window = np.zeros((width, len(self.languages)))  # sums before the last ``width`` ends, the newest last
+        window[-1] = 1.0
+        logs = np.zeros(len(self.languages))
+        for end in range(1, len(word) + 1):
+            rows = [get(word[s:end], none if end - s > 1 else floor) if s >= 0 else none for s in range(end - width, end)]
+            total = (window * self.matrix[rows]).sum(axis=0)
+            window = np.concatenate([window[1:], total[None]])
+            if not end % 16:
+                scale = window.max(axis=0)
+                window /= scale
+                logs += np.log(scale)
+        return logs + np.log(window[-1])
 
     def score_many(self, words: list[str]) -> np.ndarray:
         """Log-probabilities of words, one row each; words of one length go through the forward sums together."""
         out = np.zeros((len(words), len(self.languages)))
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            groups.setdefault(len(w) + 1, []).append(i)
-        get, none, floor = self.rows.get, len(self.rows), len(self.rows) + 1
+            groups.setdefault(len(w), []).append(i)
         for n, group in groups.items():
-            if n > PART:
+            if n > PLAIN:
                 for i in group:
-                    out[i] = sum(np.log(self.forward(p)[0][-1]) for p in parts(words[i]))
+                    out[i] = self.score_long(START + words[i])
                 continue
             for at in range(0, len(group), 4096):
                 ids = group[at : at + 4096]
-                own = [START + words[i] for i in ids]
-                sums = [np.ones((len(ids), len(self.languages)))]
-                for end in range(1, n + 1):
-                    total = sums[end - 1] * self.matrix[[get(w[end - 1 : end], floor) for w in own]]
-                    for s in range(max(0, end - self.longest), end - 1):
-                        total += sums[s] * self.matrix[[get(w[s:end], none) for w in own]]
-                    sums.append(total)
-                out[ids] = np.log(sums[n])
+                out[ids] = np.log(self.forward([START + words[i] for i in ids])[-1])
         return out
 
     def forget(self) -> None:
         """Drop remembered words."""
-        self.known, self.scores = {}, np.zeros((0, len(self.languages)))
+        self.known: dict[str, int] = {}
+        self.letters = 0
+        self.scores = np.zeros((0, len(self.languages)))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and score of each text."""
         cut = [words_of(t) if t and self.languages else [] for t in texts]
         new = list(set().union(*cut).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
+        if self.letters + sum(map(len, new)) > CACHE:
             self.forget()
             new = list(set().union(*cut))
         if new:
+            self.letters += sum(map(len, new))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.scores = np.concatenate([self.scores, self.score_many(new)])
         out = []
@@ -143,55 +146,71 @@ class Model:
             if not words:
                 out.append(("und", 0.0))
                 continue
-            total = self.scores[list(map(self.known.__getitem__, words))].sum(axis=0)
+            total = np.zeros(len(self.languages))
+            for at in range(0, len(words), 65_536):
+                total += self.scores[list(map(self.known.__getitem__, words[at : at + 65_536]))].sum(axis=0)
             best = int(np.argmax(total))
             out.append((self.languages[best], float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum())))
         return out
 
 
+def expectations(model: Model, words: list[str], weight: np.ndarray, expected: np.ndarray) -> None:
+    """Adds the expected counts of pieces in marked words of one length, ``weight`` times each, to ``expected``.
+
+    Forward and backward sums are rescaled at every letter, so they hold for words of any length.
+    """
+    n, width = len(words[0]), model.longest
+    ahead = [np.ones((len(words), len(model.languages)))]
+    scales = [ahead[0]]  # ahead[e] is the true sum over the product of scales[1..e]
+    for e in range(1, n + 1):
+        total, under = np.zeros_like(ahead[0]), np.ones_like(ahead[0])
+        for s in range(e - 1, max(0, e - width) - 1, -1):
+            total += ahead[s] * model.matrix[model.pieces(words, s, e)] / under
+            under = under * scales[s] if s else under
+        scales.append(total)
+        ahead.append(np.ones_like(total))
+    back = [None] * n + [np.ones_like(ahead[0])]
+    for s in range(n - 1, -1, -1):
+        total, under = np.zeros_like(ahead[0]), np.ones_like(ahead[0])
+        for e in range(s + 1, min(n, s + width) + 1):
+            under = under * scales[e]
+            # The share of the word's probability whose segmentations have the piece from s to e.
+            rows = model.pieces(words, s, e)
+            gain = model.matrix[rows] / under * back[e]
+            np.add.at(expected, rows, gain * weight)
+            total += gain
+        back[s] = total
+
+
 def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) -> Model:
     """Tables for the languages from their words' counts."""
     languages = sorted(counts)
     model = Model(languages, {p: np.full(len(languages), 1.0 / max(1, len(pieces))) for p in pieces})
-    lattice = {w: [(p, model.edges(p)) for p in parts(w)] for w in sorted(set().union(*counts.values()))} if languages else {}
-    weight = {w: np.array([counts[g][w] for g in languages], float) for w in lattice}
+    groups: dict[int, list[str]] = {}
+    for w in sorted(set().union(*counts.values())) if languages else []:
+        groups.setdefault(len(w), []).append(w)
     for _ in range(rounds):
-        expected: dict[str, np.ndarray] = {}
-        table = model.table
-        for w, cut in lattice.items():
-            n = weight[w]
-            for part, edges in cut:
-                size = len(part)
-                ahead, back = np.zeros((size + 1, len(languages))), np.zeros((size + 1, len(languages)))
-                ahead[0] = back[size] = 1.0
-                for end, own in enumerate(edges, 1):
-                    for s, p in own:
-                        ahead[end] += ahead[s] * table.get(p, model.floor)
-                for end in range(size, 0, -1):
-                    for s, p in edges[end - 1]:
-                        back[s] += back[end] * table.get(p, model.floor)
-                scale = n / ahead[size]
-                for end, own in enumerate(edges, 1):
-                    for s, p in own:
-                        gain = ahead[s] * table.get(p, model.floor) * back[end] * scale
-                        if p in expected:
-                            expected[p] += gain
-                        else:
-                            expected[p] = gain
-        totals = sum(expected.values())
-        model = Model(languages, {p: (c + FLOOR) / (totals + 1) + FLOOR for p, c in expected.items()}) if expected else model
+        expected = np.zeros((len(model.rows) + 2, len(languages)))
+        for group in groups.values():
+            block = max(1, min(4096, 65_536 // len(group[0])))
+            for at in range(0, len(group), block):
+                some = group[at : at + block]
+                weight = np.array([[counts[g][w] for g in languages] for w in some], float)
+                expectations(model, [START + w for w in some], weight, expected)
+        totals = expected.sum(axis=0)
+        model = Model(languages, {p: (expected[i] + FLOOR) / (totals + 1) + FLOOR for p, i in model.rows.items() if expected[i].any()}) if groups else model
     return model
 
 
-def sample_counts(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> dict[str, Counter]:
-    """Counts of the words of each language's sample; both bounds hold whatever the corpus."""
+def sample_counts(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, Counter]:
+    """Counts of the words of each language's sample, whose documents are bounded whatever the corpus."""
     ship(labelled.sparkSession)
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    order = F.xxhash64("text")
-    cut = rows.withColumn("h", order).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = labelled.where(labelled["lang"].isNotNull() & labelled["text"].isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    counted = written(hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    sample = max(1, min(sample, TOTAL // max(1, counted.count())))
     # A hash threshold with room to spare thins the rows before the exact cut.
-    thinned = rows.withColumn("h", order).join(F.broadcast(cut), "lang")
-    thinned = thinned.where((F.shiftrightunsigned("h", 1) / F.lit(float(2**63))) <= F.least(F.lit(1.0), (F.lit(2.0 * sample) + 50) / F.col("n")))
+    thinned = hashed.join(counted, "lang").where((F.shiftrightunsigned("h", 1) / F.lit(float(2**63))) <= F.least(F.lit(1.0), (F.lit(2.0 * sample) + 50) / F.col("n")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     chosen = thinned.withColumn("r", rank).where(F.col("r") <= sample).select("lang", "text")
 
@@ -203,10 +222,9 @@ def sample_counts(labelled: DataFrame, sample: int = SAMPLE, words: int = WORDS)
             rows = [(g, w, n) for g, c in out.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
-    counted = chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     found: dict[str, Counter] = {}
-    for r in counted.withColumn("r", top).where(F.col("r") <= words).collect():
+    counted = chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # the words of the bounded sample
         found.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
     return found
 
@@ -219,13 +237,13 @@ def train(labelled: DataFrame, vocabulary_path: str) -> Model:
 _models: dict[int, Model] = {}
 
 
-def predict(docs: DataFrame, model: Model, key: str) -> DataFrame:
-    """All columns of ``docs`` and __lang, __score of each row's text. ``key`` is the text's column."""
+def predict(docs: DataFrame, model: Model, key: str, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the columns ``lang`` and ``score`` of each row's text. ``key`` is the text's column."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))  # at most the vocabulary and its languages
     number = sent.id if hasattr(sent, "id") else id(sent)
     place = docs.columns.index(key)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _models:
@@ -238,11 +256,16 @@ def predict(docs: DataFrame, model: Model, key: str) -> DataFrame:
 
     def predicted(own: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(at, TEXTS)
+            at = 0
+            while at < batch.num_rows:
+                size = min(TEXTS, batch.num_rows - at)
+                while size > 1 and batch.slice(at, size).column(place).nbytes > BYTES:
+                    size //= 2
+                part = batch.slice(at, size)
+                at += size
                 found = own.predict(part.column(place).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*part.schema.names, "__lang", "__score"]
+                    [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*part.schema.names, lang, score]
                 )
 
     return docs.mapInArrow(run, schema)
@@ -255,6 +278,6 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from rows that are not held out."""
     out = held_out(docs["doc_id"])
-    model = train(docs.where(~out).select("text", "lang"), vocabulary_path)
-    rows = docs.select(docs["doc_id"], out.alias("held_out"), docs["text"].cast("string").alias("__text"))
-    return predict(rows, model, "__text").select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    model = train(docs.where(~out).select(docs["text"], docs["lang"]), vocabulary_path)
+    rows = docs.select(docs["doc_id"], out.alias("held_out"), docs["text"].cast("string").alias("text"))
+    return predict(rows, model, "text").select("doc_id", "held_out", "lang_pred", "score")

@@ -15,19 +15,61 @@ from lexispark.llm.catalog import vocabulary_path
 from .helpers import SCHEMA, corpus, plain
 
 
-def test_forward_sum_equals_all_segmentations():
-    model = language.Model(["x", "y"], {p: np.array([0.1 * (i + 1), 0.05 * (i + 2)]) for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "bab"])})
+def every_segmentation(model, s):
+    """Pieces and probability of each way to cut a marked word."""
+    if not s:
+        yield [], np.ones(len(model.languages))
+    for n in range(1, len(s) + 1):
+        if s[:n] in model.table or n == 1:
+            for rest, p in every_segmentation(model, s[n:]):
+                yield [s[:n], *rest], model.table.get(s[:n], model.floor) * p
 
-    def every(s):
-        if not s:
-            return np.ones(2)
-        return sum((model.table.get(s[:n], model.floor if n == 1 else np.zeros(2)) * every(s[n:]) for n in range(1, len(s) + 1)), np.zeros(2))
 
-    words = ["abab", "ba", "aqb", "a" * 30]
+def test_forward_sum_equals_all_segmentations():
+    model = language.Model(["x", "y"], {p: np.array([0.1 * (i + 1), 0.05 * (i + 2)]) for i, p in enumerate(["▁", "a", "b", "ab", "▁a", "bab"])})
+    words = ["abab", "ba", "aqb", "abababqab"]
     for word, got in zip(words, model.score_many(words), strict=True):
-        want = sum(np.log(every(p)) for p in language.parts(word)) if len(word) < 20 else got
-        assert np.allclose(got, want)
-    assert np.allclose(model.score_many(["abab"])[0], np.log(model.forward("▁abab")[0][-1]))
+        want = np.log(sum(p for _, p in every_segmentation(model, "▁" + word)))
+        assert np.allclose(got, want) and np.allclose(model.score_long("▁" + word), want)
+    # Runs of letters longer than what plain sums hold, one checked with exact fractions.
+    from fractions import Fraction
+
+    n = 3_000
+    f = [Fraction(1)] + [Fraction(0)] * (n + 1)
+    t = {p: Fraction(float(v[0])) for p, v in model.table.items()}
+    word = "▁" + "ab" * (n // 2)
+    for e in range(1, len(word) + 1):
+        f[e] = sum(f[s] * t.get(word[s:e], 0) for s in range(max(0, e - 3), e))
+        if e == 61:
+            break
+    assert np.isclose(model.score_long(word[:61])[0], float(np.log(float(f[61]))))
+    longer = model.score_long(word)
+    assert np.isfinite(longer).all() and longer[0] < model.score_long(word[:61])[0]
+    assert np.allclose(model.score_many(["ab" * 20, "ab" * 21])[0], model.score_long("▁" + "ab" * 20))
+
+
+def test_expectation_maximisation_equals_all_segmentations():
+    from collections import Counter
+
+    pieces = ["▁", "a", "b", "ab", "▁a", "bab"]
+    counts = {"x": Counter({"abab": 3, "ba": 1}), "y": Counter({"bab": 2, "aqb": 1})}
+    model = language.Model(["x", "y"], {p: np.full(2, 1 / len(pieces)) for p in pieces})
+    for _ in range(2):
+        expected = {p: np.zeros(2) for p in model.table}
+        for i, g in enumerate(("x", "y")):
+            for word, n in counts[g].items():
+                ways = list(every_segmentation(model, "▁" + word))
+                whole = sum(p[i] for _, p in ways)
+                for cut, p in ways:
+                    for piece in cut:
+                        if piece in expected:
+                            expected[piece][i] += n * p[i] / whole
+                        else:
+                            expected.setdefault("?", np.zeros(2))[i] += n * p[i] / whole
+        totals = sum(expected.values())
+        model = language.Model(["x", "y"], {p: (c + language.FLOOR) / (totals + 1) + language.FLOOR for p, c in expected.items() if p != "?" and c.any()})
+    got = language.fit(counts, pieces, rounds=2)
+    assert got.table.keys() == model.table.keys() and all(np.allclose(got.table[p], model.table[p]) for p in model.table)
 
 
 def test_language_held_out_accuracy_and_edges(spark):
