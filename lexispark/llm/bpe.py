@@ -7,8 +7,10 @@ are a doubly linked list; an entry whose symbols have changed since is stale
 and skipped. Decoding looks each id's string up and concatenates them.
 
 The vocabulary file's path is a parameter; workers read it once. Encoded
-pre-tokens are remembered, up to CACHE of them, after which the memory is
-emptied, so memory is bounded whatever the corpus.
+pre-tokens of up to REMEMBERED letters are remembered, up to CACHE of them,
+after which the memory is emptied. A long text is encoded BLOCK pre-tokens at a
+time, and merging one takes some sixty bytes for each of its own, so memory is
+bounded by the longest text and the longest run without a cut in it.
 
 Defined results: a null or empty text has no tokens; rows are independent, so
 repeated rows get equal results; an empty table gives an empty result; extra
@@ -18,10 +20,12 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import ship, tidied, tidy
 
-#: Pre-tokens that a worker remembers.
-CACHE = 150_000
+#: Pre-tokens that a worker remembers, letters of one; pre-tokens that are looked at together.
+CACHE, REMEMBERED, BLOCK = 150_000, 64, 65_536
+#: Bytes of the texts whose ids are held together.
+BYTES = 4 << 20
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -64,36 +70,45 @@ class Bpe:
         self.strings |= {i: s.encode() for s, i in added.items()}
         self.added = added
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.words = regex.compile(PATTERN).findall
+        pattern = regex.compile(PATTERN)
+        self.words, self.each = pattern.findall, pattern.finditer
         self.known: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one pre-token."""
-        symbols = [self.single[b] for b in data]
+        # Lists are faster, arrays of numbers smaller.
+        held = list if len(data) <= BLOCK else lambda xs: array("i", xs)
+        symbols = held([self.single[b] for b in data])
         n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merges, queue = self.merges, []
-        for i in range(n - 1):
-            if found := merges.get((symbols[i], symbols[i + 1])):
-                queue.append((found[0], i, symbols[i], symbols[i + 1], found[1]))
-        heapq.heapify(queue)
+        after, before = held(range(1, n + 1)), held(range(-1, n - 1))
+        get = self.merges.get
+        # An entry is rank and place in one number; a pair's rank is its own, so a stale entry shows by another rank.
+        queue = [found[0] << 32 | i for i, pair in enumerate(zip(symbols, symbols[1:])) if (found := get(pair))]
+        heapify(queue)
         while queue:
-            _, i, left, right, joined = heapq.heappop(queue)
-            j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
+            entry = heappop(queue)
+            i = entry & 0xFFFFFFFF
+            if (left := symbols[i]) < 0 or (j := after[i]) >= n or not (found := get((left, symbols[j]))) or found[0] != entry >> 32:
                 continue  # stale: one of the two has been merged since
+            joined = found[1]
             symbols[i], symbols[j] = joined, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((joined, symbols[k])):
-                    heapq.heappush(queue, (found[0], i, joined, symbols[k], found[1]))
-            if (h := before[i]) >= 0 and (found := merges.get((symbols[h], joined))):
-                heapq.heappush(queue, (found[0], h, symbols[h], joined, found[1]))
+                if found := get((joined, symbols[k])):
+                    heappush(queue, found[0] << 32 | i)
+            if (h := before[i]) >= 0 and (found := get((symbols[h], joined))):
+                heappush(queue, found[0] << 32 | h)
         return [s for s in symbols if s != -1]
 
     def _plain(self, text: str) -> bytes:
-        known, words = self.known, self.words(text)
+        if len(text) <= BLOCK:
+            return self._ids(self.words(text))
+        found = (m[0] for m in self.each(text))
+        return b"".join(iter(lambda: self._ids(list(islice(found, BLOCK))), b""))
+
+    def _ids(self, words: list[str]) -> bytes:
+        known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
@@ -101,9 +116,11 @@ class Bpe:
             for w in words:
                 ids = known.get(w)
                 if ids is None:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    ids = known[w] = np.array(self.merge(w.encode()), "<u4").tobytes()
+                    ids = np.array(self.merge(w.encode()), "<u4").tobytes()
+                    if len(w) <= REMEMBERED:
+                        if len(known) >= CACHE:
+                            known.clear()
+                        known[w] = ids
                 out.append(ids)
             return b"".join(out)
 
@@ -115,7 +132,8 @@ class Bpe:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: their strings, concatenated; bytes that are not UTF-8 become U+FFFD."""
-        return b"".join(map(self.strings.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        numbers, get = np.frombuffer(ids, "<u4"), self.strings.__getitem__
+        return b"".join([b"".join(map(get, numbers[i : i + BLOCK].tolist())) for i in range(0, len(numbers), BLOCK)]).decode("utf-8", "replace")
 
 
 _loaded: dict[str, Bpe] = {}
@@ -155,8 +173,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            at = 0
+            while at < batch.num_rows:
+                size = min(256, batch.num_rows - at)
+                while size > 1 and batch.slice(at, size).column(1).nbytes > BYTES:
+                    size //= 2
+                part = batch.slice(at, size)
+                at += size
                 ids = [bpe.encode(t.as_py() or "") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays(
                     [
