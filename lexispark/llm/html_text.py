@@ -11,6 +11,8 @@ that rule the labelling with the greatest total likelihood is found from the
 leaves up, so no block is kept in a menu that is dropped, nor a dropped
 article's paragraph.
 
+Reading takes time that grows with the page's length, whatever is broken in it.
+
 Defined results: a null or empty page, or one without kept blocks, gives the
 empty text; broken markup is closed where a browser would, text after an
 unclosed tag start is text; repeated rows get equal results; an empty table
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame
 from . import boosting
 from .common import ship, tidied
 
-#: Pages that the model is trained on, and the seed that makes them.
-EXAMPLES, SEED = 500, 20_240
-#: Pages whose nodes are scored together.
-PAGES = 64
+#: Pages that the model is trained on, the seed that makes them, and trees.
+EXAMPLES, SEED, ROUNDS = 500, 20_240, 80
+#: Pages, and bytes of them, whose nodes are scored together.
+PAGES, BYTES = 64, 4 << 20
 
 # Elements by their role in the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,7 +70,9 @@ for _i, _g in enumerate(TOKEN_GROUPS):
     for _t in _g.split():
         _GROUPS_OF_TOKEN.setdefault(_t, []).append(_i)
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+_STOP = re.compile(r"[>=]")
+_QUOTE = re.compile(r"\s*+([\"'])")
 _ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PIECES = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -94,10 +98,99 @@ def _tokens(attributes: str) -> tuple[frozenset[int], bool]:
     return frozenset(groups), hidden
 
 
+class Tags:
+    """Reads markup from left to right in time that grows with the page's length, whatever is broken in it.
+
+    What has once been looked for in vain to the page's end is not looked for
+    again: an end of a tag, a quotation mark, a comment's end, an element's end.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.none = html, set()
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of ``what``, or -1."""
+        if what in self.none:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """Where the tag that goes on at ``at`` ends: past its first > outside of quoted values; -1 without one."""
+        start, html = at, self.html
+        while "quotes" not in self.none:
+            stop = _STOP.search(html, at)
+            if not stop:
+                self.none.add("quotes")  # the rest is one open tag: from here on, quotes do not count
+                break
+            at = stop.end()
+            if stop[0] == ">":
+                return at
+            if (quote := _QUOTE.match(html, at)) and (over := self.find(quote[1], quote.end())) >= 0:
+                at = over + 1
+        return self.find(">", start) + 1 or -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """The next tag: begin, end, lower-case name (empty for comments and such), whether it is an end tag, attributes."""
+        html = self.html
+        while (begin := self.find("<", at)) >= 0:
+            at = begin + 1
+            if html.startswith("!--", at):
+                over = self.find("-->", at + 3)
+                return begin, over + 3 if over >= 0 else len(html), "", False, ""
+            if html.startswith(("!", "?"), at):
+                over = self.find(">", at)
+                if over >= 0:
+                    return begin, over + 1, "", False, ""
+                continue
+            closing = html.startswith("/", at)
+            if (name := _NAME.match(html, at + closing)) and (over := self.end(name.end())) >= 0:
+                return begin, over, name[0].lower(), closing, html[name.end() : over - 1]
+        return None
+
+    def close(self, tag: str, at: int) -> int:
+        """Past the next end tag of an element whose content is raw; -1 without one."""
+        if "</" + tag in self.none:
+            return -1
+        for m in re.compile(rf"</{re.escape(tag)}(?![A-Za-z0-9-])", re.I).finditer(self.html, at):
+            over = self.find(">", m.end())
+            return over + 1 if over >= 0 else -1
+        self.none.add("</" + tag)
+        return -1
+
+
+class Open:
+    """The open elements, with the places of each name's and of the blocks."""
+
+    def __init__(self):
+        self.all: list[tuple[str, int]] = []  # element and, for a block, its node, else -1
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.all))
+        if node >= 0:
+            self.blocks.append(len(self.all))
+        self.all.append((tag, node))
+
+    def pop(self) -> tuple[str, int]:
+        tag, node = self.all.pop()
+        self.places[tag].pop()
+        if node >= 0:
+            self.blocks.pop()
+        return tag, node
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these names, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+
 def parse(html: str) -> list[list]:
     """Nodes in page order; a text block's TEXT is its text, an element's is empty. The first is the root."""
     nodes: list[list] = [[-1, "#root", 0, "", 0, 0, frozenset(), 0, False, 0, 0, 0, 0]]
-    open_tags: list[tuple[str, int]] = []  # element and, for a block, its node, else -1
+    tags, opened = Tags(html), Open()
     pieces: list[str] = []
     linked = 0
     inside_link = 0
@@ -124,8 +217,8 @@ def parse(html: str) -> list[list]:
     def close(upto: int) -> None:
         """Close open elements down to place ``upto``."""
         nonlocal here, inside_link
-        while len(open_tags) > upto:
-            tag, node = open_tags.pop()
+        while len(opened.all) > upto:
+            tag, node = opened.pop()
             if node >= 0:
                 here = nodes[node][PARENT]
             elif tag == "a":
@@ -133,71 +226,67 @@ def parse(html: str) -> list[list]:
 
     at, end = 0, len(html)
     while True:
-        m = _TAG.search(html, at)
-        text(html[at : m.start()] if m else html[at:])
-        if not m:
+        found = tags.next(at)
+        text(html[at : found[0]] if found else html[at:])
+        if not found:
             break
-        at = m.end()
-        tag = m[2].lower() if m[2] else None
-        if tag is None:
+        begin, at, tag, closing, attributes = found
+        if not tag:
             continue
-        if m[1]:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    if tag in BLOCK:
-                        flush(m.start())
-                    elif any(node >= 0 for _, node in open_tags[i:]):
-                        break  # an inline end tag does not close blocks
+        if closing:
+            i = opened.last(tag)
+            if i >= 0:
+                if tag in BLOCK:
+                    flush(begin)
+                    close(i)
+                elif not opened.blocks or opened.blocks[-1] < i:  # an inline end tag does not close blocks
                     close(i)
-                    break
             continue
+        whole = attributes.endswith("/")
         if tag in RAW:
-            over = re.compile(rf"</{re.escape(tag)}\b[^>]*+>", re.I).search(html, at) if not m[3].rstrip().endswith("/") else None
-            if over:
-                at = over.end()
-            elif tag in ("script", "style", "textarea", "title", "xmp") and not m[3].rstrip().endswith("/"):
+            over = -1 if attributes.rstrip().endswith("/") else tags.close(tag, at)
+            if over >= 0:
+                at = over
+            elif tag in ("script", "style", "textarea", "title", "xmp") and not attributes.rstrip().endswith("/"):
                 at = end
             pieces.append(" ")
             continue
-        if tag == "br" or tag in VOID and tag != "hr":
+        if tag in VOID and tag != "hr":
             if tag == "br":
                 pieces.append("\n")
             continue
         if tag in BLOCK:
-            flush(m.start())
+            flush(begin)
             if tag in CLOSES:
                 ends, borders = CLOSES[tag]
-                for i in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[i][0] in borders:
-                        break
-                    if open_tags[i][0] in ends:
-                        close(i)
-                        break
-            for i in range(len(open_tags) - 1, -1, -1):  # a block ends an open paragraph and the inline elements in it
-                if open_tags[i][0] == "p":
+                i = opened.last(*ends)
+                if i > opened.last(*borders):
                     close(i)
-                    break
-                if open_tags[i][1] >= 0:
-                    break
+            if opened.blocks and opened.all[opened.blocks[-1]][0] == "p":  # a block ends an open paragraph and the inline elements in it
+                close(opened.blocks[-1])
             if tag == "hr":
                 continue
-            groups, hidden = _tokens(m[3]) if m[3] else (frozenset(), False)
+            groups, hidden = _tokens(attributes) if attributes else (frozenset(), False)
             parent = nodes[here]
-            nodes.append([here, tag, parent[DEPTH] + 1, "", 0, 1, groups, m.start(), hidden, 0, 0, 0, parent[CHILDREN]])
+            nodes.append([here, tag, parent[DEPTH] + 1, "", 0, 1, groups, begin, hidden, 0, 0, 0, parent[CHILDREN]])
             parent[CHILDREN] += 1
             here = len(nodes) - 1
-            open_tags.append((tag, here))
+            opened.push(tag, here)
         else:
-            if not m[3].endswith("/"):
-                open_tags.append((tag, -1))
+            if not whole:
+                opened.push(tag, -1)
                 inside_link += tag == "a"
             nodes[here][TAGS] += 1
     flush(end)
     return nodes
 
 
-def features(nodes: list[list], size: int) -> np.ndarray:
-    """Features of the nodes of one page."""
+#: Features of a node; nodes whose features are held together.
+WIDTH, NODES = 14 + len(TAG_GROUPS) * 2 + len(TOKEN_GROUPS) * 2 + 2, 65_536
+
+
+def features(nodes: list[list], size: int) -> Iterator[np.ndarray]:
+    """Features of the nodes of one page, NODES at a time."""
     n = len(nodes)
     chars, links, tags, blocks, marks = ([0] * n for _ in range(5))
     for i in range(n - 1, -1, -1):
@@ -213,39 +302,36 @@ def features(nodes: list[list], size: int) -> np.ndarray:
             blocks[p] += blocks[i]
             marks[p] += marks[i]
     total = max(1, chars[0])
-    width = 14 + len(TAG_GROUPS) * 2 + len(TOKEN_GROUPS) * 2 + 2
-    x = np.zeros((n, width))
     above: list[frozenset] = [frozenset()] * n
     tags_above: list[frozenset] = [frozenset()] * n
+    hidden = [False] * n
+    own_tag = [frozenset((_GROUP_OF_TAG[node[TAG]],)) if node[TAG] in _GROUP_OF_TAG else frozenset() for node in nodes]
+    x = np.zeros((0, WIDTH))
     for i, node in enumerate(nodes):
+        if not i % NODES:
+            if i:
+                yield x
+            x = np.zeros((min(NODES, n - i), WIDTH))
         p = node[PARENT]
         siblings = nodes[p][CHILDREN] if p >= 0 else 1
         c = chars[i]
-        row = [
+        row = x[i % NODES]
+        row[:14] = [
             math.log1p(c), links[i] / (c + 1), math.log((c + 1) / (tags[i] + 1)), node[DEPTH], node[INDEX] / siblings, math.log1p(siblings), math.log1p(blocks[i]),
             c / (blocks[i] + 1), marks[i] / (c + 1), node[START] / (size + 1), c / total, math.log1p(node[CHILDREN]), c / (chars[p] + 1) if p >= 0 else 1.0, (chars[p] - c) / siblings if p >= 0 else 0.0,
         ]
-        x[i, :14] = row
-        own = frozenset((_GROUP_OF_TAG[node[TAG]],)) if node[TAG] in _GROUP_OF_TAG else frozenset()
         if p >= 0:
             above[i] = above[p] | nodes[p][TOKENS]
-            tags_above[i] = tags_above[p] | (frozenset((_GROUP_OF_TAG[nodes[p][TAG]],)) if nodes[p][TAG] in _GROUP_OF_TAG else frozenset())
+            tags_above[i] = tags_above[p] | own_tag[p]
+        hidden[i] = node[HIDDEN] or (p >= 0 and hidden[p])
         at = 14
-        for g in own:
-            x[i, at + g] = 1
-        at += len(TAG_GROUPS)
-        for g in tags_above[i]:
-            x[i, at + g] = 1
-        at += len(TAG_GROUPS)
-        for g in node[TOKENS]:
-            x[i, at + g] = 1
-        at += len(TOKEN_GROUPS)
-        for g in above[i]:
-            x[i, at + g] = 1
-        at += len(TOKEN_GROUPS)
-        x[i, at] = node[HIDDEN] or (p >= 0 and x[p, at])
-        x[i, at + 1] = "©" in node[TEXT][:200]
-    return x
+        for groups, width in ((own_tag[i], len(TAG_GROUPS)), (tags_above[i], len(TAG_GROUPS)), (node[TOKENS], len(TOKEN_GROUPS)), (above[i], len(TOKEN_GROUPS))):
+            for g in groups:
+                row[at + g] = 1
+            at += width
+        row[at] = hidden[i]
+        row[at + 1] = "©" in node[TEXT]
+    yield x
 
 
 def decode(nodes: list[list], margin: np.ndarray) -> list[bool]:
@@ -271,6 +357,7 @@ def example_page(chance: random.Random) -> tuple[str, set[str]]:
     """A page of a random layout, and its blocks of main text."""
     main: set[str] = set()
     pick = chance.choice
+    strange = chance.random() < 0.4  # a page whose names say nothing but for those of adverts, notices and comments
 
     def words(low: int, high: int) -> str:
         out = [pick(_WORDS) for _ in range(chance.randint(low, high))]
@@ -286,8 +373,8 @@ def example_page(chance: random.Random) -> tuple[str, set[str]]:
         return f'<a href="/{pick(_WORDS)}">{unique(words(1, 3))}</a>'
 
     def attribute(group: int, often: float = 0.85) -> str:
-        if chance.random() > often:
-            return pick(["", f' class="{pick(["box", "row", "col", "wrap", "c1", "inner"])}"'])
+        if strange and often < 1 or chance.random() > often:
+            return pick(["", f' class="{pick(["box", "row", "col", "wrap", "c1", "inner"])}"', f' class="{"".join(pick("bcdfghklmnprstvwz") + pick("aeiou") for _ in range(3))}"'])
         token = pick(TOKEN_GROUPS[group].split())
         return pick([f' class="{token}"', f' id="{token}"', f' class="{token}-{pick(["box", "list", "wrap", "1"])}"', f' class="site-{token} row"'])
 
@@ -379,7 +466,7 @@ def example_page(chance: random.Random) -> tuple[str, set[str]]:
 
 
 def labelled(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of example pages; an element is main text if most of its text is."""
+    """Features and labels of the nodes of example pages; an element is kept if any of its text is main text."""
     chance = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
@@ -393,20 +480,30 @@ def labelled(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
             if i:
                 kept[nodes[i][PARENT]] += kept[i]
                 every[nodes[i][PARENT]] += every[i]
-        xs.append(features(nodes, len(html)))
+        xs.extend(features(nodes, len(html)))
         ys.append(np.array([k > 0 for k in kept], float))
     return np.concatenate(xs), np.concatenate(ys)
 
 
 def train(pages: int = EXAMPLES, seed: int = SEED) -> boosting.Trees:
     x, y = labelled(pages, seed)
-    return boosting.fit(x, y)
+    return boosting.fit(x, y, rounds=ROUNDS)
 
 
 def main_texts(pages: list[str], model: boosting.Trees) -> list[str]:
     """Main text of each page."""
     trees = [parse(p) for p in pages]
-    margins = model.margin(np.concatenate([features(t, len(p)) for t, p in zip(trees, pages, strict=True)]))
+    margins, held, count = [], [], 0
+    for t, p in zip(trees, pages, strict=True):
+        for x in features(t, len(p)):
+            held.append(x)
+            count += len(x)
+            if count > NODES:
+                margins.append(model.margin(np.concatenate(held)))
+                held, count = [], 0
+    if held:
+        margins.append(model.margin(np.concatenate(held)))
+    margins = np.concatenate(margins)
     out, at = [], 0
     for nodes in trees:
         own = margins[at : at + len(nodes)].copy()
@@ -426,8 +523,13 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for at in range(0, batch.num_rows, PAGES):
-                part = batch.slice(at, PAGES)
+            at = 0
+            while at < batch.num_rows:
+                size = min(PAGES, batch.num_rows - at)
+                while size > 1 and batch.slice(at, size).column(2).nbytes > BYTES:
+                    size //= 2
+                part = batch.slice(at, size)
+                at += size
                 texts = main_texts([h or "" for h in part.column(2).to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

@@ -271,11 +271,71 @@ def test_page_text_on_fresh_layouts():
     model = html_text.train()
     draw = random.Random(77)
     right = wrong = lost = 0
-    for _ in range(150):
+    for _ in range(300):
         page, main = html_text.example_page(draw)
         got = {b for b in html_text.main_texts([page], model)[0].split("\n") if b}
         right, wrong, lost = right + len(got & main), wrong + len(got - main), lost + len(main - got)
-    assert wrong <= 0.02 * right and lost <= 0.05 * right
+    assert wrong <= 0.02 * right and lost <= 0.03 * right
+
+
+#: Pages written by hand, not by the generator: (page, blocks of main text, blocks that must go).
+BY_HAND = [
+    (
+        """<html><body><div class="qx1"><ul><li><a href=/a>Start</a><li><a href=/b>News</a><li><a href=/c>Sport</a><li><a href=/d>Kontakt</a></ul></div>
+        <div class="qx2"><h1>Hochwasser am Oberlauf</h1><p>Nach drei Tagen Regen ist der Fluss am Dienstag, wie erwartet, über die Ufer getreten; die Feuerwehr pumpte Keller aus.</p>
+        <p>Die Behörden rechnen damit, dass der Pegel bis zum Wochenende sinkt. Schäden wurden vor allem an Brücken gemeldet.</p>
+        <blockquote>So hoch stand das Wasser zuletzt vor vierzig Jahren, sagte eine Anwohnerin.</blockquote></div>
+        <footer>&copy; 2024 Verlag, alle Rechte vorbehalten. <a href=/i>Impressum</a> <a href=/x>Datenschutz</a></footer></body></html>""",
+        ["Hochwasser am Oberlauf", "Nach drei Tagen Regen", "Die Behörden rechnen", "So hoch stand"],
+        ["Kontakt", "Impressum"],
+    ),
+    (
+        """<!doctype html><body><header><a href=/>Daily Lens</a><nav><a href=/1>World</a> <a href=/2>Business</a> <a href=/3>Arts</a></nav></header>
+        <main><article><header><h1>A museum reopens</h1></header><p>After a decade of work, the town's museum opened its doors on Sunday, and a queue of visitors reached the market square before noon.</p>
+        <h2>What is new</h2><ul><li>A hall for maps, with light from the north.</li><li>Two rooms for printing, and one for paper.</li></ul>
+        <p>Entrance is free on the first Monday of each month, the director said.</p></article>
+        <aside><h3>Most read</h3><ol><li><a href=/x>Ten walks by the sea</a><li><a href=/y>How to bake rye bread</a></ol></aside></main>
+        <form action=/s><label>Get our mail</label><input name=e><button>Join</button></form><footer>Contact us · Terms</footer></body>""",
+        ["A museum reopens", "After a decade", "What is new", "A hall for maps", "Two rooms for printing", "Entrance is free"],
+        ["Business", "Most read", "Ten walks", "Get our mail", "Terms"],
+    ),
+    (
+        """<body><table><tr><td><a href=1>One</a><td><a href=2>Two</a><td><a href=3>Three</a></table><div id=k9><h1>On tides</h1><div>The sea rises twice a day in most places, because the moon, and less so the sun, pull at it as the earth turns.</div>
+        <div>Where a bay is long and narrow, the difference can exceed ten metres, which fishermen have known for centuries.</div></div>
+        <section class="comments"><h3>2 comments</h3><div><b>Ann</b><p>Lovely piece, thank you.</p></div><div><b>Bo</b><p>I saw this in Fundy!</p></div></section></body>""",
+        ["On tides", "The sea rises", "Where a bay"],
+        ["Lovely piece", "I saw this", "2 comments", "Three"],
+    ),
+    (
+        """<body><div role="alert">We use cookies to improve your visit. <button>Accept</button></div><nav class=z><ul><li><a href=/>Home</a></li><li><a href=/q>Quiz</a></li></ul></nav>
+        <article class="zz"><h1>Café culture &amp; trams</h1><p>Vienna&rsquo;s trams run late; its cafés, later. Both are best on a weekday, when there is room to sit and read.</p><pre>line 1: every 6 min</pre></article>
+        <div class="advert">Buy two lamps, pay one!</div></body>""",
+        ["Café culture & trams", "Vienna’s trams run late", "line 1: every 6 min"],
+        ["cookies", "Quiz", "Buy two lamps"],
+    ),
+]
+
+
+def test_page_text_of_pages_written_by_hand():
+    model = html_text.train()
+    lost, wrong = [], []
+    for page, keep, drop in BY_HAND:
+        text = html_text.main_texts([page], model)[0]
+        lost += [k for k in keep if k not in text]
+        wrong += [d for d in drop if d in text]
+    assert len(lost) <= 1 and len(wrong) <= 1, (lost, wrong)
+
+
+def test_broken_pages_are_read_in_linear_time():
+    import time
+
+    for page in ("<a ", "<b>", "<li><b>", '<a x="', "<a b='>", "<!-- ", "<script ", "</script", "<noscript>", "&amp", "<p>x"):
+        begin = time.time()
+        html_text.parse(page * (1_000_000 // len(page)))
+        html_text.parse("<i>" + "<div>" * 100_000 + "</i>" * 100_000 + page)
+        assert time.time() - begin < 30, page
+    model = html_text.train(pages=60)
+    assert html_text.main_texts(["<a " * 300_000], model)[0].count("<a") in (0, 300_000)
 
 
 def test_page_text_details(spark):
