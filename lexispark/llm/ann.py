@@ -8,12 +8,15 @@ list of its nearest centroid and of up to REPLICAS - 1 others that are hardly
 farther (boundary vectors). A query walks an in-memory graph of the centroids
 (nearest neighbours and a few far links), keeps those whose distance is within
 a ratio of the nearest's (and the LEAST nearest ones in any case, as a query
-may lie on a centroid), and searches their lists. There are MAX_LISTS lists at
-most, whatever the table, so PROBES is a fixed share of them and recall does
-not fall with the table's size; the lists of a larger table are longer.
-
-Bounds: centroids and graph are MAX_LISTS rows at most and are broadcast. Lists
-of more than PART components are dealt in parts, queries of a list in blocks
+may lie on a centroid), and searches their lists, the nearest ones that
+``probes`` allows. Lists grow with the root of the table and probes with
+lists ** 0.6, so the share that is searched falls as the table grows, at a
+measured recall (README) that does not. ``exact`` searches everything, in
+blocks, for those who need it.
+
+Bounds: the sample is SAMPLE vectors and SAMPLED components at most, centroids
+and graph are a quarter of its rows at most and are broadcast; beyond that lists
+grow longer. Lists of more than PART components are dealt in parts, queries of a list in blocks
 likewise, so no task holds more than a part and a block; each returns its best
 k a query. Inner products are summed in order of the components, in double
 precision, so equal vectors have equal scores whatever list they are in; a
@@ -21,13 +24,17 @@ matrix product, with room for its rounding, says which pairs need that sum.
 
 Defined results: vectors that are null, zero, hold a null or non-finite
 component, or have another length than most (ties to the longer) take no part;
-rows that share a vec_id are one candidate for each distinct vector; fewer than
+rows that share a vec_id are one candidate for each distinct score, and none of
+each other; if a query's vec_id is repeated with different vectors, all of them
+ask, and their best results together are ranked; fewer than
 k candidates give all; an empty table gives an empty result; extra columns are
 not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,14 +42,24 @@ from pyspark.sql import functions as F
 
 from .common import ship, written
 
-#: Vectors for each list; most lists; rows of the sample that trains centroids.
-LIST, MAX_LISTS, SAMPLE = 160, 320, 65_536
+#: Vectors for each list at least; rows and components of the sample that trains centroids, rounds of training.
+LIST, SAMPLE, SAMPLED, ROUNDS = 40, 65_536, 16_777_216, 6
 #: Lists that may hold a vector, and how much farther than the nearest they may be.
 REPLICAS, CLOSURE = 4, 1.12
-#: Lists that a query searches at most (three tenths of MAX_LISTS) and at least, and how much farther than the nearest the others may be.
-PROBES, LEAST, RATIO = 96, 16, 1.6
-#: Links of a centroid, breadth of the walk; components of the vectors of a part and of the queries of a block.
-LINKS, BREADTH, PART = 24, 128, 2_097_152
+#: Lists that a query searches at least, and how much farther than the nearest the others may be.
+LEAST, RATIO = 16, 1.6
+#: Links of a centroid; components of the vectors of a part and of the queries of a block.
+LINKS, PART = 24, 2_097_152
+
+
+def lists_of(vectors: int, sample: int, list_size: int = LIST) -> int:
+    """Number of lists of a table."""
+    return max(1, min(vectors // list_size, int(4 * vectors**0.5), max(1, sample // 4)))
+
+
+def probes_of(lists: int) -> int:
+    """Lists that a query searches at most."""
+    return min(lists, max(LEAST, math.ceil(2.2 * lists**0.6)))
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -69,7 +86,7 @@ def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1), 0.0)
 
 
-def centroids(sample: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+def centroids(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarray:
     """Balanced k-means."""
     chance = np.random.default_rng(7)
     lists = min(lists, len(sample))
@@ -98,12 +115,20 @@ def links(c: np.ndarray) -> np.ndarray:
     near = min(LINKS, n)
     out = np.empty((n, near), np.int64)
     for i in range(0, n, 1_024):
-        out[i : i + 1_024] = np.argsort(_squares(c[i : i + 1_024], c), axis=1, kind="stable")[:, :near]
+        out[i : i + 1_024] = nearest(_squares(c[i : i + 1_024], c), near)
     far = np.random.default_rng(11).integers(0, n, (n, 4))
     return np.concatenate([out, far], axis=1)
 
 
-def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, breadth: int = BREADTH) -> tuple[np.ndarray, np.ndarray]:
+def nearest(d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least values of each row, least first, ties to the lower place."""
+    k = min(k, d.shape[1])
+    use = np.argpartition(d, k - 1, axis=1)[:, :k] if k < d.shape[1] else np.tile(np.arange(k), (len(d), 1))
+    use.sort(axis=1)
+    return np.take_along_axis(use, np.argsort(np.take_along_axis(d, use, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
     """Centroids near a query, nearest first, and their distances: best-first search of the graph."""
     n = len(c)
     start = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
@@ -160,7 +185,7 @@ def top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int,
     return out
 
 
-def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: int = LIST, probes: int = PROBES) -> DataFrame:
+def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: int = LIST, probes: int | None = None, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every query."""
     spark = table.sparkSession
     ship(spark)
@@ -169,8 +194,14 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: in
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dims, most = facts["dims"], float(np.sqrt(facts["most"]))
-    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()  # SAMPLE rows at most
-    c = centroids(lift(_matrix(chosen.column("v"), dims), most), int(min(MAX_LISTS, max(1, facts["n"] // list_size))))
+    queries = rows.where(F.col("vec_id") % queries_every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    if exact:
+        postings, asked = (x.select(F.lit(0).alias("list"), "*") for x in (rows, queries))
+        return _ranked(postings, asked, dims, most, k)
+    sample = min(SAMPLE, max(1, SAMPLED // dims))
+    chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()  # SAMPLED components at most
+    c = centroids(lift(_matrix(chosen.column("v"), dims), most), lists_of(facts["n"], sample, list_size))
+    probes = probes or probes_of(len(c))
     sent = spark.sparkContext.broadcast((c, links(c)))
 
     def index(batches):
@@ -180,7 +211,7 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: in
                 part = batch.slice(at, 512)
                 x = lift(_matrix(part.column(1), dims), most)
                 d = _squares(x, c)
-                near = np.argsort(d, axis=1, kind="stable")[:, :REPLICAS]
+                near = nearest(d, REPLICAS)
                 far = np.take_along_axis(d, near, axis=1)
                 row, col = np.nonzero(far <= far[:, :1] * CLOSURE**2)
                 yield pa.RecordBatch.from_arrays([pa.array(near[row, col], pa.int32()), *part.take(pa.array(row)).columns], names=["list", "vec_id", "v"])
@@ -191,20 +222,25 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: in
             q = lower(_matrix(batch.column(1), dims), most)
             row, lists = [], []
             for i in range(len(q)):
-                ids, d = walk(q[i], c, graph)
+                ids, d = walk(q[i], c, graph, probes + 32)
                 own = ids[(d <= d[0] * RATIO) | (np.arange(len(d)) < LEAST)][:probes]
                 row.append(np.full(len(own), i))
                 lists.append(own)
             taken = batch.take(pa.array(np.concatenate(row))) if row else batch
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if lists else [], pa.int32()), *taken.columns], names=["list", "query_id", "q"])
 
-    size = max(1, PART // dims)
     postings = written(rows.mapInArrow(index, "list int, vec_id long, v array<double>"), "ann-lists")
-    asked = rows.where(F.col("vec_id") % queries_every == 0).select("vec_id", "v").repartition(spark.sparkContext.defaultParallelism * 4, "vec_id")
+    asked = queries.repartition(spark.sparkContext.defaultParallelism * 4, "query_id")
     asked = written(asked.mapInArrow(probe, "list int, query_id long, q array<double>"), "ann-probes")
+    return _ranked(postings, asked, dims, most, k)
+
+
+def _ranked(postings: DataFrame, asked: DataFrame, dims: int, most: float, k: int) -> DataFrame:
+    """The k best of each query among the vectors of its lists."""
+    size = max(1, PART // dims)
     parts = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
     blocks = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
-    plan = F.broadcast(written(parts.join(blocks, "list"), "ann-plan"))  # a row for each list, MAX_LISTS at most
+    plan = F.broadcast(written(parts.join(blocks, "list"), "ann-plan"))  # a row for each list
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = postings.join(plan, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), span("blocks").alias("block"), "vec_id", "v")
     right = asked.join(plan, "list").select("list", span("parts").alias("part"), F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), "query_id", "q")
