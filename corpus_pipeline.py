@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import bpe, exact_dedup, language, mixing, near_dedup
 from lexispark.llm.catalog import vocabulary_path
-from lexispark.llm.common import written
+from lexispark.llm.common import fresh, written
 
 #: Share of the likeliest language below which a text is rejected.
 LEAST_SCORE = 0.5
@@ -21,29 +21,55 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is recognised; goes by their text alone."""
+    """Keeps documents whose language is recognised; goes by their text alone.
+
+    A null or empty text, or one without a letter, has no language and goes;
+    whole texts are read, however long; repeated rows are decided alike; columns
+    of any name stay; an empty table stays empty. Without a labelled document
+    nothing is recognised.
+    """
     model = language.train(docs.where(~language.held_out(docs["doc_id"])).select("text", "lang"), vocabulary_path("piece_bpe_32k.model"))
-    known = language.predict(docs, model, "text")
-    return known.where((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    known = language.predict(docs, model, "text", lang, score)
+    return known.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row with the largest doc_id of each group of equal texts."""
+    """Keeps the row with the largest doc_id of each group of equal texts.
+
+    A null text equals the empty one; a null doc_id is smaller than others; of
+    repeated rows the last by place in the table stays; columns of any name
+    stay; an empty table stays empty.
+    """
     return exact_dedup.drop_exact(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest doc_id.
+
+    Texts without words and rows with a null doc_id are linked with nothing and
+    stay; rows that share a doc_id stay or go together; columns of any name
+    stay; an empty table stays empty.
+    """
     return near_dedup.drop_near(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources come near their target shares."""
+    """Repeats or leaves out documents so that sources come near their target shares.
+
+    A null source is a source, the last; documents without words stay once;
+    repeated rows are taken one by one; columns of any name stay; an empty table
+    stays empty.
+    """
     return mixing.mix(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and a digest of what they decode to."""
+    """doc_id, n_tokens, token_ids, and a digest of what they decode to, of each row.
+
+    A null or empty text has no tokens; rows are independent, so repeated ones
+    (copies that the mix made) give equal results; an empty table gives none.
+    """
     return bpe.encode_documents(docs, vocabulary_path("byte_bpe_50k.json"))
 
 
