@@ -54,7 +54,7 @@ BINS = ROWS * BANDS
 #: Nodes and words of a block of the second round; shingles that are counted together.
 BLOCK, WORDS, COLUMNS = 512, 1_048_576, 4_096
 #: Members and words of a block that is compared with one copy of a centre's text.
-MEMBERS, MEMBER_WORDS = 4_096, 4_194_304
+MEMBERS, MEMBER_WORDS = 256, 262_144
 _ODD = 0xD1342543DE82EF95
 _MIX = wordhash.mix(np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
 _BAND = wordhash.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
