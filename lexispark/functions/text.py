@@ -6,10 +6,16 @@ U+0085); lengths and slices are in code points.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import ship
 
 WHITE = r"[\s\x1c-\x1f\x85\p{IsWhite_Space}]+"
 
@@ -28,17 +34,20 @@ LEGAL_WORDS = (
     "Erwägung", "Berufung", "Revision", "Ausstand", "Kündigung", "Arbeitsvertrag", "einfache Gesellschaft", "Liquidation", "Erbrecht",
     "Nachlass", "Markenschutz", "Datenschutz",
 )
-STOP_WORDS = tuple(
-    "that with from into under when while have been were this does should could would their there where after before alleged alleges claimant "
-    "defendant plaintiff court legal risk claim claims order decision dated later whether meaning considering because between against upon "
-    "within which those these".split()
-)
+STOP_WORDS = (
+    "that", "with", "from", "into", "under", "when", "while", "have", "been", "were", "this", "does", "should", "could", "would", "their", "there",
+    "where", "after", "before", "alleged", "alleges", "claimant", "defendant", "plaintiff", "court", "legal", "risk", "claim", "claims", "order",
+    "decision", "dated", "later", "whether", "meaning", "considering", "because", "between", "against", "upon", "within", "which", "those", "these",
+)
 FULLTEXT_FIELDS = ("regeste", "abstract_de", "abstract_fr", "abstract_it", "full_text")
-LABELLED_FIELDS = tuple(
-    "decision_id docket_number docket_number_2 decision_date publication_date court canton chamber language title legal_area regeste "
-    "abstract_de abstract_fr abstract_it outcome decision_type appeal_info source_url pdf_url bge_reference cited_decisions".split()
-)
-CITATION_FIELDS = tuple("valid_law_citations valid_court_citations law_citations court_citations citations citation rootCitation gold_citations".split())
+LABELLED_FIELDS = (
+    "decision_id", "docket_number", "docket_number_2", "decision_date", "publication_date", "court", "canton", "chamber", "language", "title",
+    "legal_area", "regeste", "abstract_de", "abstract_fr", "abstract_it", "outcome", "decision_type", "appeal_info", "source_url", "pdf_url",
+    "bge_reference", "cited_decisions",
+)
+CITATION_FIELDS = (
+    "valid_law_citations", "valid_court_citations", "law_citations", "court_citations", "citations", "citation", "rootCitation", "gold_citations",
+)
 TOP_KEYWORDS, META_LIMIT, KEYWORD_LIMIT, HEAD_LIMIT, TAIL_LIMIT, SCANNED = 70, 2_200, 1_600, 700, 900, 120_000
 PRIVATE_KEY = r"-----BEGIN (?:RSA |OPENSSH |EC )?PRIVATE KEY-----"
 QUOTED_SECRET = r"(?i)(?:access[_-]?key|api[_-]?key|auth[_-]?token|password|private[_-]?key|secret(?:[_-]?access[_-]?key)?|token)\s*[:=]\s*['\"]([A-Za-z0-9_./+=:@-]{20,})['\"]"
@@ -90,25 +99,37 @@ def meta_view(query: Column) -> Column:
     return F.substring(F.concat_ws("; ", *[F.nullif(p, F.lit("")) for p in pieces]), 1, META_LIMIT)
 
 
-def keyword_tokens(text: Column) -> Column:
-    """Lower-case keyword tokens without stop words, in order, repeats kept."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.transform(matches(text, KEYWORD), F.lower), lambda t: ~F.array_contains(stop, t) & (F.length(t) >= 4))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("keyword", T.StringType()), T.StructField("n", T.LongType())])))
+def ranked_keywords(text: pd.Series) -> pd.Series:
+    """Structs (place, keyword, n) of cleaned texts' TOP_KEYWORDS keywords, by count, ties by code point."""
+    found, stop = re.compile(KEYWORD).findall, frozenset(STOP_WORDS)
+    out = []
+    for t in text:
+        counted: Counter = Counter()
+        for k, n in Counter(found(t)).items():
+            counted[k.lower()] += n
+        top = sorted(((-n, k) for k, n in counted.items() if len(k) >= 4 and k not in stop))[:TOP_KEYWORDS]
+        out.append([{"place": i, "keyword": k, "n": -n} for i, (n, k) in enumerate(top, 1)])
+    return pd.Series(out)
 
 
 def keyword_ranking(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, keyword, n, place) of each text's TOP_KEYWORDS keywords: by count, ties by code point."""
-    counted = texts.select(key, F.explode(keyword_tokens(clean(F.col(text)))).alias("keyword")).groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "keyword"))
-    return counted.withColumn("place", place).where(F.col("place") <= TOP_KEYWORDS)
+    """(key, keyword, n, place) of each text's TOP_KEYWORDS keywords: by count, ties by code point.
+
+    A text's tokens are all on its row, so nothing is dealt out.
+    """
+    ship(texts.sparkSession)
+    ranked = texts.select(key, ranked_keywords(clean(F.col(text))).alias("__r"))
+    return ranked.select(key, F.explode("__r").alias("r")).select(key, "r.keyword", "r.n", "r.place")
 
 
 def keyword_view(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, keywords): fragments and ranked keywords joined by spaces. Keys are unique."""
-    ranked = keyword_ranking(texts, key, text).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "keyword"))), lambda s: s["keyword"]), " ").alias("__top"))
-    own = texts.select(key, F.array_join(fragments(clean(F.col(text))), " ").alias("__fragments"))
-    joined = own.join(ranked, key, "left")
-    return joined.select(key, F.substring(clean(F.concat_ws(" ", "__fragments", "__top")), 1, KEYWORD_LIMIT).alias("keywords"))
+    """(key, keywords): fragments and ranked keywords joined by spaces."""
+    ship(texts.sparkSession)
+    cleaned = texts.select(key, clean(F.col(text)).alias("__clean"))
+    own = cleaned.select(key, F.array_join(fragments(F.col("__clean")), " ").alias("__fragments"), ranked_keywords(F.col("__clean")).alias("__r"))
+    top = F.array_join(F.transform("__r", lambda s: s["keyword"]), " ")
+    return own.select(key, F.substring(clean(F.concat_ws(" ", "__fragments", F.nullif(top, F.lit("")))), 1, KEYWORD_LIMIT).alias("keywords"))
 
 
 def citation_view(query: Column) -> Column:

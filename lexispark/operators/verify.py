@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, truncated
+from ..functions.text import clean, split_reasoning, truncated
 from ..session import ship
 from . import integrity
 
@@ -168,17 +169,43 @@ def strict_object(text: Column, keys: Sequence[str]) -> Column:
 
 
 def envelope(body: Column, requested_model: Column) -> Column:
-    """struct(content, model, finish_reason, three token counts, problem) of a chat completion's JSON."""
-    get = lambda path, kind="string": F.try_variant_get(F.try_parse_json(body), path, kind)
-    content = get("$.choices[0].message.content")
-    tokens = {n: get(f"$.usage.{n}", "bigint") for n in ("total_tokens", "prompt_tokens", "completion_tokens")}
+    """struct(content, model, finish_reason, reasoning, four token counts, problem) of a chat completion's JSON.
+
+    Content is the final answer; a separate ``reasoning_content`` and a leading
+    ``<think>`` block are the reasoning, two line breaks apart. Counts are whole
+    numbers of JSON, 0 where they are missing; null, texts, fractions, true and
+    negative numbers are a problem.
+    """
+    parsed = F.try_parse_json(body)
+    get = lambda path, kind="string": F.try_variant_get(parsed, path, kind)
+    kind = lambda path: F.schema_of_variant(get(path, "variant"))
+    is_ = lambda path, name: F.coalesce(F.startswith(kind(path), F.lit(name)), F.lit(False))
+    message, usage = "$.choices[0].message", "$.usage"
+    details = f"{usage}.completion_tokens_details"
+    raw = F.when(is_(f"{message}.content", "STRING"), get(f"{message}.content"))
+    split = split_reasoning(raw)
+    provider = f"{message}.reasoning_content"
+    given = lambda path: F.coalesce(kind(path) != "VOID", F.lit(False))
+    # An empty value of any kind counts as missing, anything else must be an object.
+    empty = lambda path: ~given(path) | get(path).isin("", "0", "false", "[]", "{}")
+    places = {"total_tokens": usage, "prompt_tokens": usage, "completion_tokens": usage, "reasoning_tokens": details}
+    tokens = {n: F.when(is_(f"{at}.{n}", "BIGINT"), get(f"{at}.{n}", "bigint")) for n, at in places.items()}
+    broken = [get(f"{at}.{n}", "variant").isNotNull() & ~F.coalesce(tokens[n] >= 0, F.lit(False)) for n, at in places.items()]
+    broken += [~empty(at) & ~is_(at, "OBJECT") for at in (usage, details)]
+    finish = get("$.choices[0].finish_reason")
     problem = (
-        F.when(F.try_parse_json(body).isNull() | content.isNull(), F.lit("invalid envelope"))
-        .when(get("$.choices[0].finish_reason") == "length", F.lit("truncated"))
-        .when(F.trim(content) == "", F.lit("no content"))
-        .when(F.greatest(*[F.coalesce((t < 0).cast("int"), F.lit(0)) for t in tokens.values()]) == 1, F.lit("invalid usage"))
+        F.when(parsed.isNull() | ~is_(message, "OBJECT"), F.lit("invalid envelope"))
+        .when(F.coalesce(finish == "length", F.lit(False)), F.lit("truncated"))
+        .when(raw.isNull() | (clean(raw) == ""), F.lit("no content"))
+        .when(split["problem"].isNotNull(), F.concat(F.lit("reasoning is "), split["problem"]))
+        .when(given(provider) & ~is_(provider, "STRING"), F.lit("invalid reasoning"))
+        .when(reduce(lambda a, b: a | b, broken), F.lit("invalid usage"))
     )
-    return F.struct(content.alias("content"), F.coalesce(get("$.model"), requested_model).alias("model"), *[F.coalesce(t, F.lit(0)).alias(n) for n, t in tokens.items()], problem.alias("problem"))
+    reasoning = F.concat_ws("\n\n", F.nullif(F.trim(F.when(is_(provider, "STRING"), get(provider))), F.lit("")), split["reasoning"])
+    return F.struct(
+        F.when(problem.isNull(), split["answer"]).alias("content"), F.coalesce(F.nullif(get("$.model"), F.lit("")), requested_model).alias("model"), finish.alias("finish_reason"),
+        F.nullif(reasoning, F.lit("")).alias("reasoning"), *[F.coalesce(t, F.lit(0)).alias(n) for n, t in tokens.items()], problem.alias("problem"),
+    )
 
 
 def fixture_replies(requests: DataFrame, script: DataFrame) -> DataFrame:
