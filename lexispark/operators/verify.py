@@ -176,14 +176,19 @@ def envelope(body: Column, requested_model: Column) -> Column:
     numbers of JSON, 0 where they are missing; null, texts, fractions, true and
     negative numbers are a problem.
     """
-    parsed = F.try_parse_json(body)
+    # Each step's value is bound once, so the expression stays small.
+    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    return let(F.try_parse_json(body), lambda parsed: let(_message(parsed), lambda m: let(split_reasoning(m["raw"]), lambda split: _normalised(m, split, requested_model))))
+
+
+def _message(parsed: Column) -> Column:
+    """struct of what a parsed completion holds, and of the rules that it breaks by its types."""
     get = lambda path, kind="string": F.try_variant_get(parsed, path, kind)
     kind = lambda path: F.schema_of_variant(get(path, "variant"))
     is_ = lambda path, name: F.coalesce(F.startswith(kind(path), F.lit(name)), F.lit(False))
     message, usage = "$.choices[0].message", "$.usage"
     details = f"{usage}.completion_tokens_details"
     raw = F.when(is_(f"{message}.content", "STRING"), get(f"{message}.content"))
-    split = split_reasoning(raw)
     provider = f"{message}.reasoning_content"
     given = lambda path: F.coalesce(kind(path) != "VOID", F.lit(False))
     # An empty value of any kind counts as missing, anything else must be an object.
@@ -192,19 +197,25 @@ def envelope(body: Column, requested_model: Column) -> Column:
     tokens = {n: F.when(is_(f"{at}.{n}", "BIGINT"), get(f"{at}.{n}", "bigint")) for n, at in places.items()}
     broken = [get(f"{at}.{n}", "variant").isNotNull() & ~F.coalesce(tokens[n] >= 0, F.lit(False)) for n, at in places.items()]
     broken += [~empty(at) & ~is_(at, "OBJECT") for at in (usage, details)]
-    finish = get("$.choices[0].finish_reason")
+    return F.struct(
+        raw.alias("raw"), get("$.model").alias("model"), get("$.choices[0].finish_reason").alias("finish"), F.when(is_(provider, "STRING"), get(provider)).alias("reasoning"), *[t.alias(n) for n, t in tokens.items()],
+        (parsed.isNull() | ~is_(message, "OBJECT")).alias("no_message"), (given(provider) & ~is_(provider, "STRING")).alias("bad_reasoning"), reduce(lambda a, b: a | b, broken).alias("bad_usage"),
+    )
+
+
+def _normalised(m: Column, split: Column, requested_model: Column) -> Column:
     problem = (
-        F.when(parsed.isNull() | ~is_(message, "OBJECT"), F.lit("invalid envelope"))
-        .when(F.coalesce(finish == "length", F.lit(False)), F.lit("truncated"))
-        .when(raw.isNull() | (clean(raw) == ""), F.lit("no content"))
+        F.when(m["no_message"], F.lit("invalid envelope"))
+        .when(F.coalesce(m["finish"] == "length", F.lit(False)), F.lit("truncated"))
+        .when(m["raw"].isNull() | (clean(m["raw"]) == ""), F.lit("no content"))
         .when(split["problem"].isNotNull(), F.concat(F.lit("reasoning is "), split["problem"]))
-        .when(given(provider) & ~is_(provider, "STRING"), F.lit("invalid reasoning"))
-        .when(reduce(lambda a, b: a | b, broken), F.lit("invalid usage"))
+        .when(m["bad_reasoning"], F.lit("invalid reasoning"))
+        .when(m["bad_usage"], F.lit("invalid usage"))
     )
-    reasoning = F.concat_ws("\n\n", F.nullif(F.trim(F.when(is_(provider, "STRING"), get(provider))), F.lit("")), split["reasoning"])
+    reasoning = F.nullif(F.concat_ws("\n\n", F.nullif(F.trim(m["reasoning"]), F.lit("")), split["reasoning"]), F.lit(""))
+    counts = [F.coalesce(m[n], F.lit(0)).alias(n) for n in ("total_tokens", "prompt_tokens", "completion_tokens", "reasoning_tokens")]
     return F.struct(
-        F.when(problem.isNull(), split["answer"]).alias("content"), F.coalesce(F.nullif(get("$.model"), F.lit("")), requested_model).alias("model"), finish.alias("finish_reason"),
-        F.nullif(reasoning, F.lit("")).alias("reasoning"), *[F.coalesce(t, F.lit(0)).alias(n) for n, t in tokens.items()], problem.alias("problem"),
+        F.when(problem.isNull(), split["answer"]).alias("content"), F.coalesce(F.nullif(m["model"], F.lit("")), requested_model).alias("model"), m["finish"].alias("finish_reason"), reasoning.alias("reasoning"), *counts, problem.alias("problem"),
     )
 
 

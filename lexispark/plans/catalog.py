@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import citations as cite
@@ -15,37 +13,29 @@ from ..operators import support as sup
 from ..sources import sinks
 from ..streaming import runs
 from . import tables
+from .registry import Query, found, query
 from .tables import EVERY, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_found: dict[str, Query] = {}
-
-
-def _query(f: Query) -> Query:
-    _found[f.__name__] = f
-    return f
-
-
-@_query
+@query
 def dense_topk(spark, sf):
     index = table(spark, sf, "embeddings").select(F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("v"))
     queries = index.where(F.col("idx") % EVERY == 0).select(F.col("idx").alias("query_id"), F.col("v").alias("q"))
     return fusion.vector_top_k(queries, index, 10, on=()).select("query_id", "position", F.col("idx").alias("vec_id"), "score")
 
 
-@_query
+@query
 def five_view_rrf(spark, sf):
     return fusion.fuse_views(tables.view_hits(spark, sf, 50), limit=100).select("query_id", "doc_ref", "rank", "fusion_score")
 
 
-@_query
+@query
 def rrf_hit_details(spark, sf):
     hits = tables.view_hits(spark, sf, 50)
     detailed = fusion.hit_details(fusion.fuse_views(hits, limit=100), hits)
     return detailed.select("query_id", "doc_ref", "rank", F.posexplode("hits").alias("hit", "h")).select("query_id", "doc_ref", "rank", "hit", "h.field", F.col("h.rank").alias("view_rank"))
 
 
-@_query
+@query
 def online_rrf_two_source(spark, sf):
     vec = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     queries = vec.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("v").alias("q"))
@@ -55,14 +45,14 @@ def online_rrf_two_source(spark, sf):
     return fusion.weighted_rrf(dense.unionByName(bm25), fusion.ONLINE_WEIGHTS).select("query_id", "doc_ref", "rank", "fusion_score", F.array_join("sources", ",").alias("sources"))
 
 
-@_query
+@query
 def balanced_support(spark, sf):
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.when(F.col("l_returnflag") == "R", "law").otherwise("court").alias("kind"), tables.citation().alias("citation"), "l_linenumber", "l_partkey", "l_suppkey")
     place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return sup.support_counts(sup.balanced(items.withColumn("position", place), 5).select("query_id", "hit_pos", "citation"))
 
 
-@_query
+@query
 def balanced_order(spark, sf):
     turns = table(spark, sf, "conversations").select(F.col("conv_id").alias("query_id"), F.when(F.col("role") == "user", "law").otherwise("court").alias("kind"), "turn")
     place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("turn"))
@@ -73,27 +63,27 @@ def _decided(spark, sf):
     return gate.gate(tables.candidates(spark, sf), tables.support(spark, sf))
 
 
-@_query
+@query
 def citation_gate(spark, sf):
     return gate.decisions(_decided(spark, sf), gate.Policy()).select("query_id", "citation", "kind", "accepted", "votes", "support", "votes_text")
 
 
-@_query
+@query
 def gate_rejections(spark, sf):
     return _decided(spark, sf).where(~F.col("accepted")).select("query_id", "citation", "votes", "support")
 
 
-@_query
+@query
 def verifier_order(spark, sf):
     return gate.verifier_order(tables.candidates(spark, sf)).select("query_id", "doc_ref", "position")
 
 
-@_query
+@query
 def online_order(spark, sf):
     return gate.verifier_order(gate.online_order(tables.candidates(spark, sf))).select("query_id", "doc_ref", "rank", "position")
 
 
-@_query
+@query
 def evidence_documents(spark, sf):
     decided = _decided(spark, sf).where("accepted")
     return gate.evidence_documents(gate.verifier_order(tables.candidates(spark, sf)), decided, 3).select("query_id", "doc_ref", "position")
@@ -104,17 +94,17 @@ def _predictions(spark, sf):
     return gate.predictions(everyone, _decided(spark, sf)).withColumnRenamed("citations", "predicted")
 
 
-@_query
+@query
 def submission_rows(spark, sf):
     return _predictions(spark, sf).select("query_id", F.array_join("predicted", ";").alias("predicted_citations"))
 
 
-@_query
+@query
 def per_query_prf(spark, sf):
     return metrics.per_query(tables.gold(spark, sf), _predictions(spark, sf))
 
 
-@_query
+@query
 def macro_f1(spark, sf):
     found = metrics.macro(per_query_prf(spark, sf))
     return found.select("queries", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
@@ -129,28 +119,28 @@ def _triples(spark, sf):
     return tables.gold(spark, sf).join(retrieved, "query_id").join(_predictions(spark, sf), "query_id")
 
 
-@_query
+@query
 def analysis_prf(spark, sf):
     return _triples(spark, sf).select("query_id", metrics.analysis_precision("gold", "predicted").alias("precision"), metrics.analysis_recall("gold", "predicted").alias("recall"))
 
 
-@_query
+@query
 def error_attribution(spark, sf):
     found = analysis.error_attribution(_triples(spark, sf))
     return found.select("query_id", *[F.array_join(c, ";").alias(c) for c in analysis.CATEGORIES], "retrieval_recall", "prediction_recall")
 
 
-@_query
+@query
 def macro_attribution(spark, sf):
     return analysis.macro_attribution(analysis.error_attribution(_triples(spark, sf))).select(*analysis.CATEGORIES, *[F.round(c, 9).alias(c) for c in ("retrieval_recall", "prediction_recall")])
 
 
-@_query
+@query
 def context_metrics(spark, sf):
     return analysis.context_metrics(_triples(spark, sf), k=10)
 
 
-@_query
+@query
 def label_vs_prediction_f1(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     long = docs.select("lang", "doc_id", (F.col("quality") == 1).alias("g"), (F.length(text.clean(F.col("text"))) >= 1000).alias("p"))
@@ -169,30 +159,30 @@ def _named(spark, sf):
     return items.join(table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("citation")), "p_partkey", "left").select("l_orderkey", F.coalesce("citation", F.concat(F.lit("unknown "), F.col("p_partkey").cast("string"))).alias("citation"))
 
 
-@_query
+@query
 def vocab_semi(spark, sf):
     laws, courts = _vocabulary(spark, sf)
     return _named(spark, sf).join(sup.vocabulary(laws, courts).select("citation").distinct(), "citation", "left_semi").groupBy("citation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query
+@query
 def vocab_anti(spark, sf):
     laws, courts = _vocabulary(spark, sf)
     return sup.outside(_named(spark, sf), sup.vocabulary(laws, courts)).groupBy("citation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query
+@query
 def targeted_vocabulary(spark, sf):
     laws, courts = _vocabulary(spark, sf)
     return sup.targeted_vocabulary(laws, courts, _named(spark, sf))
 
 
-@_query
+@query
 def vocabulary_overlap(spark, sf):
     return sup.vocabulary_overlap(sup.vocabulary(*_vocabulary(spark, sf)))
 
 
-@_query
+@query
 def materialize_rows(spark, sf):
     docs = table(spark, sf, "documents")
     wanted = table(spark, sf, "labels").where("quality = 1").select(F.concat(F.lit("documents.parquet:rg0:row"), F.col("doc_id").cast("string")).alias("doc_ref"))
@@ -202,18 +192,18 @@ def materialize_rows(spark, sf):
     return rows.select("doc_ref", "doc_id", "lang", F.length("text").alias("chars"))
 
 
-@_query
+@query
 def render_document(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.sha2(text.render_document(("doc_id", "lang", "source", "n_chars"), "text").cast("binary"), 256).alias("rendered_sha256"))
 
 
-@_query
+@query
 def fulltext_view(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.fulltext_view(("lang", "source", "text")).cast("binary"), 256).alias("fulltext_sha256"))
 
 
-@_query
+@query
 def prepare_batches(spark, sf):
     queries = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("query_id"), F.col("c_name").alias("query"), F.col("c_custkey").alias("ordinal"))
     orders = table(spark, sf, "orders")
@@ -224,7 +214,7 @@ def prepare_batches(spark, sf):
     return cands.batches(ready, 5).select("query_id", "candidate_id", "rank", "batch", "slot", "document_text")
 
 
-@_query
+@query
 def candidate_ids(spark, sf):
     o = table(spark, sf, "orders")
     query = F.concat(F.lit("q"), F.col("o_custkey").cast("string"))
@@ -233,7 +223,7 @@ def candidate_ids(spark, sf):
     return o.select("o_orderkey", cands.candidate_id(query, explicit, index, F.col("o_orderstatus")).alias("candidate_id"), cands.legacy_id(query, F.lit(1), F.col("o_orderkey")).alias("legacy_id"))
 
 
-@_query
+@query
 def document_references(spark, sf):
     d = table(spark, sf, "documents")
     file, group, row = F.concat(F.lit("in/"), F.col("source"), F.lit(".parquet")), F.col("doc_id") % 7, F.col("doc_id")
@@ -242,22 +232,22 @@ def document_references(spark, sf):
     return both.withColumn("row_group", cands.parse_reference(F.col("index_reference"))["row_group"])
 
 
-@_query
+@query
 def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.clean(F.col("text")).cast("binary"), 256).alias("clean_sha256"), F.length(text.clean(F.col("text"))).alias("chars"))
 
 
-@_query
+@query
 def split_citations(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.array_join(text.split_citations(F.concat_ws(" ; ", F.replace(F.col("p_name"), F.lit(" "), F.lit(";")), "p_brand", "p_brand")), "|").alias("citations"))
 
 
-@_query
+@query
 def keyword_view(spark, sf):
     return text.keyword_view(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@_query
+@query
 def keyword_ranking(spark, sf):
     return text.keyword_ranking(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -268,22 +258,22 @@ def _turns(spark, sf):
     return c.select("conv_id", "turn", "role", said.alias("text"))
 
 
-@_query
+@query
 def meta_view(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", text.meta_view(F.col("text")).alias("meta_searchterm"))
 
 
-@_query
+@query
 def citation_view(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", text.citation_view(F.col("text")).alias("citations"))
 
 
-@_query
+@query
 def legal_words(spark, sf):
     return _turns(spark, sf).select("conv_id", "turn", F.array_join(text.legal_words(F.col("text")), ", ").alias("legal_words"))
 
 
-@_query
+@query
 def truncated_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(text.truncated(F.col("text"), 1000).cast("binary"), 256).alias("truncated_sha256"))
 
@@ -293,13 +283,13 @@ def _cited(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(words.alias("text"))
 
 
-@_query
+@query
 def extract_citations(spark, sf):
     found = cite.with_citations(_cited(spark, sf), "text")
     return found.select("l_orderkey", F.array_join(cite.all_citations(F.col("citations")), ";").alias("citations"))
 
 
-@_query
+@query
 def answer_validation(spark, sf):
     said = _cited(spark, sf).select(F.col("l_orderkey").alias("answer_id"), F.col("text").alias("answer"))
     accepted = F.array_distinct(F.regexp_extract_all("answer", F.lit(r"Art\. \d+ Abs\. [12] OR"), F.lit(0)))
@@ -307,18 +297,18 @@ def answer_validation(spark, sf):
     return cite.validate_answers(said.withColumn("accepted", accepted), vocabulary).select("answer_id", "problem", F.size("mentioned").alias("mentioned"))
 
 
-@_query
+@query
 def exact_dup_docs(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("sha256")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@_query
+@query
 def tree_digest(spark, sf):
     files = table(spark, sf, "documents").select("source", F.concat_ws("/", "lang", F.concat((F.col("doc_id") % 7).cast("string"), F.lit("-"), F.col("doc_id").cast("string"))).alias("path"), F.length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     return digests.tree_digest(files, ["source"])
 
 
-@_query
+@query
 def verify_artifacts(spark, sf):
     files = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.length("text").cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.lit(1).cast("long").alias("files"))
     i = F.col("doc_id")
@@ -329,53 +319,53 @@ def verify_artifacts(spark, sf):
     return digests.verify_artifacts(manifest, files)
 
 
-@_query
+@query
 def credential_scan(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.coalesce(text.credential_problem(F.col("text")), F.lit(False)).alias("problem"))
 
 
-@_query
+@query
 def html_escape(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2(text.html_escape(F.col("html")).cast("binary"), 256).alias("escaped_sha256"))
 
 
-@_query
+@query
 def chat_validation(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "role", F.when(F.col("turn") % 4 == 3, F.lit("  ")).otherwise(F.col("text")).alias("content"))
     return integrity.record_rules(c, ["conv_id", "turn"], integrity.chat_rules())
 
 
-@_query
+@query
 def duplicate_keys(spark, sf):
     return integrity.duplicates(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@_query
+@query
 def contiguous_turns(spark, sf):
     return integrity.contiguous(table(spark, sf, "conversations").withColumn("rank", F.col("turn") + F.when(F.col("conv_id") % 2 == 0, 1).otherwise(0)), ["conv_id"], "rank")
 
 
-@_query
+@query
 def incomplete_join(spark, sf):
     left = table(spark, sf, "documents").select("doc_id")
     right = table(spark, sf, "labels").select(F.col("doc_id") + 1)
     return integrity.complete_join(left, right.toDF("doc_id"), ["doc_id"])[1]
 
 
-@_query
+@query
 def resumable_work(spark, sf):
     o = table(spark, sf, "orders")
     return sinks.resumable(o.select("o_orderkey", "o_custkey"), o.where("o_orderstatus = 'F'"), ["o_orderkey"])
 
 
-@_query
+@query
 def strict_json_props(spark, sf):
     e = table(spark, sf, "events")
     whole = F.coalesce(F.startswith(F.schema_of_variant(F.try_parse_json("props")), F.lit("OBJECT")), F.lit(False))
     return e.select("event_id", whole.alias("is_object"), F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("keys"))
 
 
-@_query
+@query
 def think_split(spark, sf):
     t = table(spark, sf, "conversations")
     body = F.col("text")
@@ -385,7 +375,7 @@ def think_split(spark, sf):
     return found.select("conv_id", "turn", F.length("r.answer").alias("answer_chars"), "r.reasoning", "r.problem")
 
 
-@_query
+@query
 def completion_envelopes(spark, sf):
     c = table(spark, sf, "conversations")
     shape = F.col("turn") % 4
@@ -396,7 +386,7 @@ def completion_envelopes(spark, sf):
     return found.select("conv_id", "turn", "e.model", "e.total_tokens", "e.problem")
 
 
-@_query
+@query
 def surrogate_fit(spark, sf):
     c = table(spark, sf, "nation").join(table(spark, sf, "customer"), F.col("n_nationkey") == F.col("c_nationkey"))
     rows = c.groupBy("n_name").agg(F.avg("c_acctbal").alias("balance"), F.count(F.lit(1)).cast("double").alias("customers"), (F.count_if(F.col("c_mktsegment") == "BUILDING") * 5 > F.count(F.lit(1))).alias("accepted"))
@@ -412,12 +402,12 @@ def _cases(spark, sf):
     return cases.where(F.exists("ablations", lambda a: a["is_evidence"]) & (F.size(F.filter("ablations", lambda a: ~a["is_evidence"])) >= F.size(F.filter("ablations", lambda a: a["is_evidence"]))))
 
 
-@_query
+@query
 def perturbation_aopc(spark, sf):
     return analysis.perturbation_effects(_cases(spark, sf)).select("query_id", "evidence", "controls", F.round("targeted_aopc", 6).alias("targeted_aopc"))
 
 
-@_query
+@query
 def perturbation_baseline(spark, sf):
     return analysis.perturbation_faithfulness(_cases(spark, sf)).select("query_id", *[F.round(c, 9).alias(c) for c in ("targeted_aopc", "random_aopc", "random_std", "gap")])
 
@@ -432,19 +422,19 @@ def _run_events(spark, sf):
     return e.select(user.alias("run_key"), F.col("event_id").alias("seq"), kind[F.col("event_type")].alias("type"), user.alias("run_id"), (F.col("event_id") % 6 + 1).cast("int").alias("step"), F.lit("failed").alias("message"))
 
 
-@_query
+@query
 def run_event_fold(spark, sf):
     folded = runs.fold_batch(_run_events(spark, sf))
     return folded.select("run_key", "status", "events", F.size(F.map_filter("steps", lambda k, v: v == "completed")).alias("completed_steps"))
 
 
-@_query
+@query
 def run_event_plan(spark, sf):
     rows = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("run_id"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_custkey") % 7).cast("int").alias("failed_step"))
     return runs.planned_events(rows)
 
 
-@_query
+@query
 def sse_round_trip(spark, sf):
     payload = F.struct(F.col("run_id"), F.col("step"), F.col("message"))
     ordered = _run_events(spark, sf).select("run_key", "seq", sinks.sse_frames(F.col("type"), payload).alias("frame"))
@@ -453,36 +443,36 @@ def sse_round_trip(spark, sf):
     return decoded.groupBy("run_key", "type").agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("steps"), F.count("problem").alias("problems"))
 
 
-@_query
+@query
 def request_limits(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     asked = c.select("conv_id", F.element_at("t", 1)["text"].alias("query"), F.when(F.col("conv_id") % 5 == 0, "other").otherwise("small").alias("model"), F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("history"))
     return runs.request_limits(asked, ["small"], query_chars=400, turns=4, history_chars=1500).select("conv_id", "rejection")
 
 
-@_query
+@query
 def feature_standardise(spark, sf):
     found = analysis.standardised(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return found.select("feature", F.round("mean", 4).alias("mean"), F.round("scale", 4).alias("scale"))
 
 
-@_query
+@query
 def vector_checks(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("v", F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 63)).when(F.col("vec_id") % 3 == 1, F.transform("embedding", lambda x: x * 2)).otherwise(F.col("embedding")))
     return e.select("vec_id", vectors.vector_problem(F.col("v"), 64).alias("problem"))
 
 
-@_query
+@query
 def query_seeds(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", numbers.query_seed(17, F.col("c_name")).cast("string").alias("seed"))
 
 
-@_query
+@query
 def public_hits(spark, sf):
     return table(spark, sf, "documents").select("doc_id", *cands.public_hit(F.col("text"), F.lit(1.0) / (F.col("doc_id") + 1))).select("doc_id", F.sha2(F.col("snippet").cast("binary"), 256).alias("snippet_sha256"), F.length("snippet").alias("chars"))
 
 
-@_query
+@query
 def resolve_queries(spark, sf):
     c = table(spark, sf, "conversations")
     known = c.select(F.concat_ws("-", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
@@ -490,23 +480,26 @@ def resolve_queries(spark, sf):
     return cands.resolve_query(asked, known)
 
 
-@_query
+@query
 def nonempty_views(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.col("lang")).alias("a"), F.col("source").alias("b"))
     return d.select("doc_id", sinks.nonempty_map(["a", "b"]).alias("m")).select("doc_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
 
 
-@_query
+@query
 def hit_texts(spark, sf):
     p = table(spark, sf, "part")
     return p.select("p_partkey", text.hit_text(F.col("p_name"), F.when(F.col("p_size") % 2 == 0, F.lit("  ")).otherwise(F.col("p_brand")), F.lit(None).cast("string"), F.col("p_type")).alias("text"))
 
 
 def queries() -> dict[str, Query]:
-    return dict(_found)
+    from . import checks, stages  # noqa: F401  they register theirs
+
+    return dict(found)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import checks, stages
     from .oracle import SQL
 
-    return dict(SQL)
+    return SQL | checks.SQL | stages.SQL

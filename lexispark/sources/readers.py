@@ -143,8 +143,8 @@ def half_matrix(spark: SparkSession, path: str, rows: int, dims: int, field: str
 
 def index_manifest(path: str, fields: Sequence[str], model: str | None = None, revision: str | None = None) -> dict:
     """An index's manifest with fixed fields in order, float16 and the expected model."""
-    with open(path, encoding="utf-8") as source:
-        found = json.load(source)
+    spark = SparkSession.getActiveSession()
+    found = json.loads(spark.read.text(path, wholetext=True).first()["value"])
     wrong = [n for n, want in (("fields", list(fields)), ("dtype", "float16"), ("model", model), ("revision", revision)) if want is not None and found.get(n) != want]
     wrong += [n for n in ("rows", "dims") if not isinstance(found.get(n), int) or isinstance(found.get(n), bool) or found[n] <= 0]
     if wrong:
