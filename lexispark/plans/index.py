@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,28 @@ from ..sources import readers, sinks
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
+@dataclass(frozen=True)
+class EncodingConfig:
+    """Settings of an encoder; a model without a fixed revision would give an index that cannot be made again."""
+
+    model: str
+    model_revision: str
+    batch_size_short: int = 256
+    batch_size_fulltext: int = 32
+    max_length_short: int = 1_024
+    max_length_fulltext: int = 8_192
+    checkpoint_rows: int = 10_000
+
+    def __post_init__(self):
+        if not self.model.strip():
+            raise ValueError("the model must not be blank")
+        if not self.model_revision.strip() or self.model_revision == "SET_IMMUTABLE_REVISION":
+            raise ValueError("an immutable model revision is needed")
+        sizes = {f.name: getattr(self, f.name) for f in fields(self) if f.name not in ("model", "model_revision")}
+        if bad := [name for name, value in sizes.items() if value <= 0]:
+            raise ValueError("must be positive: " + ", ".join(bad))
+
+
 def plan(spark: SparkSession, corpus: str, views: str, limit: int | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Numbered view records, row-group offsets and input digests, all checked before anything is encoded."""
     offsets = candidates.row_group_offsets(spark, spark.read.parquet(corpus).inputFiles())
