@@ -2,25 +2,91 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from fnmatch import fnmatch
+from urllib.parse import unquote, urlparse
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..session import ship
+
+
+#: Bytes of a file that are read at a time.
+BLOCK = 8 << 20
 
 
 def file_digests(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path relative to root, size, sha256) of all files below ``root``."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    base = F.lit(root.rstrip("/").split(":", 1)[-1].lstrip("/"))
-    inner = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "")
-    return files.select(F.substring(inner, F.length(base) + 2, F.length(inner)).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    """(path relative to root, size, sha256) of all files below ``root``, of any size: executors read them block by block."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = system.resolvePath(top).toString().rstrip("/")
+    found, names = system.listFiles(top, True), []
+    while found.hasNext():
+        status = found.next()
+        name = status.getPath().getName()
+        if not name.startswith((".", "_")) and (not glob or fnmatch(name, glob)):
+            names.append((status.getPath().toString(), status.getLen()))
+    schema = "path string, size long, sha256 string"
+    if not names:
+        return spark.createDataFrame([], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as fs
+
+        for batch in batches:
+            digests_ = []
+            for uri in batch.column(0).to_pylist():
+                held, inner = fs.FileSystem.from_uri(uri) if not uri.startswith("file:") else (fs.LocalFileSystem(), unquote(urlparse(uri).path))
+                digest = hashlib.sha256()
+                with held.open_input_stream(inner) as source:
+                    while block := source.read(BLOCK):
+                        digest.update(block)
+                digests_.append(digest.hexdigest())
+            relative = [u[len(base) + 1 :] if u.startswith(base + "/") else u.rsplit("/", 1)[-1] for u in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(relative), batch.column(1), pa.array(digests_)], names=["path", "size", "sha256"])
+
+    ship(spark)
+    listed = spark.createDataFrame(sorted(names), "path string, size long").repartition(max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)))
+    return listed.mapInArrow(run, schema)
 
 
 def tree_digest(files: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """One row a tree (``by``): SHA-256 over path NUL digest of its files by path component, their number and bytes."""
+    """One row a tree (``by``): SHA-256 over path NUL digest of its files by path component, their number and bytes.
+
+    The digest runs over the files in order, so a tree is one task's; it streams
+    over sorted rows, which are sorted on disk if they are many.
+    """
     by = by or []
-    entry = F.struct(F.split("path", "/").alias("parts"), F.concat("path", F.lit("\0"), "sha256").alias("line"))
-    packed = files.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("e"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
-    return packed.select(*by, F.sha2(F.array_join(F.transform("e", lambda x: x["line"]), "").cast("binary"), 256).alias("sha256"), "files", "bytes")
+    ship(files.sparkSession)
+    kinds = files.select(*by).schema
+    schema = T.StructType([*kinds.fields, T.StructField("sha256", T.StringType()), T.StructField("files", T.LongType()), T.StructField("bytes", T.LongType())])
+    width = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, count, size, out = None, None, 0, 0, []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns, strict=True):
+                if digest is None or row[:width] != key:
+                    if digest is not None:
+                        out.append((*key, digest.hexdigest(), count, size))
+                    key, digest, count, size = row[:width], hashlib.sha256(), 0, 0
+                digest.update(row[width].encode() + b"\0" + row[width + 1].encode())
+                count, size = count + 1, size + row[width + 2]
+        if digest is not None:
+            out.append((*key, digest.hexdigest(), count, size))
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], to_arrow_schema(schema))
+
+    rows = files.select(*by, "path", "sha256", F.col("size").cast("long").alias("size"))
+    dealt = rows.repartition(*by) if by else rows.repartition(1)
+    return dealt.sortWithinPartitions(*by, F.split("path", "/")).mapInArrow(run, schema)
 
 
 def verify_artifacts(manifest: DataFrame, found: DataFrame) -> DataFrame:

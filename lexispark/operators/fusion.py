@@ -20,6 +20,8 @@ VIEWS = ("normal_query", "meta_searchterm", "keywords", "fulltext", "citations")
 VIEW_WEIGHTS = {"normal_query": 0.40, "meta_searchterm": 1.25, "keywords": 0.85, "fulltext": 1.35, "citations": 0.15}
 ONLINE_WEIGHTS = {"dense": 0.7, "bm25": 0.3}
 RRF_K, PER_VIEW, FUSED = 60, 1_000, 1_000
+#: Bytes of the query vectors that are broadcast together.
+QUERY_BYTES = 32 << 20
 
 
 def check_weights(weights: Mapping[str, float], k: int, limit: int | None = None) -> None:
@@ -29,16 +31,17 @@ def check_weights(weights: Mapping[str, float], k: int, limit: int | None = None
         raise ValueError("weights must be positive")
 
 
-def vector_top_k(queries: DataFrame, index: DataFrame, k: int, on: Sequence[str] = ("field",), block: int = 2_000) -> DataFrame:
+def vector_top_k(queries: DataFrame, index: DataFrame, k: int, on: Sequence[str] = ("field",), block: int = QUERY_BYTES) -> DataFrame:
     """(query_id, *on, position, idx, score): the k index rows with the largest inner product.
 
     queries: (query_id, *on, q); index: (idx, *on, v). The query side is a stated
-    set; where it has more than ``block`` rows it is searched in blocks, each
-    broadcast by its checked size, against all index rows. Ties go to the larger idx.
+    set; where its vectors have more than ``block`` bytes it is searched in
+    blocks, each broadcast by its checked size, against all index rows. Ties go
+    to the larger idx.
     """
     keyed = queries.select("query_id", *on, "q")
-    total = keyed.count()
-    blocks = max(1, -(-total // block))
+    held = keyed.agg(F.sum(F.size("q") * 8 + 64)).first()[0] or 0
+    blocks = max(1, -(-held // block))
     parts = []
     for b in range(blocks):
         own = keyed if blocks == 1 else keyed.where(F.pmod(F.xxhash64("query_id", *on), F.lit(blocks)) == b)

@@ -108,10 +108,12 @@ def document_views(spark: SparkSession, path: str, limit: int | None = None) ->
     # JSON numbers and decimal text are indexes, true, false and fractions are not.
     number = lambda name: F.when(F.schema_of_variant(F.try_variant_get(record, f"$.{name}", "variant")).isin("BIGINT", "STRING"), canonical_index(get(name)))
     rows = lines.select("view_file", "block", "line", basename(get("source_parquet")).alias("source_file"), number("row_group").alias("row_group"), number("row_index_in_group").alias("row_index"), get("doc_id").alias("doc_id"), get("content").alias("content"))
-    # Numbered file by file: counts of files give where each begins.
-    sizes = rows.groupBy("view_file").agg(F.count(F.lit(1)).alias("n"))
-    begin = sizes.withColumn("first", F.sum("n").over(Window.orderBy("view_file").rowsBetween(Window.unboundedPreceding, -1))).select("view_file", F.coalesce("first", F.lit(0)).alias("first"))
-    numbered = rows.withColumn("r", F.row_number().over(Window.partitionBy("view_file").orderBy("block", "line")) - 1).join(F.broadcast(begin), "view_file")
+    # Numbered split by split: counts of splits give where each begins, and rows are ranked within one split only.
+    sizes = rows.groupBy("view_file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("view_file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    begin = sizes.select("view_file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("view_file", "block").orderBy("line")) - 1
+    numbered = rows.withColumn("r", place).join(begin, ["view_file", "block"])
     out = numbered.withColumn("global_idx", F.col("first") + F.col("r")).drop("first", "r", "block", "line")
     return out.where(F.col("global_idx") < limit) if limit else out
 
