@@ -26,6 +26,7 @@ from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import ship, tidied, tidy
 
 #: Pre-tokens that a worker remembers, letters of one; pre-tokens that are looked at together.
-CACHE, REMEMBERED, BLOCK = 150_000, 64, 65_536
+CACHE, REMEMBERED, BLOCK = 400_000, 64, 65_536
 #: Bytes of the texts whose ids are held together.
 BYTES = 4 << 20
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
@@ -116,7 +117,8 @@ class Bpe:
             for w in words:
                 ids = known.get(w)
                 if ids is None:
-                    ids = np.array(self.merge(w.encode()), "<u4").tobytes()
+                    merged = self.merge(w.encode())
+                    ids = pack(f"<{len(merged)}I", *merged)
                     if len(w) <= REMEMBERED:
                         if len(known) >= CACHE:
                             known.clear()
