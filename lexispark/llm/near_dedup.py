@@ -52,7 +52,7 @@ from .graph import components
 ROWS, BANDS = 6, 48
 BINS = ROWS * BANDS
 #: Nodes and words of a block of the second round; shingles that are counted together.
-BLOCK, WORDS, COLUMNS = 512, 1_048_576, 4_096
+BLOCK, WORDS, COLUMNS = 256, 524_288, 4_096
 #: Members and words of a block that is compared with one copy of a centre's text.
 MEMBERS, MEMBER_WORDS = 256, 262_144
 _ODD = 0xD1342543DE82EF95
