@@ -14,7 +14,8 @@ not with their square. As the order is the same in all buckets, a group of near
 copies meets few centres. A second round takes the centres away, as they have
 met all others of their buckets, and compares in each bucket whose rest is
 still in several components all pairs of nodes of different components, in the
-first bucket that a pair shares. So two documents that share a bucket and are
+first bucket that a pair shares (those of its largest component are dealt out to
+meet the others only). So two documents that share a bucket and are
 similar enough are always in one component: only a pair that shares no bucket,
 and no chain of others, is lost.
 
@@ -52,7 +53,7 @@ from .graph import components
 ROWS, BANDS = 6, 48
 BINS = ROWS * BANDS
 #: Nodes and words of a block of the second round; shingles that are counted together.
-BLOCK, WORDS, COLUMNS = 256, 524_288, 4_096
+BLOCK, WORDS, COLUMNS = 512, 1_048_576, 4_096
 #: Members and words of a block that is compared with one copy of a centre's text.
 MEMBERS, MEMBER_WORDS = 256, 262_144
 _ODD = 0xD1342543DE82EF95
@@ -264,14 +265,20 @@ def _rest(texts: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFra
     """The links (a, b) between components among the members of buckets that no centre is an end of; None without candidates."""
     others = members.where("m > 3 AND node != lo AND node != hi").select("key", "node", "words")
     labelled = written(others.join(found, "node", "left").select("key", "node", "words", F.coalesce("component", "node").alias("component")), "near-members")
-    split = labelled.groupBy("key").agg(F.min("component").alias("c_lo"), F.max("component").alias("c_hi"), F.count(F.lit(1)).alias("m"), F.sum("words").alias("s")).where("c_lo != c_hi")
-    split = split.select("key", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("s") / WORDS)).cast("int").alias("blocks"))
+    # Nodes of a bucket's largest component need no comparing with each other, only with the others.
+    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("words").alias("s"))
+    largest = F.max(F.struct("m", "s", "component")).alias("top")
+    split = sizes.groupBy("key").agg(largest, F.sum("m").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    blocks = lambda m, w: F.ceil(F.greatest(m / BLOCK, w / WORDS)).cast("int")
+    split = split.select("key", F.col("top.component").alias("major"), blocks(F.col("m") - F.col("top.m"), F.col("s") - F.col("top.s")).alias("few"), blocks(F.col("top.m"), F.col("top.s")).alias("many"))
     again = written(labelled.join(split, "key"), "near-split")
     if again.isEmpty():
         return None
     held = _texts_of(texts, nodes, again.select("node")).join(nodes.select("node", "keys", "n"), "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = again.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    minor = F.col("component") != F.col("major")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    dealt = again.withColumn("block", F.when(minor, place("few")).otherwise(F.col("few") + place("many")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(minor, F.col("many")).otherwise(0))))
     dealt = dealt.select("key", "node", "component", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     links = dealt.join(held, "node").groupBy("key", "one", "two").applyInArrow(_close_pairs(width, percent), "a long, b long")
     links = written(links.distinct(), "near-links")
