@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, periodic, secrets, sharding, substring_dedup
+from . import ann, bpe, exact_dedup, html_text, language, line_dedup, mixing, near_dedup, periodic, phrases, secrets, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_table(_table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix_sources, op2_ring_shards, op3_language_id, op4_near_dedup, op5_bpe_round_trip, op6_balanced_postings, op7_exact_dedup, op8_html_text, op9_substring_dedup, op10_secret_scan, op12_line_dedup, op13_periodic_runs)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_mix_sources, op2_ring_shards, op3_language_id, op4_near_dedup, op5_bpe_round_trip, op6_balanced_postings, op7_exact_dedup, op8_html_text, op9_substring_dedup, op10_secret_scan, op11_phrases, op12_line_dedup, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

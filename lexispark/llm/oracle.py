@@ -70,3 +70,25 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+SQL["op11_phrases"] = r"""
+WITH pieces AS (
+  SELECT doc_id, lang, i, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(t) AS piece, unnest(range(len(t))) AS i
+        FROM (SELECT doc_id, lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS t FROM documents))),
+grams AS (SELECT lang, unnest(flatten([[array_to_string(w[j : j + m - 1], ' ') FOR j IN range(1, len(w) - m + 2)] FOR m IN range(1, 6)])) AS g FROM pieces),
+f AS (SELECT lang, g, count(*)::BIGINT AS f, string_split(g, ' ') AS w FROM grams GROUP BY lang, g),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(w) = 1 GROUP BY lang),
+cand AS (SELECT lang, g, w, f AS a FROM f WHERE len(w) > 1 AND f >= 100),
+cuts AS (SELECT *, unnest(range(1, len(w))) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.g, c.w, c.a, c.k, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.g = array_to_string(c.w[1 : c.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.g = array_to_string(c.w[c.k + 1 :], ' ') JOIN n ON n.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+subs AS (SELECT lang, a, len(w) AS m, unnest(flatten([[array_to_string(w[j : j + x - 1], ' ') FOR j IN range(1, len(w) - x + 2)] FOR x IN range(2, len(w))])) AS g FROM cand WHERE len(w) > 2),
+inside AS (SELECT lang, g, max(a) AS most FROM subs GROUP BY lang, g),
+left_over AS (SELECT s.* FROM lowest s LEFT JOIN inside i ON i.lang = s.lang AND i.g = s.g WHERE i.g IS NULL OR 100 * i.most < 100 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM left_over)
+SELECT lang, rank, g AS phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
