@@ -145,7 +145,7 @@ class LineStore:
 
 def _bounds(ids: DataFrame, batches: int) -> list[float]:
     """Doc_ids that cut the table into about equal batches; which ones they are changes no result."""
-    inner = [] if ids.isEmpty() else ids.approxQuantile("top", [i / batches for i in range(1, batches)], 0.01)
+    inner = [] if batches < 2 or ids.isEmpty() else ids.approxQuantile("top", [i / batches for i in range(1, batches)], 0.01)
     return [float("-inf"), *sorted(set(inner)), float("inf")]
 
 

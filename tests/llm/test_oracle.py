@@ -18,4 +18,4 @@ def test_rows_equal_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = list(catalog.queries())
-    assert names[0] == "pipeline" and [n.split("_")[0] for n in names[1:]] == [f"op{i}" for i in range(1, 11)]
+    assert names[0] == "pipeline" and [n.split("_")[0] for n in names[1:]] == [f"op{i}" for i in range(1, 14)]
