@@ -41,7 +41,7 @@ PAGES, BYTES = 64, 4 << 20
 
 # Elements by their role in the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title xmp noembed noframes".split())
+RAW = frozenset("script style noscript template iframe svg annotation annotation-xml object canvas audio video textarea title xmp noembed noframes".split())
 BLOCK = frozenset(
     "html body head main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption nav header footer aside form fieldset "
     "legend blockquote pre figure figcaption address details summary dialog hr center menu select option button optgroup search".split()

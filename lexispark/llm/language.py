@@ -207,10 +207,12 @@ def sample_counts(labelled: DataFrame, sample: int = SAMPLE) -> dict[str, Counte
     ship(labelled.sparkSession)
     rows = labelled.where(labelled["lang"].isNotNull() & labelled["text"].isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    counted = written(hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    # Equal texts share a hash: they count once here, or a text that is repeated often would pass or fail as a whole.
+    counted = written(hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
     sample = max(1, min(sample, TOTAL // max(1, counted.count())))
     # A hash threshold with room to spare thins the rows before the exact cut.
     thinned = hashed.join(counted, "lang").where((F.shiftrightunsigned("h", 1) / F.lit(float(2**63))) <= F.least(F.lit(1.0), (F.lit(2.0 * sample) + 50) / F.col("n")))
+    thinned = thinned.select("lang", "h", "text").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     chosen = thinned.withColumn("r", rank).where(F.col("r") <= sample).select("lang", "text")
 

@@ -43,7 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -113,12 +113,12 @@ def digests(low: np.ndarray, high: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def _sketches(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("words", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("words", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in wordhash.chunks(_rows(batch)):
-                texts = [r[1] for r in part]
+                texts = [r[-1] for r in part]
                 low, high, at = wordhash.codes(texts, lower=True)
                 sets = shingle_hashes(low, high, at, width)
                 keys: list = [None] * len(part)
@@ -129,6 +129,7 @@ def _sketches(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in part], pa.int64()),
+                        pa.array([r[1] for r in part], pa.int64()),
                         pa.array([len(s) for s in wordhash.shingle_names(texts, width)], pa.int64()),
                         pa.array(np.diff(at), pa.int64()),
                         pa.array(digests(low, high, at), pa.binary()),
@@ -137,7 +138,7 @@ def _sketches(width: int):
                     schema=schema,
                 )
 
-    return tidied(run), "doc_id long, n long, words long, digest binary, keys array<long>"
+    return tidied(run), "doc_id long, print long, n long, words long, digest binary, keys array<long>"
 
 
 @tidied
@@ -286,9 +287,19 @@ def _rest(texts: DataFrame, nodes: DataFrame, members: DataFrame, found: DataFra
     return links
 
 
+def text_print(text: Column) -> Column:
+    """What tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(text.cast("string"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    return _groups(docs, width, percent).drop("print")
+
+
+def _groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The columns of ``near_groups``, and ``print`` of each row's text."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_print(docs["text"]).alias("print"), docs["text"].cast("string").alias("text"))
     ship(docs.sparkSession)
     run, schema = _sketches(width)
     rows = written(texts.mapInArrow(run, schema), "near-rows")
@@ -315,14 +326,18 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     labels = written(named.join(least, "component").select("digest", "least"), "near-labels")
     alone = nodes.select("digest", F.col("doc_id").alias("rep")).join(labels, "digest", "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
-    own = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(alone, "digest", "left")
+    own = rows.select("doc_id", "print", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(alone, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return own.select("doc_id", "print", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with the smallest doc_id of each group of near-duplicates only."""
-    (name,) = fresh(docs, "gone")
-    gone = written(near_groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "near-dropped")
+    """``docs`` with the smallest doc_id of each group of near-duplicates only.
+
+    Rows that share a doc_id are decided by their own texts: one that is like
+    nothing stays when another one goes.
+    """
+    name, mark = fresh(docs, "gone", "print")
+    gone = written(_groups(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias(name), F.col("print").alias(mark)).distinct(), "near-dropped")
     release(docs.sparkSession)
-    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[name]) & (text_print(docs["text"]) == gone[mark]), "left_anti")

@@ -251,3 +251,38 @@ def test_word_codes_and_names(monkeypatch):
     # Codes that share a hash still get names of their own.
     monkeypatch.setattr(wordhash, "hashes", lambda low, high: np.zeros(len(low), np.uint64))
     assert sorted(set(wordhash.names(*wordhash.codes([b"x y x z"])[:2]).tolist())) == [0, 1, 2]
+
+
+def test_a_repeated_call_adds_nothing_to_the_state(spark, tmp_path, monkeypatch):
+    """A call that fails before or after its batch is committed and is repeated keeps one row of each text."""
+    docs = spark.createDataFrame([(i, f"text {i % 5}", None, None, 1) for i in range(10)], SCHEMA)
+    for where in ("_state", "commit"):
+        folder = str(tmp_path / where)
+        owner = exact_dedup if where == "_state" else exact_dedup._Folder
+        real = getattr(owner, where)
+
+        def fail(*args):
+            raise RuntimeError("lost")
+
+        monkeypatch.setattr(owner, where, fail)
+        for _ in range(2):
+            try:
+                exact_dedup.drop_exact(docs, folder)
+            except RuntimeError:
+                pass
+        monkeypatch.setattr(owner, where, real)
+        assert {r["doc_id"] for r in exact_dedup.drop_exact(docs, folder).collect()} == {5, 6, 7, 8, 9}
+        again = exact_dedup.exact_groups(docs, state=folder).collect()
+        assert {r["group_size"] for r in again} == {2} and sum(r["kept"] for r in again) == 5
+        named = exact_dedup.exact_groups(docs, state=folder, batch="another").collect()
+        assert {r["group_size"] for r in named} == {4}
+
+
+def test_unlike_texts_under_one_doc_id(spark):
+    """A row that is like nothing stays when another row with its doc_id is a near copy."""
+    a, unique, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "aub")
+    rows = [(0, a, None, None, 1), (1, unique, None, None, 1), (1, a + " more", None, None, 1), (2, b, None, None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 AS print", "8 AS gone")
+    kept = near_dedup.drop_near(docs)
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in kept.collect()} == {(0, a), (1, unique), (2, b)}

@@ -416,3 +416,18 @@ def test_vectors_that_take_no_part(spark):
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in ann.search(df).collect()}
     assert got == {(0, 1): (20, 2.0), (0, 2): (6, 0.5), (20, 1): (0, 2.0), (20, 2): (6, 1.0)}
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_language_of_one_text_that_is_repeated_often(spark):
+    """Thousands of rows with one text do not make their language vanish from the sample."""
+    french = "le chat est sur la table et la maison est grande"
+    rows = [(i, french, "fr") for i in range(3_000)] + [(10_000 + i, f"the house number {i} is by the old river", "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = language.sample_counts(docs, sample=20)
+    assert counts["fr"] and counts["fr"].most_common(1)[0][1] <= 4 and sum(counts["en"].values()) > 100
+
+
+def test_formulas_stay_in_the_text():
+    line = "<p>The area of a circle of this kind is <math><mi>pi</mi> <mi>r</mi>\u00b2<annotation>tex source</annotation></math> in all cases, as everybody knows.</p>"
+    nodes = html_text.parse(f"<html><body><article><h1>Circles</h1>{line * 4}</article></body></html>")
+    assert "pi r\u00b2 in all cases" in str(nodes) or any("pi" in str(n) for n in nodes) and "tex source" not in str(nodes)
