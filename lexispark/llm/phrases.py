@@ -1,10 +1,10 @@
 """Phrase collocations by contiguous pattern growth (PrefixSpan with gaps of zero).
 
 Occurrences are counted from short to long, and only what can still be frequent
-is looked at. A pass over the texts counts words, a second one counts pairs of
-frequent words by a 48-bit code (which only rules pairs out), a third one
-projects the pointers of every pair that is left: the words that follow an
-occurrence, as far as neighbouring pairs are left and the piece goes on. Equal projections of a block are one row with a count. Projections are
+is looked at. A pass over the texts counts words, a second one pairs of frequent
+words, a third one projects the pointers of every frequent pair: the words that
+follow an occurrence, as far as neighbouring pairs are frequent and the piece
+goes on. Equal projections of a block are one row with a count. Projections are
 dealt by their prefix; a task sorts a prefix's pointers and extends the prefix
 to the right, depth first, as long as the extension is frequent.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from .periodic import ragged
 LONGEST, AT_LEAST, TOP, BLOCK = 5, 100, 2_000, 4 << 20
 #: Most occurrences of a prefix that one task extends.
 POINTERS = 50_000
+#: Parts of the pairs, by their first word, that are counted one after the other, so that disks hold one part's exchange.
+ROUNDS = 2
 #: Bits of a filter: FILTER_ROWS rows of 4 KB, whatever the corpus.
 FILTER_ROWS, _BITS = 1_024, 32_768
 _PLACES = FILTER_ROWS * _BITS
@@ -138,9 +141,8 @@ def _word_place(a: np.ndarray) -> np.ndarray:
     return (a & np.uint64(_PLACES - 1)).astype(np.int64)
 
 
-def _pair_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """48 bits for two words in their order; pairs that share a code are ruled out together or not at all."""
-    return (wordhash.pair(a, b) >> np.uint64(16)).astype(np.int64)
+def _pair_place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a ^ (b >> np.uint64(17))) & np.uint64(_PLACES - 1)).astype(np.int64)
 
 
 def _joined(hashes: np.ndarray, piece: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -151,14 +153,15 @@ def _joined(hashes: np.ndarray, piece: np.ndarray, words: np.ndarray) -> np.ndar
     return out
 
 
-def _pairs(seed: int, words):
+def _pairs(seed: int, words, part: int):
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, block in _blocks(batches):
             hashes, _, _, _, piece = _words(lang, block, seed)
-            at = np.flatnonzero(_joined(hashes, piece, words.value))
-            codes, n = np.unique(_pair_codes(hashes[at], hashes[at + 1]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n, pa.int64())], names=["code", "n"])
+            at = np.flatnonzero(_joined(hashes, piece, words.value) & (hashes % np.uint64(ROUNDS) == part))
+            a, b = hashes[at], hashes[at + 1]
+            first, n = _grouped([a, b])
+            yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(n, pa.int64())], names=["h0", "h1", "n"])
 
     return run
 
@@ -170,12 +173,12 @@ def _projections(seed: int, words, pairs):
             hashes, _, _, _, piece = _words(lang, block, seed)
             on = _joined(hashes, piece, words.value)
             at = np.flatnonzero(on)
-            on[at] = _in(pairs.value, _pair_codes(hashes[at], hashes[at + 1]) & (_PLACES - 1))
+            on[at] = _in(pairs.value, _pair_place(hashes[at], hashes[at + 1]))
             reach = np.concatenate([on, np.zeros(LONGEST, bool)])
-            at = np.flatnonzero(on)
+            at = np.flatnonzero(reach[: len(on)] & reach[1 : len(on) + 1])
             held = np.concatenate([hashes, np.zeros(LONGEST, np.uint64)])
-            columns, going = [held[at], held[at + 1]], np.ones(len(at), bool)
-            for i in range(2, LONGEST):
+            columns, going = [held[at], held[at + 1], held[at + 2]], np.ones(len(at), bool)
+            for i in range(3, LONGEST):
                 going = going & reach[at + i - 1]
                 columns.append(np.where(going, held[at + i], np.uint64(0)))
             first, n = _grouped(columns)
@@ -251,12 +254,16 @@ def frequent(texts: DataFrame, least: int = AT_LEAST, pointers: int = POINTERS,
         return frequent(texts, least, pointers, seed + 1)
     common = vocabulary.where(F.col("n") >= least)
     words = context.broadcast(bitmap(common.select(F.col("hash").bitwiseAND(_PLACES - 1))))
-    counted = texts.mapInArrow(_pairs(seed, words), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    seen = context.broadcast(bitmap(counted.where(F.col("n") >= least).select(F.col("code").bitwiseAND(_PLACES - 1))))
-    release(spark)
+    parts = []
+    for part in range(ROUNDS):
+        counted = texts.mapInArrow(_pairs(seed, words, part), "h0 long, h1 long, n long").groupBy("h0", "h1").agg(F.sum("n").alias("n"))
+        parts.append(written(counted.where(F.col("n") >= least), "phrase-pairs"))
+        release(spark)
+    pairs = reduce(DataFrame.unionByName, parts)
+    places = F.col("h0").bitwiseXOR(F.shiftrightunsigned("h1", 17)).bitwiseAND(_PLACES - 1)
+    seen = context.broadcast(bitmap(pairs.select(places)))
     rest = written(texts.mapInArrow(_projections(seed, words, seen), ", ".join(f"{c} long" for c in [*_IDS, "n"])).groupBy(*_IDS).agg(F.sum("n").alias("n")), "phrase-pointers")
     release(spark)
-    pairs = written(rest.groupBy("h0", "h1").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-pairs")
     found = [common.select(F.array("hash").alias("ids"), F.col("n").alias("f")), _phrases(pairs, 2)]
     sums = pairs
     for depth in range(2, LONGEST):
