@@ -52,21 +52,10 @@ def top_by_rank(candidates: DataFrame, n: int, tie: str) -> DataFrame:
 
 
 def row_group_offsets(spark, paths: list[str]) -> DataFrame:
-    """(file, row_group, first_row, rows) from the footers of Parquet files, read on the executors' file system."""
-    schema = "file string, row_group long, first_row long, rows long"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    import pyarrow.fs as fs
-    import pyarrow.parquet as pq
-
-    rows = []
-    for path in paths:
-        system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        footer, first = pq.ParquetFile(system.open_input_file(inner)).metadata, 0
-        for g in range(footer.num_row_groups):
-            rows.append((path.rsplit("/", 1)[-1], g, first, footer.row_group(g).num_rows))
-            first += footer.row_group(g).num_rows
-    return spark.createDataFrame(rows, schema)
+    """(file, row_group, first_row, rows) from the footers of Parquet files."""
+    from ..sources.rowgroups import footers
+
+    return footers(spark, paths)
 
 
 def materialize(references: DataFrame, corpus: DataFrame, offsets: DataFrame | None = None) -> DataFrame:
@@ -79,7 +68,7 @@ def materialize(references: DataFrame, corpus: DataFrame, offsets: DataFrame | N
     """
     wanted = references.dropDuplicates(["doc_ref"])
     if offsets is not None:
-        wanted = wanted.join(F.broadcast(offsets), ["file", "row_group"]).where(F.col("row") < F.col("rows")).withColumn("row", F.col("first_row") + F.col("row"))
+        wanted = wanted.join(offsets, ["file", "row_group"]).where(F.col("row") < F.col("rows")).withColumn("row", F.col("first_row") + F.col("row"))
     rows = corpus.select("*", basename(F.col("_metadata.file_path")).alias("__file"), F.col("_metadata.row_index").alias("__row"))
     wanted = wanted.select("doc_ref", F.col("file").alias("__file"), F.col("row").alias("__row"))
     return rows.join(wanted, ["__file", "__row"]).drop("__file", "__row")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import basename, clean
 from ..operators import integrity
+from . import matrices, places
 
 RANKING = "query_id string, field string, rank int, doc_id string, score double, metadata string"
 TRACE_HIT = "array<struct<citation:string,title:string,source:string,text:string,score:double>>"
@@ -127,20 +128,11 @@ def view_record_violations(views: DataFrame, offsets: DataFrame) -> DataFrame:
 
 
 def half_matrix(spark: SparkSession, path: str, rows: int, dims: int, field: str) -> DataFrame:
-    """(field, idx, v) of a raw little-endian float16 matrix, read in fixed-size records across executors."""
-    import numpy as np
-
-    schema = "field string, idx long, v array<float>"
-
-    def records(it):
-        for number, data in it:
-            yield field, number, np.frombuffer(bytes(data), "<f2").astype(np.float32).tolist()
-
-    found = spark.sparkContext.binaryRecords(path, dims * 2).zipWithIndex().map(lambda p: (p[1], p[0])).mapPartitions(records)
-    df = spark.createDataFrame(found, schema)
-    if (n := df.count()) != rows:
-        raise integrity.IntegrityError(f"{path} has {n} rows, not {rows}")
-    return df
+    """(field, idx, v) of a raw little-endian float16 matrix, read by byte ranges; its size must be rows x dims x 2."""
+    fs, place = places.hadoop(spark, path)
+    if (found := fs.getFileStatus(place).getLen()) != rows * dims * 2:
+        raise integrity.IntegrityError(f"{path} has {found} bytes, not {rows * dims * 2}")
+    return matrices.read(spark, [(field, path, 0, rows)], dims)
 
 
 def index_manifest(path: str, fields: Sequence[str], model: str | None = None, revision: str | None = None) -> dict:

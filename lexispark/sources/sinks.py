@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import integrity
+from . import places
 
 
 def _fs(spark: SparkSession, path: str):
@@ -21,23 +22,12 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.partial"
     df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).json(staged)
-    fs, target = _fs(spark, path)
-    fs.delete(target, True)
-    if not fs.rename(_fs(spark, staged)[1], target):
-        raise OSError(f"cannot publish {path}")
+    places.replace_folder(spark, staged, path)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small driver-side file, written beside and renamed when complete."""
-    fs, target = _fs(spark, path)
-    staged = _fs(spark, f"{path}.{uuid.uuid4().hex}.partial")[1]
-    out = fs.create(staged, True)
-    out.write(bytearray(text.encode()))
-    out.hsync()
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"cannot publish {path}")
+    """A small driver-side file: written beside, synced, then renamed over the old one, which stays whole until then."""
+    places.write_file(spark, path, text.encode())
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:
