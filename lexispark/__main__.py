@@ -22,7 +22,7 @@ def _index(spark: SparkSession, args: argparse.Namespace) -> dict:
     config = index.EncodingConfig(args.model, args.revision, checkpoint_rows=args.checkpoint_rows)
     module, _, name = args.encoder.partition(":")
     make = getattr(importlib.import_module(module), name)
-    return index.build(spark, args.corpus, args.views, args.output, make, {"model": config.model, "revision": config.model_revision}, config.checkpoint_rows)
+    return index.build(spark, args.corpus, args.views, args.output, make, {"model": config.model, "revision": config.model_revision}, config.checkpoint_rows, resume=args.resume)
 
 
 def _report(spark: SparkSession, args: argparse.Namespace) -> dict:
@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("--corpus", "--views", "--output", "--model", "--revision", "--encoder"):
         build.add_argument(name, required=True)
     build.add_argument("--checkpoint-rows", type=int, default=10_000)
+    build.add_argument("--resume", action="store_true", help="go on with an interrupted build of the same inputs and settings")
     build.set_defaults(call=_index)
     report = commands.add_parser("report", help="errors, context metrics and precision of saved predictions")
     for name in ("--queries", "--retrieval", "--predictions", "--output"):

@@ -493,13 +493,13 @@ def hit_texts(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from . import checks, stages  # noqa: F401  they register theirs
+    from . import checks, durable, stages  # noqa: F401  they register theirs
 
     return dict(found)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import checks, stages
+    from . import checks, durable, stages
     from .oracle import SQL
 
-    return SQL | checks.SQL | stages.SQL
+    return SQL | checks.SQL | stages.SQL | durable.SQL

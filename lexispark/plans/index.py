@@ -157,7 +157,7 @@ def _digests(spark: SparkSession, corpus: str, views: str) -> dict:
     return {name: digests.tree_digest(digests.file_digests(spark, root)).first().asDict() for name, root in (("corpus", corpus), ("views", views))}
 
 
-def build(spark: SparkSession, corpus: str, views: str, output: str, make_encoder: Callable[[], Encoder], manifest: dict, step: int = 10_000, resume: bool = False) -> dict:
+def build(spark: SparkSession, corpus: str, views: str, output: str, make_encoder: Callable[[], Encoder], manifest: dict, step: int = 10_000, resume: bool = False, sitting: int | None = None) -> dict:
     """Encodes ranges of ``step`` rows, each committed on its own, and publishes the manifest last.
 
     Records are numbered and joined to their documents once and staged by range,
@@ -165,8 +165,9 @@ def build(spark: SparkSession, corpus: str, views: str, output: str, make_encode
     range and after each one. ``resume`` goes on with a build that was
     interrupted: its ledger must carry the fingerprint of these inputs, settings
     and dimensions, and there must be no manifest; ranges that are not in the
-    ledger are made anew, whatever was left of them. Inputs are digested again
-    before publication. The matrices are files of raw float16, ``step`` rows each.
+    ledger are made anew, whatever was left of them. ``sitting`` ends a call
+    after so many ranges; the next one resumes. Inputs are digested again before
+    publication. The matrices are files of raw float16, ``step`` rows each.
     """
     ledger_path, texts_path = f"{output}/_state/ledger.json", f"{output}/_state/texts"
     if resume:
@@ -197,12 +198,14 @@ def build(spark: SparkSession, corpus: str, views: str, output: str, make_encode
         ledger.staged = True
         ledger.save(spark, ledger_path)
     staged = spark.read.parquet(texts_path)
-    for number in range(-(-total // step)):
-        if not ledger.has(number):
-            rows = spark.read.parquet(f"{texts_path}/range={number}")
-            encoded(rows.select("global_idx", *VIEWS), make_encoder).write.mode("overwrite").partitionBy("field").parquet(f"{output}/parts/from={number * step}")
-            ledger.commit(number)
-            ledger.save(spark, ledger_path)
+    left = [number for number in range(-(-total // step)) if not ledger.has(number)]
+    for number in left[:sitting]:
+        rows = spark.read.parquet(f"{texts_path}/range={number}")
+        encoded(rows.select("global_idx", *VIEWS), make_encoder).write.mode("overwrite").partitionBy("field").parquet(f"{output}/parts/from={number * step}")
+        ledger.commit(number)
+        ledger.save(spark, ledger_path)
+    if sitting is not None and sitting < len(left):
+        return asdict(ledger)
     if _digests(spark, corpus, views) != pinned:
         raise integrity.IntegrityError("the inputs changed while the index was built")
     vectors = spark.read.parquet(f"{output}/parts").select("field", "idx", "v")

@@ -4,8 +4,8 @@ A matrix of a field is one file or several, each of consecutive rows and of
 exactly rows x dims x 2 bytes. Reading makes a partition of each stretch of
 SPAN rows, that is of a byte range, and checks every file's size first. Writing
 takes rows (field, idx, v) that are sorted by field and number in each task,
-writes a file for each stretch of consecutive numbers beside the target, and
-commits on the driver: the stretches of every field must cover the stated rows
+writes a file for each stretch of consecutive numbers (``step`` at most) beside
+the target, and commits on the driver: the stretches of every field must cover the stated rows
 without gap or overlap, files are renamed into place, and a listing of them
 (field, first, rows, sha256) is published last. A task that is repeated leaves
 a file that nobody lists, which goes with the staging folder.
@@ -78,7 +78,7 @@ class Written(WriterCommitMessage):
 class MatrixWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.dims, self.rows = options["path"].rstrip("/"), int(options["dims"]), int(options["rows"])
-        self.fields, self.first = json.loads(options["fields"]), int(options.get("first", 0))
+        self.fields, self.first, self.step = json.loads(options["fields"]), int(options.get("first", 0)), int(options["step"])
         self.staging = f"{self.path}/_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -101,9 +101,9 @@ class MatrixWriter(DataSourceArrowWriter):
             numbers = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f2").reshape(-1, self.dims)
             if not np.isfinite(numbers).all():
                 raise ValueError("a vector has a component that float16 cannot hold")
-            cuts = np.flatnonzero((fields[1:] != fields[:-1]) | (idx[1:] != idx[:-1] + 1)) + 1
+            cuts = np.flatnonzero((fields[1:] != fields[:-1]) | (idx[1:] != idx[:-1] + 1) | ((idx[1:] - self.first) % self.step == 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(idx)], strict=True):
-                if out is None or fields[a] != field or idx[a] != following:
+                if out is None or fields[a] != field or idx[a] != following or (idx[a] - self.first) % self.step == 0:
                     close()
                     field, first, following, digest = fields[a], int(idx[a]), int(idx[a]), hashlib.sha256()
                     name = f"{self.staging}/{uuid.uuid4().hex}.f16"
@@ -156,7 +156,7 @@ class MatrixWriter(DataSourceArrowWriter):
 
 
 class HalfMatrix(DataSource):
-    """``float16_matrix``: options dims, and files (reading) or path, rows, first and fields (writing)."""
+    """``float16_matrix``: options dims, and files (reading) or path, rows, first, step and fields (writing)."""
 
     @classmethod
     def name(cls) -> str:
@@ -193,7 +193,7 @@ def write(vectors: DataFrame, path: str, fields: Sequence[str], rows: int, dims:
     stretch = F.floor((F.col("idx") - first) / step).alias("__stretch")
     numbered = vectors.select("field", F.col("idx").cast("long").alias("idx"), F.col("v").cast("array<float>").alias("v"), stretch)
     dealt = numbered.repartition(max(1, -(-rows // step)) * len(fields), "field", "__stretch").sortWithinPartitions("field", "idx").drop("__stretch")
-    options = {"path": places.qualified(vectors.sparkSession, path), "fields": json.dumps(list(fields)), "rows": rows, "dims": dims, "first": first}
+    options = {"path": places.qualified(vectors.sparkSession, path), "fields": json.dumps(list(fields)), "rows": rows, "dims": dims, "first": first, "step": step}
     dealt.write.format("float16_matrix").options(**options).mode("append").save()
 
 
