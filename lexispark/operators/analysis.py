@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import random
 import statistics
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,56 +77,91 @@ def _stable_sigmoid(x: np.ndarray) -> np.ndarray:
     return np.where(x >= 0, 1 / (1 + e), e / (1 + e))
 
 
-def fit_surrogate(x: np.ndarray, y: np.ndarray, iterations: int, rate: float, l2: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Means, scales, intercept and coefficients by full-batch descent from zero; only coefficients are penalised."""
-    means = x.mean(axis=0)
-    deviations = np.sqrt(((x - means) ** 2).mean(axis=0))
-    scales = np.where(deviations > 0, deviations, 1.0)
-    z = (x - means) / scales
-    bias, weights = 0.0, np.zeros(x.shape[1])
-    for _ in range(iterations):
-        off = _stable_sigmoid(bias + z @ weights) - y
-        bias, weights = bias - rate * off.mean(), weights - rate * (z.T @ off / len(y) + l2 * weights)
-    return means, scales, bias, weights
+SURROGATE = "query_id string, citation string, accepted boolean, probability double, prediction boolean, intercept double, contributions map<string,double>, log_odds double, raw_coefficients map<string,double>, accuracy double, brier double, log_loss double"
 
 
-SURROGATE = "query_id string, citation string, accepted boolean, probability double, prediction boolean, intercept double, contributions map<string,double>, log_odds double, raw_coefficients map<string,double>, accuracy double, brier double, log_loss double"
+#: Rows of a task of the surrogate, and tasks at most: all of them run at the same time.
+SURROGATE_ROWS, SURROGATE_TASKS = 50_000, 64
+
+
+class _Sums:
+    """Sums over the tasks of a barrier stage, in the tasks' order, so that all of them get the same bits."""
 
+    def __init__(self):
+        context = BarrierTaskContext.get()
+        self.context = context if context is not None and len(context.getTaskInfos()) > 1 else None
 
-def gate_surrogate(candidates: DataFrame, iterations: int = 2_000, rate: float = 0.1, l2: float = 0.01, threshold: float = 0.5) -> DataFrame:
-    """A linear logistic surrogate of the gate, explained row by row; the table is one model's and small by intent.
+    def words(self, own: list[str] | None) -> list[str] | None:
+        """The first task's list that is not None."""
+        said = [json.loads(m) for m in self.context.allGather(json.dumps(own))] if self.context else [own]
+        return next((x for x in said if x is not None), None)
+
+    def of(self, *own: float | np.ndarray) -> np.ndarray:
+        flat = np.concatenate([np.atleast_1d(np.asarray(x, float)) for x in own])
+        if not self.context:
+            return flat
+        total = np.zeros(len(flat))
+        for m in self.context.allGather(base64.b64encode(flat.tobytes()).decode()):
+            total += np.frombuffer(base64.b64decode(m))
+        return total
+
+
+def gate_surrogate(candidates: DataFrame, iterations: int = 2_000, rate: float = 0.1, l2: float = 0.01, threshold: float = 0.5, tasks: int | None = None) -> DataFrame:
+    """A linear logistic surrogate of the gate, explained row by row.
 
     candidates: (query_id, citation, accepted, features map). Contributions sum
-    to the log-odds. The fit follows a fixed number of full-batch steps, so it
-    is one group by its nature.
+    to the log-odds. The fit is a fixed number of full-batch steps from zero: the
+    rows stay where they are, each step sums its gradient over them, and the
+    tasks of one barrier stage exchange those sums (a number for each feature)
+    and take the same step. ``tasks`` is one for each SURROGATE_ROWS rows unless
+    given; they need as many free cores at once.
     """
     if iterations <= 0 or rate <= 0 or l2 < 0 or not 0 < threshold < 1:
         raise ValueError("iterations and rate must be positive, l2 non-negative, the threshold in (0, 1)")
+    spark = candidates.sparkSession
+    if tasks is None:
+        tasks = min(SURROGATE_TASKS, spark.sparkContext.defaultParallelism, -(-candidates.count() // SURROGATE_ROWS)) or 1
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["query_id", "citation"], kind="stable").reset_index(drop=True)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"query_id": [], "citation": [], "accepted": [], "features": []})
         maps = [dict(f) for f in rows["features"]]
-        names = sorted(maps[0])
-        x = np.array([[m[n] for n in names] for m in maps], float)
+        sums = _Sums()
+        names = sums.words(sorted(maps[0]) if maps else None)
+        if names is None:
+            return
+        x = np.array([[m[n] for n in names] for m in maps], float).reshape(len(maps), len(names))
         y = rows["accepted"].to_numpy(float)
-        _, scales, bias, weights = fit_surrogate(x, y, iterations, rate, l2)
-        means = x.mean(axis=0)
-        parts = (x - means) / scales * weights
+        n, *total = sums.of(len(y), x.sum(axis=0))
+        means = np.array(total) / n
+        deviations = np.sqrt(sums.of(((x - means) ** 2).sum(axis=0)) / n)
+        scales = np.where(deviations > 0, deviations, 1.0)
+        z = (x - means) / scales
+        bias, weights = 0.0, np.zeros(len(names))
+        for _ in range(iterations):
+            off = _stable_sigmoid(bias + z @ weights) - y
+            step = sums.of(off.sum(), z.T @ off) / n
+            bias, weights = bias - rate * step[0], weights - rate * (step[1:] + l2 * weights)
+        parts = z * weights
         odds = bias + parts.sum(axis=1)
         p = _stable_sigmoid(odds)
-        q = np.clip(p, 1e-15, None)
-        loss = -(y * np.log(q) + (1 - y) * np.log(np.clip(1 - p, 1e-15, None))).mean()
-        return pd.DataFrame(
+        losses = -(y * np.log(np.clip(p, 1e-15, None)) + (1 - y) * np.log(np.clip(1 - p, 1e-15, None)))
+        accuracy, brier, loss = sums.of(((p >= threshold) == (y > 0)).sum(), ((p - y) ** 2).sum(), losses.sum()) / n
+        yield pd.DataFrame(
             {
                 "query_id": rows["query_id"], "citation": rows["citation"], "accepted": rows["accepted"], "probability": p, "prediction": p >= threshold, "intercept": bias,
                 "contributions": [dict(zip(names, map(float, row), strict=True)) for row in parts], "log_odds": odds,
                 "raw_coefficients": [dict(zip(names, map(float, weights / scales), strict=True))] * len(rows),
-                "accuracy": ((p >= threshold) == (y > 0)).mean(), "brier": ((p - y) ** 2).mean(), "log_loss": loss,
+                "accuracy": accuracy, "brier": brier, "log_loss": loss,
             }
         )
 
-    ship(candidates.sparkSession)
-    return candidates.groupBy(F.lit("all").alias("model")).applyInPandas(run, SURROGATE)
+    ship(spark)
+    order = ["query_id", "citation"]
+    dealt = candidates.select(*order, "accepted", "features")
+    dealt = dealt.repartition(1) if tasks == 1 else dealt.repartitionByRange(tasks, *order)
+    # All tasks of a barrier stage run at once or none does; the exchange behind it lets later plans take some rows only.
+    return dealt.sortWithinPartitions(*order).mapInPandas(run, SURROGATE, barrier=True).repartition(tasks, *order)
 
 
 def perturbation_effects(cases: DataFrame) -> DataFrame:

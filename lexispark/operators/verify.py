@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, split_reasoning, truncated
 from ..session import ship
+from ..sources import places
 from . import integrity
 
 SCORE = "candidate_id string, score double, confidence double, rationale string, problem string"
@@ -126,21 +128,82 @@ def parse_scores(reply: str | None, expected: Sequence[str]) -> list[tuple]:
     return [out[w] for w in expected]
 
 
-def score_batches(batched: DataFrame, make_provider: Callable[[], Callable[[list[dict]], str]], attempts: int = 3, pause: float = 1.0, done: DataFrame | None = None) -> DataFrame:
+class BatchStore:
+    """Scores that have been paid for, a file for each batch in a folder that all executors share.
+
+    A file is named by the digest of the batch's rows and settings, written
+    beside and renamed, so it is there whole or not at all.
+    """
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+
+    def _path(self, digest: str) -> str:
+        return f"{self.root}/{digest[:2]}/{digest}.json"
+
+    def get(self, digest: str, expected: Sequence[str]) -> list[tuple] | None:
+        import pyarrow.fs as fs
+
+        system, path = places.place(self._path(digest))
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with system.open_input_stream(path) as source:
+            saved = json.loads(source.read())
+        rows = [(s["candidate_id"], s["score"], s["confidence"], s["rationale"], None) for s in saved["scores"]]
+        if saved["batch_sha256"] != digest or [r[0] for r in rows] != list(expected):
+            raise integrity.IntegrityError(f"{path} holds another batch")
+        return rows
+
+    def put(self, digest: str, query_id: str, batch: int, rows: list[tuple]) -> None:
+        scores = [dict(zip(("candidate_id", "score", "confidence", "rationale"), r[:4], strict=True)) for r in rows]
+        system, path = places.place(self._path(digest))
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        beside = f"{path}.{uuid.uuid4().hex}.partial"
+        with system.open_output_stream(beside) as out:
+            out.write(canonical({"batch_sha256": digest, "query_id": query_id, "batch": batch, "scores": scores}))
+        system.move(beside, path)
+
+
+def stored_scores(spark: SparkSession, store: str) -> DataFrame:
+    """(query_id, batch, batch_sha256, slot, candidate_id, score, confidence, rationale) of a store, as far as it came."""
+    score = "struct<candidate_id:string,score:double,confidence:double,rationale:string>"
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("mode", "FAILFAST").schema(f"query_id string, batch int, batch_sha256 string, scores array<{score}>").json(store)
+    return files.select("query_id", "batch", "batch_sha256", F.posexplode("scores").alias("slot", "s")).select("query_id", "batch", "batch_sha256", "slot", "s.*")
+
+
+def score_batches(
+    batched: DataFrame,
+    make_provider: Callable[[], Callable[[list[dict]], str]],
+    attempts: int = 3,
+    pause: float = 1.0,
+    done: DataFrame | None = None,
+    store: str | None = None,
+    settings: dict | None = None,
+) -> DataFrame:
     """Asks a provider for each batch's scores, with retries; batches in ``done`` (query_id, batch) are skipped.
 
-    The provider is made once a worker. A batch that fails at last gives rows
-    with a problem, so the caller can keep what succeeded and resume.
+    With a ``store``, a batch's scores are kept under the digest of its rows and
+    of ``settings`` (model, prompt and the like) before the next batch is asked,
+    and a batch that is kept is not asked again: not by a task that is repeated,
+    not by another action on the same rows, not by a later run. (Two copies of a
+    task that run at once may still both ask; leave speculation off.) A batch
+    that fails at last gives rows with a problem and is not kept, so the caller
+    can use what succeeded and resume.
     """
     ship(batched.sparkSession)
+    kept = BatchStore(places.qualified(batched.sparkSession, store)) if store else None
     left = batched if done is None else batched.join(done.select("query_id", "batch").distinct(), ["query_id", "batch"], "left_anti")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        provider = make_provider()
         ordered = [_plain(r) for r in rows.sort_values("slot").to_dict("records")]
         expected = [r["candidate_id"] for r in ordered]
-        result = []
-        for attempt in range(attempts):
+        result: list[tuple] = []
+        if kept:
+            digest = hashlib.sha256(canonical({"settings": settings or {}, "rows": ordered})).hexdigest()
+            result = kept.get(digest, expected) or []
+        asked = bool(result)
+        provider = None if asked else make_provider()
+        for attempt in range(0 if asked else attempts):
             try:
                 result = parse_scores(provider(ordered), expected)
             except Exception as error:  # a provider may fail in any way; the text is kept
@@ -149,6 +212,8 @@ def score_batches(batched: DataFrame, make_provider: Callable[[], Callable[[list
                 break
             if attempt + 1 < attempts:
                 time.sleep(pause * (attempt + 1))
+        if kept and not asked and result[0][4] is None:
+            kept.put(digest, ordered[0]["query_id"], ordered[0]["batch"], result)
         frame = pd.DataFrame(result, columns=["candidate_id", "score", "confidence", "rationale", "problem"])
         return frame.assign(query_id=ordered[0]["query_id"], batch=ordered[0]["batch"])[["query_id", "batch", *frame.columns]]
 

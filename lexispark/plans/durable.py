@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import fusion, verify
-from ..sources import matrices, places, rowgroups, sinks
-from ..streaming import runs
-from . import index, tables
+from ..operators import candidates, fusion, verify
+from ..sources import matrices, places, rowgroups
+from ..streaming import ordered
+from . import checks, index, tables
 from .registry import query
 from .stages import scratch
 from .tables import table
@@ -117,3 +119,89 @@ def _full_sql() -> None:
 
 
 _full_sql()
+
+
+def _asker(folder: str):
+    """A provider that leaves a file for each batch that it is asked."""
+
+    def make():
+        def ask(rows: list[dict]) -> str:
+            system, path = places.place(f"{folder}/{uuid.uuid4().hex}.json")
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as out:
+                out.write(json.dumps({"candidate_id": rows[0]["candidate_id"]}).encode())
+            return json.dumps({"scores": [{"candidate_id": r["candidate_id"], "score": int(r["doc_id"]) % 11, "confidence": 1, "rationale": "r"} for r in rows]})
+
+        return ask
+
+    return make
+
+
+@query
+def durable_scores(spark, sf):
+    """Batches scored in a first run of half the queries and in a second one of all, which is evaluated twice: each batch is asked once."""
+    base = places.qualified(spark, scratch(spark, "scores"))
+    batched = candidates.batches(checks._prepared(spark, sf), 5)
+    settings = {"model": "m", "prompt": "v1"}
+    score = lambda rows: verify.score_batches(rows, _asker(f"{base}/asked"), pause=0.0, store=f"{base}/store", settings=settings)
+    score(batched.where(F.col("query_id").cast("long") % 2 == 0)).count()
+    found = score(batched)
+    found.count()
+    asked = spark.read.schema("candidate_id string").json(f"{base}/asked").groupBy("candidate_id").agg(F.count(F.lit(1)).alias("times"))
+    first = batched.where("slot = 0").select("query_id", "batch", "candidate_id").join(asked, "candidate_id", "left").select("query_id", "batch", "times")
+    kept = verify.stored_scores(spark, f"{base}/store").select("candidate_id", F.col("score").alias("stored"))
+    return found.join(first, ["query_id", "batch"]).join(kept, "candidate_id").select("candidate_id", "score", "stored", "times")
+
+
+SQL["durable_scores"] = f"WITH {checks._PREPARED} SELECT candidate_id, (o_orderkey % 11)::DOUBLE AS score, (o_orderkey % 11)::DOUBLE AS stored, 1::BIGINT AS times FROM prepared"
+
+
+@query
+def ordered_run_states(spark, sf):
+    """Events of runs dealt out over four micro-batches in no order, some of them twice; the last state of each run."""
+    from .catalog import _run_events
+
+    base = scratch(spark, "ordered")
+    place = F.row_number().over(Window.partitionBy("run_key").orderBy("seq")) - 1
+    events = _run_events(spark, sf).withColumn("seq", place.cast("long"))
+    mixed = events.unionByName(events.where("seq % 3 = 1")).withColumn("part", F.pmod(F.xxhash64("run_key", "seq", F.rand(7)), F.lit(4)))
+    mixed.repartition(4, "part").drop("part").write.parquet(f"{base}/events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+
+    def keep(rows, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/states/batch={number}")
+
+    try:
+        ordered.fold_ordered(stream, idle=None).writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    states = spark.read.parquet(f"{base}/states")
+    last = states.groupBy("run_key").agg(F.max_by(F.struct("status", "events", "steps", "following"), "batch").alias("s"))
+    return last.select("run_key", "s.status", "s.events", F.size(F.map_filter("s.steps", lambda k, v: v == "completed")).alias("completed_steps"), F.col("s.following").alias("following"))
+
+
+def _ordered_sql() -> str:
+    from .oracle import SQL as plain
+
+    return f"SELECT f.*, (SELECT count(*) FROM events e WHERE e.user_id::VARCHAR = f.run_key) AS following FROM ({plain['run_event_fold']}) f"
+
+
+SQL["ordered_run_states"] = _ordered_sql()
+
+
+SQL["surrogate_fit"] = """
+WITH RECURSIVE t AS (
+  SELECT n_name, avg(c_acctbal)::DOUBLE AS x1, count(*)::DOUBLE AS x2, count(*) FILTER (c_mktsegment = 'BUILDING') * 5 > count(*) AS accepted
+  FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, CASE WHEN stddev_pop(x1) > 0 THEN stddev_pop(x1) ELSE 1 END AS s1, CASE WHEN stddev_pop(x2) > 0 THEN stddev_pop(x2) ELSE 1 END AS s2 FROM t),
+z AS (SELECT n_name, accepted, accepted::INTEGER::DOUBLE AS y, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2 FROM t, m),
+l AS (SELECT list(z1 ORDER BY n_name) AS a, list(z2 ORDER BY n_name) AS b, list(y ORDER BY n_name) AS y, count(*) AS n FROM z),
+fit(i, b0, w1, w2) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, b0 - 0.1 * list_sum(o) / n, w1 - 0.1 * (list_dot_product(o, a) / n + 0.01 * w1), w2 - 0.1 * (list_dot_product(o, b) / n + 0.01 * w2)
+  FROM (SELECT i, b0, w1, w2, a, b, n, list_transform(range(1, n + 1), lambda j: 1 / (1 + exp(-(b0 + w1 * a[j] + w2 * b[j]))) - y[j]) AS o FROM fit, l WHERE i < 2000)),
+p AS (SELECT n_name, accepted, y, b0 + w1 * z1 + w2 * z2 AS odds, 1 / (1 + exp(-(b0 + w1 * z1 + w2 * z2))) AS p FROM z, fit WHERE i = 2000)
+SELECT n_name AS query_id, 'c' AS citation, accepted, round(p, 9) AS probability, p >= 0.5 AS prediction, round(odds, 9) AS log_odds, round(avg((p - y) * (p - y)) OVER (), 9) AS brier FROM p"""
