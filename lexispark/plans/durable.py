@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import candidates, fusion, verify
-from ..sources import matrices, places, rowgroups
+from ..operators import candidates, digests, fusion, verify
+from ..sources import archives, matrices, places, rowgroups, sinks
 from ..streaming import ordered
 from . import checks, index, tables
 from .registry import query
@@ -205,3 +205,75 @@ fit(i, b0, w1, w2) AS (
   FROM (SELECT i, b0, w1, w2, a, b, n, list_transform(range(1, n + 1), lambda j: 1 / (1 + exp(-(b0 + w1 * a[j] + w2 * b[j]))) - y[j]) AS o FROM fit, l WHERE i < 2000)),
 p AS (SELECT n_name, accepted, y, b0 + w1 * z1 + w2 * z2 AS odds, 1 / (1 + exp(-(b0 + w1 * z1 + w2 * z2))) AS p FROM z, fit WHERE i = 2000)
 SELECT n_name AS query_id, 'c' AS citation, accepted, round(p, 9) AS probability, p >= 0.5 AS prediction, round(odds, 9) AS log_odds, round(avg((p - y) * (p - y)) OVER (), 9) AS brier FROM p"""
+
+
+@query
+def file_digest_rows(spark, sf):
+    """Size and SHA-256 of files written in the run, one of each supplier, and the digest of their tree."""
+    path = scratch(spark, "digests")
+    s = table(spark, sf, "supplier")
+    s.select(F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("value"), F.col("s_suppkey").alias("supplier")).repartition("supplier").write.partitionBy("supplier").text(path)
+    found = digests.file_digests(spark, path, "*.txt")
+    key = F.regexp_extract("path", r"supplier=(\d+)/", 1)
+    named = found.select(F.concat(F.lpad(key, 8, "0"), F.lit(".txt")).alias("path"), "size", "sha256")
+    tree = digests.tree_digest(named).select(F.lit("tree").alias("path"), F.col("bytes").alias("size"), "sha256")
+    return named.unionByName(tree)
+
+
+SQL["file_digest_rows"] = """
+WITH f AS (SELECT lpad(s_suppkey::VARCHAR, 8, '0') || '.txt' AS path, s_name || '|' || s_nationkey || chr(10) AS t FROM supplier),
+d AS (SELECT path, octet_length(encode(t))::BIGINT AS size, sha256(t) AS sha256 FROM f)
+SELECT * FROM d UNION ALL SELECT 'tree', sum(size)::BIGINT, sha256(string_agg(path || chr(0) || sha256, '' ORDER BY path)) FROM d"""
+
+
+@query
+def report_text(spark, sf):
+    """A Markdown report written and read again, line by line."""
+    path = f"{scratch(spark, 'report')}/report.md"
+    orders = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("last")).first()
+    vec = table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"), (F.sum("label") / F.count(F.lit(1))).alias("mean")).first()
+    report = sinks.markdown_report("Tables", {"Orders": [("rows", orders["n"]), ("last", orders["last"])], "Embeddings": [("rows", vec["n"]), ("mean label", float(vec["mean"]))]})
+    sinks.write_text(spark, path, report)
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    return lines.select(F.col("line").cast("long").alias("line"), "text")
+
+
+SQL["report_text"] = """
+WITH o AS (SELECT count(*) AS n, max(o_orderkey) AS last FROM orders), e AS (SELECT count(*) AS n, sum(label)::DOUBLE / count(*) AS mean FROM embeddings),
+t AS (SELECT ['# Tables', '', '## Orders', '', '| Measure | Value |', '|---|---|', '| rows | ' || o.n || ' |', '| last | ' || last || ' |', '', '## Embeddings', '', '| Measure | Value |', '|---|---|', '| rows | ' || e.n || ' |', '| mean label | ' || printf('%.6f', mean) || ' |', ''] AS l FROM o, e)
+SELECT unnest(range(len(l))) AS line, unnest(l) AS text FROM t"""
+
+
+def _packed(base: str):
+    import zipfile
+
+    def run(batches):
+        for batch in batches:
+            for key, names in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, path = places.place(f"{base}/{key}.whl")
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(path) as out, zipfile.ZipFile(out, "w") as archive:
+                    for name in names:
+                        archive.writestr(name, f"# {name}")
+            yield batch
+
+    return run
+
+
+@query
+def archive_members(spark, sf):
+    """An archive of each nation's suppliers: members that are missing from it, and those that it must not hold."""
+    base = places.qualified(spark, scratch(spark, "archives"))
+    s = table(spark, sf, "supplier")
+    kept = s.groupBy(F.col("s_nationkey").cast("string").alias("nation")).agg(F.sort_array(F.collect_list(F.concat(F.when(F.col("s_suppkey") % 5 == 0, "tests/").otherwise("package/"), F.col("s_suppkey") % 11, F.lit("-"), "s_suppkey", F.lit(".py")))).alias("names"))
+    kept = kept.withColumn("names", F.concat("names", F.when(F.col("nation").cast("int") % 3 > 0, F.array(F.lit("package/__init__.py"))).otherwise(F.array().cast("array<string>"))))
+    count = kept.mapInArrow(_packed(base), kept.schema).count()
+    found = archives.members(spark, [f"{base}/{r['nation']}.whl" for r in kept.select("nation").collect()]) if count else archives.members(spark, [])
+    problems = archives.member_problems(found, ["package/__init__.py"], ["tests/%"])
+    external = sinks.relative_path(F.concat(F.lit("/else/"), "archive"), "/root")
+    return problems.select("archive", "member", "problem", external.alias("told"))
+
+
+SQL["archive_members"] = """
+SELECT s_nationkey || '.whl' AS archive, 'tests/' || (s_suppkey % 11) || '-' || s_suppkey || '.py' AS member, 'forbidden' AS problem, '<external>/' || s_nationkey || '.whl' AS told FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT DISTINCT s_nationkey || '.whl', 'package/__init__.py', 'missing', '<external>/' || s_nationkey || '.whl' FROM supplier WHERE s_nationkey % 3 = 0"""

@@ -27,6 +27,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset (local tests), each application gets a fresh folder; on
+    anything but a local master a machine-local folder would be wrong, so that
+    is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by driver and executors")
+        application = spark.sparkContext.applicationId
+        if application not in _own_dirs:
+            _own_dirs[application] = "file://" + tempfile.mkdtemp(prefix="lexispark-")
+        found = _own_dirs[application]
+    return found.rstrip("/")
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, unless their PYTHONPATH has it already."""
     package = Path(__file__).resolve().parent

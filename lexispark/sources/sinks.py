@@ -94,6 +94,12 @@ def sse_frames(kind: Column, payload: Column) -> Column:
     return F.concat(F.lit("event: "), kind, F.lit("\ndata: "), F.to_json(payload), F.lit("\n\n"))
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """A path below ``root`` as it is from there; of any other path only the name is told."""
+    below = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(below)), F.substring(path, len(below) + 1, 1 << 30)).otherwise(F.concat(F.lit("<external>/"), F.element_at(F.split(path, "/"), -1)))
+
+
 def provenance(files: DataFrame) -> dict:
     """What a manifest says of its inputs (name, path, sha256, bytes, files); a row an input."""
     return {r["name"]: {"path": r["path"].rsplit("/", 1)[-1], "sha256": r["sha256"], "bytes": r["bytes"], "files": r["files"]} for r in files.collect()}

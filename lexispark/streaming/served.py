@@ -149,7 +149,8 @@ class SseWriter(DataSourceStreamWriter):
         for key, name in sorted(f for m in messages if m for f in m.files):
             part = parts[key] = parts.get(key, -1) + 1
             system, source = places.place(name)
-            _, target = places.place(f"{self.path}/{quote(key, safe='')}/{batchId:09d}-{part:04d}.sse")
+            _, base = places.place(self.path)
+            target = f"{base}/{quote(key, safe='')}/{batchId:09d}-{part:04d}.sse"
             system.create_dir(target.rsplit("/", 1)[0], recursive=True)
             system.move(source, target)
 
