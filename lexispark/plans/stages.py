@@ -31,6 +31,10 @@ def _string(c: str):
     return F.col(c).cast("string")
 
 
+def _string_of(c):
+    return c.cast("string")
+
+
 @query
 def json_lines_scan(spark, sf):
     """Orders written as JSON lines, sorted keys, nulls kept, and read again with their types."""
@@ -101,17 +105,22 @@ SELECT 'law' AS kind, count(*) AS n, max(c) AS last FROM l UNION ALL SELECT 'cou
 def _traces(spark, sf) -> DataFrame:
     """A trace a nation, its suppliers as law and court hits, written as files in folders and read again."""
     root = scratch(spark, "traces")
-    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
-    rows = table(spark, sf, "supplier").withColumn("i", place).where("i <= 12").orderBy("s_nationkey", "i").collect()  # 12 for each of 25 nations
-    for nation in range(25):
-        hits = [{"citation": f"Art. {r['s_suppkey'] % 9} OR", "title": r["s_name"], "source": None, "text": f"wie Art. {r['s_suppkey'] % 7 + 1} ZGB", "score": 1.0} for r in rows if r["s_nationkey"] == nation]
-        sinks.write_json(spark, f"{root}/{nation:02}/trace.json", {"query_id": str(nation), "candidate_law_hits": hits[0::3], "candidate_court_hits": hits[1::3] + hits[2::3]})
+    place = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+    hit = F.struct(
+        F.concat(F.lit("Art. "), _string_of(F.col("s_suppkey") % 9), F.lit(" OR")).alias("citation"), F.col("s_name").alias("title"), F.lit(None).cast("string").alias("source"),
+        F.concat(F.lit("wie Art. "), _string_of(F.col("s_suppkey") % 7 + 1), F.lit(" ZGB")).alias("text"), F.lit(1.0).alias("score"),
+    )
+    rows = table(spark, sf, "supplier").withColumn("i", place).select("s_nationkey", F.struct(F.col("i") % 3, F.col("i"), hit.alias("hit")).alias("h"), (F.col("i") % 3 == 0).alias("law"))
+    side = lambda law: F.transform(F.array_sort(F.collect_list(F.when(F.col("law") == law, F.col("h")))), lambda h: h["hit"])
+    traces = rows.groupBy("s_nationkey").agg(side(True).alias("candidate_law_hits"), side(False).alias("candidate_court_hits"))
+    body = F.to_json(F.struct(_string("s_nationkey").alias("query_id"), "candidate_law_hits", "candidate_court_hits"))
+    sinks.write_documents(traces.select(F.concat(F.lpad(_string("s_nationkey"), 2, "0"), F.lit("/trace.json")).alias("path"), body.alias("text")), root)
     return readers.sparse_traces(spark, root)
 
 
 _TRACES = """
 s AS (SELECT s_nationkey::VARCHAR AS query_id, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i FROM supplier),
-hits AS (SELECT query_id, CASE WHEN i % 3 = 0 THEN 'law' ELSE 'court' END AS kind, s_suppkey, row_number() OVER (PARTITION BY query_id, i % 3 = 0 ORDER BY i % 3, i) AS position FROM s WHERE i < 12)"""
+hits AS (SELECT query_id, CASE WHEN i % 3 = 0 THEN 'law' ELSE 'court' END AS kind, s_suppkey, row_number() OVER (PARTITION BY query_id, i % 3 = 0 ORDER BY i % 3, i) AS position FROM s)"""
 _TURNS = (
     _TRACES
     + """,

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import integrity
+from ..session import ship
 from . import places
 
 
@@ -35,6 +38,26 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
     write_text(spark, path, json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False) + "\n")
 
 
+def write_documents(rows: DataFrame, root: str) -> int:
+    """A file for each row (path below ``root``, text), written by the executors beside and renamed; returns how many. Paths must differ."""
+    base = places.qualified(rows.sparkSession, root).rstrip("/")
+    integrity.require(integrity.duplicates(rows, ["path"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                system, path = places.place(f"{base}/{name}")
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                beside = f"{path}.{uuid.uuid4().hex}.partial"
+                with system.open_output_stream(beside) as out:
+                    out.write(text.encode())
+                system.move(beside, path)
+            yield batch.select(["path"])
+
+    ship(rows.sparkSession)
+    return rows.select("path", "text").mapInArrow(run, "path string").count()
+
+
 def refuse_non_empty(spark: SparkSession, path: str, allowed: tuple[str, ...] = ()) -> None:
     """An output folder must be new or empty, or hold names that a resumed run may find."""
     fs, place = _fs(spark, path)
