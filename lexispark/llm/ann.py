@@ -27,8 +27,8 @@ component, or have another length than most (ties to the longer) take no part;
 rows that share a vec_id are one candidate for each distinct score, and none of
 each other; if a query's vec_id is repeated with different vectors, all of them
 ask, and their best results together are ranked; fewer than
-k candidates give all; an empty table gives an empty result; extra columns are
-not read.
+k candidates give all; texts are not read; an empty table gives an empty result;
+extra columns are not read.
 """
 
 from __future__ import annotations

@@ -25,8 +25,9 @@ to be kept with the state) is written first.
 
 Defined results: a null text equals the empty text; a null doc_id is smaller
 than any other, and a group of such rows has a null keep_id; of repeated rows
-with the largest doc_id one stays, the one whose locator is last; an empty
-table gives an empty result; extra columns are not read, and ``drop_exact``
+with the largest doc_id one stays, the one whose locator is last; texts of any
+length are digested and compared whole, one or two of them held at a time; an
+empty table gives an empty result; extra columns are not read, and ``drop_exact``
 keeps them whatever their names.
 """
 

@@ -31,8 +31,8 @@ documents just below the threshold costs the square of their number.
 
 Defined results: a text without words, or null, has an empty set, is linked
 with nothing and is kept; so is a row with a null doc_id, whose component is
-null; rows that share a doc_id are told apart by their words, and are both
-kept if their component is their doc_id; an empty table gives an empty result;
+null; rows that share a doc_id are told apart by their words, and each is kept
+if its component is its doc_id; an empty table gives an empty result;
 extra columns are not read.
 """
 

@@ -20,8 +20,9 @@ tests and stated in the README).
 
 Defined results: a null text has size 1 and crc32 0; a null doc_id is an id
 like others; repeated rows are counted each, and which of them gets which slot
-goes by place in their table; an empty table gives an empty result; extra
-columns are not read.
+goes by place in their table; a row whose text is edited is another row and may
+move; very long texts only give their size and checksum; an empty table gives an
+empty result; extra columns are not read.
 """
 
 from __future__ import annotations
