@@ -38,8 +38,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps the row with the largest doc_id of each group of equal texts.
 
     A null text equals the empty one; a null doc_id is smaller than others; of
-    repeated rows the last by place in the table stays; columns of any name
-    stay; an empty table stays empty.
+    repeated rows the last by place in the table stays; very long texts are
+    compared whole; columns of any name stay; an empty table stays empty.
     """
     return exact_dedup.drop_exact(docs)
 
@@ -48,8 +48,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Keeps one document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest doc_id.
 
     Texts without words and rows with a null doc_id are linked with nothing and
-    stay; rows that share a doc_id stay or go together; columns of any name
-    stay; an empty table stays empty.
+    stay; rows that share a doc_id are decided by their own texts; very long texts
+    are read whole, piece by piece; columns of any name stay; an empty table
+    stays empty.
     """
     return near_dedup.drop_near(docs)
 
@@ -58,8 +59,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources come near their target shares.
 
     A null source is a source, the last; documents without words stay once;
-    repeated rows are taken one by one; columns of any name stay; an empty table
-    stays empty.
+    repeated rows are taken one by one, ties in rank go by a digest of the row's
+    id and text; of very long texts only the number of words matters; columns of
+    any name stay; an empty table stays empty.
     """
     return mixing.mix(docs)
 
@@ -68,7 +70,9 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, and a digest of what they decode to, of each row.
 
     A null or empty text has no tokens; rows are independent, so repeated ones
-    (copies that the mix made) give equal results; an empty table gives none.
+    (copies that the mix made) give equal results; very long texts are encoded
+    whole; other columns, whatever their names, are not read; an empty table
+    gives none.
     """
     return bpe.encode_documents(docs, vocabulary_path("byte_bpe_50k.json"))
 
