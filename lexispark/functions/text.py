@@ -81,8 +81,7 @@ def fragments(text: Column) -> Column:
 
 def legal_words(text: Column) -> Column:
     """The fixed phrases that a text contains, whatever their case, in the list's order."""
-    low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, LEGAL_WORDS)), lambda w: F.contains(low, F.lower(w)))
+    return F.element_at(F.transform(F.array(F.lower(text)), lambda low: F.filter(F.array(*map(F.lit, LEGAL_WORDS)), lambda w: F.contains(low, F.lower(w)))), 1)
 
 
 def clauses(text: Column) -> Column:
@@ -92,14 +91,18 @@ def clauses(text: Column) -> Column:
 
 def meta_view(query: Column) -> Column:
     """Citations, legal words, the first two clauses, and the last three (or all), joined by ``; ``."""
-    text = clean(query)
-    parts = clauses(text)
+    # The cleaned text and its clauses are bound once each, or every use would clean and cut anew.
+    bound = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    return bound(clean(query), lambda text: bound(F.struct(text.alias("text"), clauses(text).alias("parts")), _meta_pieces))
+
+
+def _meta_pieces(cut: Column) -> Column:
+    text, parts = cut["text"], cut["parts"]
     tail = F.when(F.size(parts) > 3, F.array_join(F.slice(parts, -3, 3), " ")).otherwise(text)
     pieces = [F.array_join(fragments(text), "; "), F.array_join(legal_words(text), ", "), F.substring(F.array_join(F.slice(parts, 1, 2), " "), 1, HEAD_LIMIT), F.substring(tail, 1, TAIL_LIMIT)]
     return F.substring(F.concat_ws("; ", *[F.nullif(p, F.lit("")) for p in pieces]), 1, META_LIMIT)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("keyword", T.StringType()), T.StructField("n", T.LongType())])))
 def ranked_keywords(text: pd.Series) -> pd.Series:
     """Structs (place, keyword, n) of cleaned texts' TOP_KEYWORDS keywords, by count, ties by code point."""
     found, stop = re.compile(KEYWORD).findall, frozenset(STOP_WORDS)

@@ -161,7 +161,7 @@ class BatchStore:
         beside = f"{path}.{uuid.uuid4().hex}.partial"
         with system.open_output_stream(beside) as out:
             out.write(canonical({"batch_sha256": digest, "query_id": query_id, "batch": batch, "scores": scores}))
-        system.move(beside, path)
+        places.move_over(system, beside, path)
 
 
 def stored_scores(spark: SparkSession, store: str) -> DataFrame:

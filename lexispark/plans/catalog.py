@@ -59,8 +59,9 @@ def balanced_order(spark, sf):
     return sup.balanced(turns.withColumn("position", place), 10).select("query_id", "kind", "turn", "hit_pos")
 
 
-def _decided(spark, sf):
-    return gate.gate(tables.candidates(spark, sf), tables.support(spark, sf))
+def _decided(spark, sf, own=None):
+    own = tables.candidates_once(spark, sf) if own is None else own
+    return gate.gate(own, tables.support(spark, sf, own))
 
 
 @query
@@ -85,13 +86,14 @@ def online_order(spark, sf):
 
 @query
 def evidence_documents(spark, sf):
-    decided = _decided(spark, sf).where("accepted")
-    return gate.evidence_documents(gate.verifier_order(tables.candidates(spark, sf)), decided, 3).select("query_id", "doc_ref", "position")
+    own = tables.candidates_once(spark, sf)
+    decided = _decided(spark, sf, own).where("accepted")
+    return gate.evidence_documents(gate.verifier_order(own), decided, 3).select("query_id", "doc_ref", "position")
 
 
-def _predictions(spark, sf):
+def _predictions(spark, sf, own=None):
     everyone = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("query_id"))
-    return gate.predictions(everyone, _decided(spark, sf)).withColumnRenamed("citations", "predicted")
+    return gate.predictions(everyone, _decided(spark, sf, own)).withColumnRenamed("citations", "predicted")
 
 
 @query
@@ -113,10 +115,11 @@ def macro_f1(spark, sf):
 def _triples(spark, sf):
     from pyspark.sql import Window
 
-    first = tables.candidates(spark, sf).where(F.col("rank") <= 3).select("query_id", F.explode("citations").alias("c")).distinct()
+    own = tables.candidates_once(spark, sf)
+    first = own.where(F.col("rank") <= 3).select("query_id", F.explode("citations").alias("c")).distinct()
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("c"), "c"))
     retrieved = first.withColumn("p", place).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda s: s["c"]).alias("retrieved"))
-    return tables.gold(spark, sf).join(retrieved, "query_id").join(_predictions(spark, sf), "query_id")
+    return tables.gold(spark, sf).join(retrieved, "query_id").join(_predictions(spark, sf, own), "query_id")
 
 
 @query

@@ -13,8 +13,7 @@ from ..sources import archives, matrices, places, rowgroups, sinks
 from ..streaming import ordered
 from . import checks, index, tables
 from .registry import query
-from .stages import scratch
-from .tables import table
+from .tables import scratch, table
 
 SQL: dict[str, str] = {}
 _DIMS = 12
@@ -277,3 +276,23 @@ def archive_members(spark, sf):
 SQL["archive_members"] = """
 SELECT s_nationkey || '.whl' AS archive, 'tests/' || (s_suppkey % 11) || '-' || s_suppkey || '.py' AS member, 'forbidden' AS problem, '<external>/' || s_nationkey || '.whl' AS told FROM supplier WHERE s_suppkey % 5 = 0
 UNION ALL SELECT DISTINCT s_nationkey || '.whl', 'package/__init__.py', 'missing', '<external>/' || s_nationkey || '.whl' FROM supplier WHERE s_nationkey % 3 = 0"""
+
+
+@query
+def input_provenance(spark, sf):
+    """What a manifest says of two inputs that are trees of files: digest, bytes and number of files."""
+    base = scratch(spark, "inputs")
+    parts = []
+    for name, key, text in (("supplier", "s_suppkey", "s_name"), ("nation", "n_nationkey", "n_name")):
+        t = table(spark, sf, name)
+        t.select(F.col(text).alias("value"), F.col(key).alias("key")).repartition("key").write.partitionBy("key").text(f"{base}/{name}")
+        named = digests.file_digests(spark, f"{base}/{name}", "*.txt").select(F.concat(F.lpad(F.regexp_extract("path", r"key=(\d+)/", 1), 8, "0"), F.lit(".txt")).alias("path"), "size", "sha256")
+        parts.append(digests.tree_digest(named).select(F.lit(name).alias("name"), F.lit(f"{base}/{name}").alias("path"), "sha256", "bytes", "files"))
+    told = sinks.provenance(parts[0].unionByName(parts[1]))
+    rows = [(name, t["path"], t["sha256"], t["bytes"], t["files"]) for name, t in sorted(told.items())]
+    return spark.createDataFrame(rows, "name string, path string, sha256 string, bytes long, files long")
+
+
+SQL["input_provenance"] = """
+WITH f AS (SELECT 'supplier' AS name, lpad(s_suppkey::VARCHAR, 8, '0') || '.txt' AS path, s_name || chr(10) AS t FROM supplier UNION ALL SELECT 'nation', lpad(n_nationkey::VARCHAR, 8, '0') || '.txt', n_name || chr(10) FROM nation)
+SELECT name, name AS path, sha256(string_agg(path || chr(0) || sha256(t), '' ORDER BY path)) AS sha256, sum(octet_length(encode(t)))::BIGINT AS bytes, count(*) AS files FROM f GROUP BY name"""

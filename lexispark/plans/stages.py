@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import analysis, candidates, fusion, gate, integrity, support, verify
-from ..session import shared_dir
 from ..sources import readers, sinks
 from . import index, offline, online, tables
 from .oracle import _CANDIDATES, _DECIDED, _PREDICTED
 from .registry import query
-from .tables import table
+from .tables import scratch, table
 
 SQL: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/lexispark-{label}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return path
-
-
 def _string(c: str):
     return F.col(c).cast("string")
 

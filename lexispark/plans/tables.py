@@ -6,10 +6,13 @@ line items cite articles; the score is a tenth of a number below 101.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fusion
+from ..session import shared_dir
 
 #: Components of the five slices of a vector that serve as views: (first, length).
 SLICES = ((1, 13), (14, 13), (27, 13), (40, 13), (53, 12))
@@ -17,6 +20,14 @@ SLICES = ((1, 13), (14, 13), (27, 13), (40, 13), (53, 12))
 EVERY = 100
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/lexispark-{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,9 +47,16 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(cited, rows["o_orderkey"] == cited["l_orderkey"]).select("query_id", F.col("o_orderkey").cast("string").alias("doc_ref"), "rank", "score", "citations")
 
 
-def support(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidates_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``candidates`` written and read again, for plans that need them several times."""
+    path = scratch(spark, "candidates")
+    candidates(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def support(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
     """Support of citations by the first five orders of each customer."""
-    first = candidates(spark, sf_dir).where(F.col("rank") <= 5)
+    first = (candidates(spark, sf_dir) if own is None else own).where(F.col("rank") <= 5)
     return first.select("query_id", F.explode("citations").alias("citation")).groupBy("query_id", "citation").agg(F.count(F.lit(1)).alias("support"))
 
 

@@ -136,12 +136,12 @@ class MatrixWriter(DataSourceArrowWriter):
             inner = f"{field}/part-{first:012d}-{rows}.f16"
             _, target = places.place(f"{self.path}/{inner}")
             system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            system.move(source, target)
+            places.move_over(system, source, target)
             listed.append({"field": field, "file": inner, "first": first, "rows": rows, "sha256": sha256})
         system, beside = places.place(f"{self.path}/{LISTING}.partial")
         with system.open_output_stream(beside) as out:
             out.write(json.dumps({"dims": self.dims, "dtype": "float16", "files": listed}, indent=1, sort_keys=True).encode())
-        system.move(beside, places.place(f"{self.path}/{LISTING}")[1])
+        places.move_over(system, beside, places.place(f"{self.path}/{LISTING}")[1])
         self._clear()
 
     def abort(self, messages: list[Written | None]) -> None:

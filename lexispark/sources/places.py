@@ -16,6 +16,15 @@ def place(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def move_over(system, source: str, target: str) -> None:
+    """Rename a file that an executor has written; one that an earlier attempt left at the target goes, as not every file system renames over it."""
+    import pyarrow.fs as fs
+
+    if not isinstance(system, fs.LocalFileSystem) and system.get_file_info(target).type != fs.FileType.NotFound:
+        system.delete_file(target)
+    system.move(source, target)
+
+
 def hadoop(spark, path: str):
     """(Hadoop file system, path) as the driver sees it."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

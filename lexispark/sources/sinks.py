@@ -51,7 +51,7 @@ def write_documents(rows: DataFrame, root: str) -> int:
                 beside = f"{path}.{uuid.uuid4().hex}.partial"
                 with system.open_output_stream(beside) as out:
                     out.write(text.encode())
-                system.move(beside, path)
+                places.move_over(system, beside, path)
             yield batch.select(["path"])
 
     ship(rows.sparkSession)

@@ -152,7 +152,7 @@ class SseWriter(DataSourceStreamWriter):
             _, base = places.place(self.path)
             target = f"{base}/{quote(key, safe='')}/{batchId:09d}-{part:04d}.sse"
             system.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            system.move(source, target)
+            places.move_over(system, source, target)
 
     def abort(self, messages: list[Frames | None], batchId: int) -> None:
         system, path = places.place(f"{self.path}/errors/{batchId:09d}.sse")
