@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import base64
-import json
 import random
 import statistics
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,88 +77,128 @@ def _stable_sigmoid(x: np.ndarray) -> np.ndarray:
 SURROGATE = "query_id string, citation string, accepted boolean, probability double, prediction boolean, intercept double, contributions map<string,double>, log_odds double, raw_coefficients map<string,double>, accuracy double, brier double, log_loss double"
 
 
-#: Rows of a task of the surrogate, and tasks at most: all of them run at the same time.
-SURROGATE_ROWS, SURROGATE_TASKS = 50_000, 64
+#: Rows of a task of the surrogate's fit.
+SURROGATE_ROWS = 50_000
 
 
-class _Sums:
-    """Sums over the tasks of a barrier stage, in the tasks' order, so that all of them get the same bits."""
+def _matrix(frames: list[pd.DataFrame]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Names of the features, and a task's rows as numbers."""
+    maps = [dict(f) for rows in frames for f in rows["features"]]
+    names = sorted(maps[0]) if maps else []
+    y = np.concatenate([rows["accepted"].to_numpy(float) for rows in frames]) if frames else np.zeros(0)
+    return names, np.array([[m[n] for n in names] for m in maps], float).reshape(len(maps), len(names)), y
 
-    def __init__(self):
-        context = BarrierTaskContext.get()
-        self.context = context if context is not None and len(context.getTaskInfos()) > 1 else None
 
-    def words(self, own: list[str] | None) -> list[str] | None:
-        """The first task's list that is not None."""
-        said = [json.loads(m) for m in self.context.allGather(json.dumps(own))] if self.context else [own]
-        return next((x for x in said if x is not None), None)
+def _descend(total: Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray], iterations: int, rate: float, l2: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Means, scales, intercept and coefficients by full-batch steps from zero; only coefficients are penalised.
 
-    def of(self, *own: float | np.ndarray) -> np.ndarray:
-        flat = np.concatenate([np.atleast_1d(np.asarray(x, float)) for x in own])
-        if not self.context:
-            return flat
-        total = np.zeros(len(flat))
-        for m in self.context.allGather(base64.b64encode(flat.tobytes()).decode()):
-            total += np.frombuffer(base64.b64decode(m))
-        return total
+    ``total`` sums a function of (rows, labels) over all rows.
+    """
+    n, *sums = total(lambda x, y: np.concatenate([[len(y)], x.sum(axis=0)]))
+    means = np.array(sums) / n
+    deviations = np.sqrt(total(lambda x, y: ((x - means) ** 2).sum(axis=0)) / n)
+    scales = np.where(deviations > 0, deviations, 1.0)
+    bias, weights = 0.0, np.zeros(len(means))
+    for _ in range(iterations):
+
+        def gradient(x: np.ndarray, y: np.ndarray, bias: float = bias, weights: np.ndarray = weights) -> np.ndarray:
+            z = (x - means) / scales
+            off = _stable_sigmoid(bias + z @ weights) - y
+            return np.concatenate([[off.sum()], z.T @ off])
+
+        step = total(gradient) / n
+        bias, weights = bias - rate * step[0], weights - rate * (step[1:] + l2 * weights)
+    return means, scales, float(bias), weights
+
+
+def _fit_in_one_task(rows: DataFrame, iterations: int, rate: float, l2: float) -> tuple | None:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, x, y = _matrix(list(batches))
+        if len(y):
+            means, scales, bias, weights = _descend(lambda f: f(x, y), iterations, rate, l2)
+            yield pd.DataFrame({"names": [names], "means": [means.tolist()], "scales": [scales.tolist()], "bias": [bias], "weights": [weights.tolist()]})
+
+    found = rows.mapInPandas(run, "names array<string>, means array<double>, scales array<double>, bias double, weights array<double>").collect()
+    return (list(found[0]["names"]), np.array(found[0]["means"]), np.array(found[0]["scales"]), found[0]["bias"], np.array(found[0]["weights"])) if found else None
+
+
+def _fit_over_tasks(rows: DataFrame, iterations: int, rate: float, l2: float) -> tuple | None:
+    """Rows stay with their tasks as matrices; a step sends the weights and gets a sum a task, added in the tasks' order."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, x, y = _matrix(list(batches))
+        if len(y):
+            yield pd.DataFrame({"names": [names], "x": [x.tobytes()], "y": [y.tobytes()]})
+
+    packed = rows.mapInPandas(pack, "names array<string>, x binary, y binary").persist()
+    try:
+        known = packed.select("names").distinct().collect()
+        if not known:
+            return None
+        if len(known) > 1:
+            raise ValueError("rows have different features")
+
+        def total(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for held in batches:
+                    yield pd.DataFrame({"s": [f(np.frombuffer(x).reshape(len(y) // 8, -1), np.frombuffer(y)).tolist() for x, y in zip(held["x"], held["y"], strict=True)]})
+
+            parts = [np.array(r["s"]) for r in packed.select("x", "y").mapInPandas(run, "s array<double>").collect()]
+            return sum(parts[1:], parts[0])
+
+        return (list(known[0]["names"]), *_descend(total, iterations, rate, l2))
+    finally:
+        packed.unpersist()
 
 
 def gate_surrogate(candidates: DataFrame, iterations: int = 2_000, rate: float = 0.1, l2: float = 0.01, threshold: float = 0.5, tasks: int | None = None) -> DataFrame:
     """A linear logistic surrogate of the gate, explained row by row.
 
     candidates: (query_id, citation, accepted, features map). Contributions sum
-    to the log-odds. The fit is a fixed number of full-batch steps from zero: the
-    rows stay where they are, each step sums its gradient over them, and the
-    tasks of one barrier stage exchange those sums (a number for each feature)
-    and take the same step. ``tasks`` is one for each SURROGATE_ROWS rows unless
-    given; they need as many free cores at once.
+    to the log-odds. The fit is a fixed number of full-batch steps from zero and
+    runs when this is called, as do the three measures: in one task up to
+    SURROGATE_ROWS rows, else with a job for each step over ``tasks`` partitions.
+    The explanation is a plan over all rows.
     """
     if iterations <= 0 or rate <= 0 or l2 < 0 or not 0 < threshold < 1:
         raise ValueError("iterations and rate must be positive, l2 non-negative, the threshold in (0, 1)")
     spark = candidates.sparkSession
-    if tasks is None:
-        tasks = min(SURROGATE_TASKS, spark.sparkContext.defaultParallelism, -(-candidates.count() // SURROGATE_ROWS)) or 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = list(batches)
-        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"query_id": [], "citation": [], "accepted": [], "features": []})
-        maps = [dict(f) for f in rows["features"]]
-        sums = _Sums()
-        names = sums.words(sorted(maps[0]) if maps else None)
-        if names is None:
-            return
-        x = np.array([[m[n] for n in names] for m in maps], float).reshape(len(maps), len(names))
-        y = rows["accepted"].to_numpy(float)
-        n, *total = sums.of(len(y), x.sum(axis=0))
-        means = np.array(total) / n
-        deviations = np.sqrt(sums.of(((x - means) ** 2).sum(axis=0)) / n)
-        scales = np.where(deviations > 0, deviations, 1.0)
-        z = (x - means) / scales
-        bias, weights = 0.0, np.zeros(len(names))
-        for _ in range(iterations):
-            off = _stable_sigmoid(bias + z @ weights) - y
-            step = sums.of(off.sum(), z.T @ off) / n
-            bias, weights = bias - rate * step[0], weights - rate * (step[1:] + l2 * weights)
-        parts = z * weights
-        odds = bias + parts.sum(axis=1)
-        p = _stable_sigmoid(odds)
-        losses = -(y * np.log(np.clip(p, 1e-15, None)) + (1 - y) * np.log(np.clip(1 - p, 1e-15, None)))
-        accuracy, brier, loss = sums.of(((p >= threshold) == (y > 0)).sum(), ((p - y) ** 2).sum(), losses.sum()) / n
-        yield pd.DataFrame(
-            {
-                "query_id": rows["query_id"], "citation": rows["citation"], "accepted": rows["accepted"], "probability": p, "prediction": p >= threshold, "intercept": bias,
-                "contributions": [dict(zip(names, map(float, row), strict=True)) for row in parts], "log_odds": odds,
-                "raw_coefficients": [dict(zip(names, map(float, weights / scales), strict=True))] * len(rows),
-                "accuracy": accuracy, "brier": brier, "log_loss": loss,
-            }
-        )
-
     ship(spark)
     order = ["query_id", "citation"]
-    dealt = candidates.select(*order, "accepted", "features")
-    dealt = dealt.repartition(1) if tasks == 1 else dealt.repartitionByRange(tasks, *order)
-    # All tasks of a barrier stage run at once or none does; the exchange behind it lets later plans take some rows only.
-    return dealt.sortWithinPartitions(*order).mapInPandas(run, SURROGATE, barrier=True).repartition(tasks, *order)
+    tasks = tasks or max(1, -(-candidates.count() // SURROGATE_ROWS))
+    given = candidates.select(*order, "accepted", "features")
+    dealt = (given.repartition(1) if tasks == 1 else given.repartitionByRange(tasks, *order)).sortWithinPartitions(*order)
+    fitted = (_fit_in_one_task if tasks == 1 else _fit_over_tasks)(dealt, iterations, rate, l2)
+    if fitted is None:
+        return spark.createDataFrame([], SURROGATE)
+    names, means, scales, bias, weights = fitted
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            own, x, _ = _matrix([rows])
+            if own and own != names:
+                raise ValueError("rows have different features")
+            parts = (x - means) / scales * weights
+            odds = bias + parts.sum(axis=1)
+            p = _stable_sigmoid(odds)
+            yield pd.DataFrame(
+                {
+                    "query_id": rows["query_id"], "citation": rows["citation"], "accepted": rows["accepted"], "probability": p, "prediction": p >= threshold, "intercept": bias,
+                    "contributions": [dict(zip(names, map(float, row), strict=True)) for row in parts], "log_odds": odds,
+                    "raw_coefficients": [dict(zip(names, map(float, weights / scales), strict=True))] * len(rows),
+                }
+            )
+
+    plain = SURROGATE.split(", accuracy")[0]
+    told = dealt.mapInPandas(explain, plain)
+    hit, p = F.col("accepted").cast("double"), F.col("probability")
+    clip = lambda q: F.log(F.greatest(q, F.lit(1e-15)))
+    measures = told.agg(
+        F.avg((F.col("prediction") == F.col("accepted")).cast("double")).alias("accuracy"),
+        F.avg((p - hit) * (p - hit)).alias("brier"),
+        F.avg(-(hit * clip(p) + (1 - hit) * clip(1 - p))).alias("log_loss"),
+    )
+    return told.withColumns({name: F.lit(value) for name, value in measures.first().asDict().items()})
 
 
 def perturbation_effects(cases: DataFrame) -> DataFrame:
