@@ -1,21 +1,26 @@
 """Approximate nearest neighbours by inner product over balanced posting lists.
 
-Largest inner product becomes least distance by one more dimension: a vector x
-gets sqrt(M**2 - |x|**2), M being the greatest norm, and a query, scaled to norm
-M, gets 0. Centroids come from balanced k-means (a list's size raises its
-price) on a bounded sample; every vector of the table is then indexed, in the
-list of its nearest centroid and of up to REPLICAS - 1 others that are hardly
-farther (boundary vectors). A query walks an in-memory graph of the centroids
-(nearest neighbours and a few far links), keeps those whose distance is within
-a ratio of the nearest's (and the LEAST nearest ones in any case, as a query
-may lie on a centroid), and searches their lists, the nearest ones that
-``probes`` allows. Lists grow with the root of the table and probes with
-lists ** 0.6, so the share that is searched falls as the table grows, at a
-measured recall (README) that does not. ``exact`` searches everything, in
-blocks, for those who need it.
+Vectors are told apart by norm first, in bands of ratio BAND, as one long vector
+would else leave no distance between the others. In a band largest inner product
+becomes least distance by one more dimension: a vector x gets
+sqrt(M**2 - |x|**2), M being the band's greatest norm. A band's centroids, as
+many as its share of the rows, come from balanced k-means (a list's size raises
+its price) on the distinct vectors of a bounded sample; every vector of the table
+is then indexed, in the list of its band's nearest centroid and of up to
+REPLICAS - 1 others that are hardly farther (boundary vectors). Vectors longer
+than all of the sample have a list of their own, which every query searches.
+
+A query compares itself with all centroids, as the rows have done. A list's reach
+is its centroid's inner product with the query and REACH times the spread of its
+vectors about the centroid; lists of all bands are searched by falling reach,
+``probes`` at most, and those that could not come up to the LEAST nearest
+centroids even at PRUNE times their spread are left out. Lists grow with the root
+of the table and probes with lists ** 0.6, so the share that is searched falls as
+the table grows, at a measured recall (README) that does not. ``exact`` searches
+everything, in blocks, for those who need it.
 
 Bounds: the sample is SAMPLE vectors and SAMPLED components at most, centroids
-and graph are a quarter of its rows at most and are broadcast; beyond that lists
+are a quarter of its rows at most and are broadcast; beyond that lists
 grow longer. Lists of more than PART components are dealt in parts, queries of a list in blocks
 likewise, so no task holds more than a part and a block; each returns its best
 k a query. Inner products are summed in order of the components, in double
@@ -46,10 +51,12 @@ from .common import ship, written
 LIST, SAMPLE, SAMPLED, ROUNDS = 40, 65_536, 16_777_216, 6
 #: Lists that may hold a vector, and how much farther than the nearest they may be.
 REPLICAS, CLOSURE = 4, 1.12
-#: Lists that a query searches at least, and how much farther than the nearest the others may be.
-LEAST, RATIO = 16, 1.6
-#: Links of a centroid; components of the vectors of a part and of the queries of a block.
-LINKS, PART = 24, 2_097_152
+#: Lists that a query searches at least; spreads that count towards a list's reach, and that a list must need to be left out.
+LEAST, REACH, PRUNE = 16, 3.0, 8.0
+#: Greatest norm of a band by its least; share of the sample below which shorter vectors join a band; bands at most.
+BAND, REST, BANDS = 1.5, 0.05, 24
+#: Components of the vectors of a part and of the queries of a block.
+PART = 2_097_152
 
 
 def lists_of(vectors: int, sample: int, list_size: int = LIST) -> int:
@@ -71,17 +78,16 @@ def usable(table: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
+def norms_of(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
+
+
 def lift(x: np.ndarray, most: float) -> np.ndarray:
     """Vectors with the further dimension that makes their norms equal."""
     rest = np.sqrt(np.maximum(most * most - (x * x).sum(axis=1), 0.0))
     return np.concatenate([x, rest[:, None]], axis=1)
 
 
-def lower(q: np.ndarray, most: float) -> np.ndarray:
-    """Queries scaled to the norm of lifted vectors."""
-    return np.concatenate([q * (most / np.sqrt((q * q).sum(axis=1)))[:, None], np.zeros((len(q), 1))], axis=1)
-
-
 def _squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(axis=1)[:, None] - 2.0 * (x @ c.T) + (c * c).sum(axis=1), 0.0)
 
@@ -109,15 +115,50 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = ROUNDS) -> np.ndarra
     return c
 
 
-def links(c: np.ndarray) -> np.ndarray:
-    """For each centroid its nearest ones and a few at random."""
-    n = len(c)
-    near = min(LINKS, n)
-    out = np.empty((n, near), np.int64)
-    for i in range(0, n, 1_024):
-        out[i : i + 1_024] = nearest(_squares(c[i : i + 1_024], c), near)
-    far = np.random.default_rng(11).integers(0, n, (n, 4))
-    return np.concatenate([out, far], axis=1)
+def edges(norms: np.ndarray) -> np.ndarray:
+    """Greatest norms of the bands, falling; the last band has all that is shorter."""
+    out = [norms.max()]
+    while len(out) < BANDS and (norms <= out[-1] / BAND).sum() > REST * len(norms):
+        out.append(out[-1] / BAND)
+    return np.array(out)
+
+
+def bands_of(norms: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """Each vector's band; -1 if it is longer than all bands."""
+    return np.searchsorted(-tops, -norms, side="right") - 1
+
+
+def trained(sample: np.ndarray, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Greatest norms of the bands; lifted centroids of all bands, their bands, and the spread of their vectors a dimension."""
+    sample = np.unique(sample, axis=0)  # copies would be centroids many times
+    sample = sample[np.random.default_rng(5).permutation(len(sample))]
+    norms = norms_of(sample)
+    tops = edges(norms)
+    band, dims = bands_of(norms, tops), sample.shape[1]
+    parts = []
+    for b in range(len(tops)):
+        own = sample[band == b]
+        if len(own):
+            x = lift(own, tops[b])
+            c = centroids(x, max(1, round(lists * len(own) / len(sample))))
+            near = np.concatenate([_squares(x[i : i + 1_024], c).argmin(axis=1) for i in range(0, len(x), 1_024)])
+            sizes = np.bincount(near, minlength=len(c))
+            apart = np.bincount(near, ((own - c[near, :dims]) ** 2).sum(axis=1), len(c))
+            used = sizes > 0  # so each list has a vector at least
+            parts.append((c[used], np.full(used.sum(), b), np.sqrt(apart[used] / sizes[used] / dims)))
+    return (tops, *(np.concatenate([p[i] for p in parts]) for i in range(3)))
+
+
+def reached(q: np.ndarray, c: np.ndarray, spread: np.ndarray, probes: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, list) of the lists that queries search, k + 1 in any case, as each has a vector; centroids without the further dimension."""
+    inner = (q @ c.T) / norms_of(q)[:, None]
+    order = nearest(-(inner + REACH * spread), max(probes, k + 1))
+    floor = -np.partition(-inner, min(LEAST, len(c)) - 1, axis=1)[:, min(LEAST, len(c)) - 1]
+    near = np.take_along_axis(inner + PRUNE * spread, order, axis=1) >= floor[:, None]
+    near[:, probes:] = False
+    near[:, : k + 1] = True
+    row, col = np.nonzero(near)
+    return row, order[row, col]
 
 
 def nearest(d: np.ndarray, k: int) -> np.ndarray:
@@ -128,27 +169,6 @@ def nearest(d: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(use, np.argsort(np.take_along_axis(d, use, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def walk(q: np.ndarray, c: np.ndarray, graph: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids near a query, nearest first, and their distances: best-first search of the graph."""
-    n = len(c)
-    start = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(np.int64))
-    seen = np.zeros(n, bool)
-    seen[start] = True
-    ids, d = start, ((c[start] - q) ** 2).sum(axis=1)
-    done = np.zeros(n, bool)
-    while True:
-        order = np.argsort(d, kind="stable")[:breadth]
-        ids, d = ids[order], d[order]
-        fresh = ids[~done[ids]][:8]
-        if not len(fresh):
-            return ids, np.sqrt(d)
-        done[fresh] = True
-        new = np.unique(graph[fresh])
-        new = new[~seen[new]]
-        seen[new] = True
-        ids, d = np.concatenate([ids, new]), np.concatenate([d, ((c[new] - q) ** 2).sum(axis=1)])
-
-
 def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -165,13 +185,13 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return use[np.lexsort((ids[use], -scores[use]))][:k]
 
 
-def top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int, most: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def top(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the places of its k best vectors, itself left out, and their inner products summed in order."""
     about = q @ x.T
     other = own[:, None] != ids[None, :]
     about[~other] = -np.inf
     # Twice the most by which two orders of summation can differ.
-    room = 8.0 * q.shape[1] * np.finfo(np.float64).eps * most * most
+    room = 8.0 * q.shape[1] * np.finfo(np.float64).eps * norms_of(q)[:, None] * norms_of(x).max()
     floor = np.partition(about, len(ids) - k, axis=1)[:, len(ids) - k, None] - room if len(ids) > k else np.full((len(q), 1), -np.inf)
     row, col = np.nonzero(~(about < floor) & other)
     score = np.zeros(len(row))
@@ -190,52 +210,58 @@ def search(table: DataFrame, queries_every: int = 20, k: int = 20, list_size: in
     spark = table.sparkSession
     ship(spark)
     rows = written(usable(table), "ann-rows")
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("most"), F.max(F.size("v")).alias("dims")).first()
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dims")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, most = facts["dims"], float(np.sqrt(facts["most"]))
+    dims = facts["dims"]
     queries = rows.where(F.col("vec_id") % queries_every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     if exact:
         postings, asked = (x.select(F.lit(0).alias("list"), "*") for x in (rows, queries))
-        return _ranked(postings, asked, dims, most, k)
+        return _ranked(postings, asked, dims, k)
     sample = min(SAMPLE, max(1, SAMPLED // dims))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()  # SAMPLED components at most
-    c = centroids(lift(_matrix(chosen.column("v"), dims), most), lists_of(facts["n"], sample, list_size))
-    probes = probes or probes_of(len(c))
-    sent = spark.sparkContext.broadcast((c, links(c)))
+    tops, c, band, spread = trained(_matrix(chosen.column("v"), dims), lists_of(facts["n"], sample, list_size))
+    probes = min(len(c), probes or probes_of(len(c)))
+    longest = len(c)  # the list of the vectors that are longer than all of the sample
+    sent = spark.sparkContext.broadcast((tops, c, band, spread))
 
     def index(batches):
-        c, _ = sent.value
+        tops, c, band, _ = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                x = lift(_matrix(part.column(1), dims), most)
-                d = _squares(x, c)
-                near = nearest(d, REPLICAS)
-                far = np.take_along_axis(d, near, axis=1)
-                row, col = np.nonzero(far <= far[:, :1] * CLOSURE**2)
-                yield pa.RecordBatch.from_arrays([pa.array(near[row, col], pa.int32()), *part.take(pa.array(row)).columns], names=["list", "vec_id", "v"])
+                x = _matrix(part.column(1), dims)
+                own = bands_of(norms_of(x), tops)
+                rows, lists = [np.flatnonzero(own < 0)], [np.full((own < 0).sum(), longest)]
+                for b in np.unique(own[own >= 0]):
+                    here = np.flatnonzero(own == b)
+                    # The nearest band with centroids, if copies or chance left this one without.
+                    filled = band[np.abs(band - b).argmin()]
+                    there = np.flatnonzero(band == filled)
+                    d = _squares(lift(x[here], tops[filled]), c[there])
+                    near = nearest(d, REPLICAS)
+                    far = np.take_along_axis(d, near, axis=1)
+                    row, col = np.nonzero(far <= far[:, :1] * CLOSURE**2)
+                    rows.append(here[row])
+                    lists.append(there[near[row, col]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists), pa.int32()), *part.take(pa.array(np.concatenate(rows))).columns], names=["list", "vec_id", "v"])
 
     def probe(batches):
-        c, graph = sent.value
+        _, c, _, spread = sent.value
         for batch in batches:
-            q = lower(_matrix(batch.column(1), dims), most)
-            row, lists = [], []
-            for i in range(len(q)):
-                ids, d = walk(q[i], c, graph, probes + 32)
-                own = ids[(d <= d[0] * RATIO) | (np.arange(len(d)) < LEAST)][:probes]
-                row.append(np.full(len(own), i))
-                lists.append(own)
-            taken = batch.take(pa.array(np.concatenate(row))) if row else batch
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists) if lists else [], pa.int32()), *taken.columns], names=["list", "query_id", "q"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                row, lists = reached(_matrix(part.column(1), dims), c[:, :dims], spread, probes, k)
+                row, lists = np.concatenate([row, np.arange(part.num_rows)]), np.concatenate([lists, np.full(part.num_rows, longest)])
+                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *part.take(pa.array(row)).columns], names=["list", "query_id", "q"])
 
     postings = written(rows.mapInArrow(index, "list int, vec_id long, v array<double>"), "ann-lists")
     asked = queries.repartition(spark.sparkContext.defaultParallelism * 4, "query_id")
     asked = written(asked.mapInArrow(probe, "list int, query_id long, q array<double>"), "ann-probes")
-    return _ranked(postings, asked, dims, most, k)
+    return _ranked(postings, asked, dims, k)
 
 
-def _ranked(postings: DataFrame, asked: DataFrame, dims: int, most: float, k: int) -> DataFrame:
+def _ranked(postings: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
     """The k best of each query among the vectors of its lists."""
     size = max(1, PART // dims)
     parts = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
@@ -252,7 +278,7 @@ def _ranked(postings: DataFrame, asked: DataFrame, dims: int, most: float, k: in
             x, q = _matrix(held.column("v"), dims), _matrix(asking.column("q"), dims)
             ids, own = np.asarray(held.column("vec_id")), np.asarray(asking.column("query_id"))
             for at in range(0, len(q), 64):
-                for i, (use, line) in enumerate(top(x, ids, q[at : at + 64], own[at : at + 64], k, most)):
+                for i, (use, line) in enumerate(top(x, ids, q[at : at + 64], own[at : at + 64], k)):
                     out[0].append(np.full(len(use), own[at + i]))
                     out[1].append(ids[use])
                     out[2].append(line)

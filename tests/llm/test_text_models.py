@@ -410,6 +410,33 @@ def test_recall_holds_as_lists_grow(spark):
     assert shares[1] < shares[0] and ann.probes_of(5_000) / 5_000 < 0.08
 
 
+@pytest.mark.parametrize("kind", ["norms", "long", "copies", "few"])
+def test_recall_holds_on_uneven_vectors(spark, kind):
+    """Norms of very different size, one very long vector, many copies, and few different vectors."""
+    draw, n = np.random.default_rng(4), 6_000
+    x = draw.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "norms":
+        x *= (draw.pareto(1.5, n) + 1)[:, None]
+    if kind == "long":
+        x[7] *= 1e6
+    if kind == "copies":
+        x[: n // 2] = x[draw.integers(0, 20, n // 2)]
+    if kind == "few":
+        x = x[np.arange(n) % 40]
+        x[100:] = x[100:] * 0 + x[0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    hit, rows = 0, ann.search(df, queries_every=60).collect()
+    for q in range(0, n, 60):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        least = np.partition(scores, n - 20)[n - 20]
+        own = [r["score"] for r in rows if r["query_id"] == q]
+        assert len(own) == 20
+        hit += sum(o >= least - 1e-12 * abs(least) for o in own)
+    assert hit >= 0.95 * 20 * 100
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (20, [2.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0]), (6, [0.5, 0.5]), (None, [1.0, 1.0]), (6, [0.5, 0.5]), (40, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
