@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,47 +128,73 @@ def parse_scores(reply: str | None, expected: Sequence[str]) -> list[tuple]:
     return [out[w] for w in expected]
 
 
+#: Folders of a store; a task reads one of them at a time.
+BUCKETS = 512
+
+
 class BatchStore:
-    """Scores that have been paid for, a file for each batch in a folder that all executors share.
+    """Scores that have been paid for: a line for each batch, in a folder that all executors share.
 
-    A file is named by the digest of the batch's rows and settings, written
-    beside and renamed, so it is there whole or not at all.
+    Batches are dealt over BUCKETS folders by query and number. Whoever scores a
+    bucket reads what it holds and appends to a file of its own, a line as soon
+    as a batch is scored, so the number of files does not grow with the batches.
+    A line names the digest of the batch's rows and settings.
     """
 
     def __init__(self, root: str):
-        self.root = root.rstrip("/")
-
-    def _path(self, digest: str) -> str:
-        return f"{self.root}/{digest[:2]}/{digest}.json"
+        self.root, self.number, self.kept, self.lines = root.rstrip("/"), None, {}, None
+
+    def open(self, number: int | None) -> None:
+        """Close the bucket that is open and read another one, if any."""
+        if number != self.number:
+            if self.lines:
+                self.lines.close()
+            self.number, self.kept, self.lines = number, {}, None
+            if number is not None:
+                folder = f"{self.root}/{number:04d}"
+                self.lines = places.Lines(folder)
+                for line in places.read_lines(folder):
+                    self.kept[json.loads(line)["batch_sha256"]] = line
 
     def get(self, digest: str, expected: Sequence[str]) -> list[tuple] | None:
-        import pyarrow.fs as fs
-
-        system, path = places.place(self._path(digest))
-        if system.get_file_info(path).type == fs.FileType.NotFound:
+        if digest not in self.kept:
             return None
-        with system.open_input_stream(path) as source:
-            saved = json.loads(source.read())
-        rows = [(s["candidate_id"], s["score"], s["confidence"], s["rationale"], None) for s in saved["scores"]]
-        if saved["batch_sha256"] != digest or [r[0] for r in rows] != list(expected):
-            raise integrity.IntegrityError(f"{path} holds another batch")
+        rows = [(s["candidate_id"], s["score"], s["confidence"], s["rationale"], None) for s in json.loads(self.kept[digest])["scores"]]
+        if [r[0] for r in rows] != list(expected):
+            raise integrity.IntegrityError(f"{self.root}/{self.number:04d} holds another batch as {digest}")
         return rows
 
     def put(self, digest: str, query_id: str, batch: int, rows: list[tuple]) -> None:
         scores = [dict(zip(("candidate_id", "score", "confidence", "rationale"), r[:4], strict=True)) for r in rows]
-        system, path = places.place(self._path(digest))
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        beside = f"{path}.{uuid.uuid4().hex}.partial"
-        with system.open_output_stream(beside) as out:
-            out.write(canonical({"batch_sha256": digest, "query_id": query_id, "batch": batch, "scores": scores}))
-        places.move_over(system, beside, path)
+        line = canonical({"batch_sha256": digest, "query_id": query_id, "batch": batch, "scores": scores})
+        self.lines.add(line)
+        self.kept[digest] = line
 
 
 def stored_scores(spark: SparkSession, store: str) -> DataFrame:
-    """(query_id, batch, batch_sha256, slot, candidate_id, score, confidence, rationale) of a store, as far as it came."""
+    """(query_id, batch, batch_sha256, slot, candidate_id, score, confidence, rationale) of a store, as far as it came.
+
+    A batch that two copies of a task have asked counts once; what an
+    interrupted task left of its last line does not count.
+    """
     score = "struct<candidate_id:string,score:double,confidence:double,rationale:string>"
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("mode", "FAILFAST").schema(f"query_id string, batch int, batch_sha256 string, scores array<{score}>").json(store)
-    return files.select("query_id", "batch", "batch_sha256", F.posexplode("scores").alias("slot", "s")).select("query_id", "batch", "batch_sha256", "slot", "s.*")
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("mode", "DROPMALFORMED")
+    lines = read.schema(f"query_id string, batch int, batch_sha256 string, scores array<{score}>").json(store).dropDuplicates(["batch_sha256"])
+    return lines.select("query_id", "batch", "batch_sha256", F.posexplode("scores").alias("slot", "s")).select("query_id", "batch", "batch_sha256", "slot", "s.*")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[list[dict]]:
+    """Stretches of rows with equal keys, some rows at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for row in batch.slice(at, 256).to_pylist():
+                if held and any(row[k] != held[0][k] for k in keys):
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
 
 
 def score_batches(
@@ -188,22 +214,25 @@ def score_batches(
     not by another action on the same rows, not by a later run. (Two copies of a
     task that run at once may still both ask; leave speculation off.) A batch
     that fails at last gives rows with a problem and is not kept, so the caller
-    can use what succeeded and resume.
+    can use what succeeded and resume. Batches are dealt out and sorted; a task
+    goes through them one after the other.
     """
     ship(batched.sparkSession)
-    kept = BatchStore(places.qualified(batched.sparkSession, store)) if store else None
+    root = places.qualified(batched.sparkSession, store) if store else None
     left = batched if done is None else batched.join(done.select("query_id", "batch").distinct(), ["query_id", "batch"], "left_anti")
+    keys = ["query_id", "batch"]
+    schema = f"query_id string, batch int, {SCORE}"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = pa.schema([("query_id", pa.string()), ("batch", pa.int32()), ("candidate_id", pa.string()), ("score", pa.float64()), ("confidence", pa.float64()), ("rationale", pa.string()), ("problem", pa.string())])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = [_plain(r) for r in rows.sort_values("slot").to_dict("records")]
+    def scored(ordered: list[dict], kept: BatchStore | None) -> list[tuple]:
         expected = [r["candidate_id"] for r in ordered]
-        result: list[tuple] = []
         if kept:
             digest = hashlib.sha256(canonical({"settings": settings or {}, "rows": ordered})).hexdigest()
-            result = kept.get(digest, expected) or []
-        asked = bool(result)
-        provider = None if asked else make_provider()
-        for attempt in range(0 if asked else attempts):
+            if result := kept.get(digest, expected):
+                return result
+        result, provider = [], make_provider()
+        for attempt in range(attempts):
             try:
                 result = parse_scores(provider(ordered), expected)
             except Exception as error:  # a provider may fail in any way; the text is kept
@@ -212,12 +241,28 @@ def score_batches(
                 break
             if attempt + 1 < attempts:
                 time.sleep(pause * (attempt + 1))
-        if kept and not asked and result[0][4] is None:
+        if kept and result[0][4] is None:
             kept.put(digest, ordered[0]["query_id"], ordered[0]["batch"], result)
-        frame = pd.DataFrame(result, columns=["candidate_id", "score", "confidence", "rationale", "problem"])
-        return frame.assign(query_id=ordered[0]["query_id"], batch=ordered[0]["batch"])[["query_id", "batch", *frame.columns]]
+        return result
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, out = BatchStore(root) if root else None, []
+        for rows in _grouped(batches, keys):
+            if kept:
+                kept.open(rows[0]["__bucket"])
+            ordered = [{k: _plain(v) for k, v in r.items() if k != "__bucket"} for r in rows]
+            out += [(ordered[0]["query_id"], ordered[0]["batch"], *r) for r in scored(ordered, kept)]
+            if len(out) >= 4_096:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], kinds)
+                out = []
+        if kept:
+            kept.open(None)
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], kinds)
 
-    return left.groupBy("query_id", "batch").applyInPandas(run, f"query_id string, batch int, {SCORE}")
+    dealt = left.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")) if store else left
+    by = ["__bucket"] if store else keys
+    return dealt.repartition(*by).sortWithinPartitions(*by, *(keys if store else []), "slot").mapInArrow(run, schema)
 
 
 def strict_number(value: Column) -> Column:

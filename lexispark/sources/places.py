@@ -25,6 +25,49 @@ def move_over(system, source: str, target: str) -> None:
     system.move(source, target)
 
 
+class Lines:
+    """Lines appended by one task to a file of its own in a folder, each there as soon as it is written.
+
+    Where a file system shows a file only when it is closed, a line is a file,
+    written beside and renamed.
+    """
+
+    def __init__(self, folder: str):
+        self.folder, self.file = folder, None
+
+    def add(self, line: bytes) -> None:
+        import pyarrow.fs as fs
+
+        if self.file is not None:
+            self.file.write(line + b"\n")
+            return
+        system, path = place(f"{self.folder}/{uuid.uuid4().hex}.jsonl")
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        if isinstance(system, fs.LocalFileSystem):
+            self.file = open(path, "ab", buffering=0)
+            self.file.write(line + b"\n")
+            return
+        with system.open_output_stream(f"{path}.partial") as out:
+            out.write(line + b"\n")
+        move_over(system, f"{path}.partial", path)
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            self.file = None
+
+
+def read_lines(folder: str):
+    """Whole lines of the files that ``Lines`` left in a folder; what an interrupted task left of its last line is no line."""
+    import pyarrow.fs as fs
+
+    system, path = place(folder)
+    for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.path.endswith(".jsonl"):
+            with system.open_input_stream(info.path) as source:
+                yield from source.read().split(b"\n")[:-1]
+
+
 def hadoop(spark, path: str):
     """(Hadoop file system, path) as the driver sees it."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from lexispark.operators import fusion, integrity
+from lexispark.operators import fusion, integrity, verify
 from lexispark.plans import index
 from lexispark.sources import matrices, places, rowgroups, sinks
 
@@ -245,3 +245,43 @@ def test_heaps_equal_a_full_sort(spark, k, tasks, monkeypatch):
         assert got == want
     plan = fusion.vector_top_k(queries, index_, k)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def asked_batches(spark, folder, n=200):
+    """Batches of two rows, and a provider that notes whom it was asked for."""
+    rows = spark.range(2 * n).selectExpr("cast(id div 20 as string) as query_id", "concat('c', id) as candidate_id", "cast(id div 2 % 10 as int) as batch", "cast(id % 2 as int) as slot")
+    lines = places.Lines(str(folder))
+
+    def make():
+        def ask(batch):
+            lines.add(json.dumps({"who": batch[0]["candidate_id"]}).encode())
+            return json.dumps({"scores": [{"candidate_id": r["candidate_id"], "score": 1, "confidence": 1, "rationale": "r"} for r in batch]})
+
+        return ask
+
+    return rows, make
+
+
+def test_scored_batches_are_lines_of_few_files_and_asked_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(verify, "BUCKETS", 3)
+    rows, make = asked_batches(spark, tmp_path / "asked")
+    store = str(tmp_path / "store")
+    found = verify.score_batches(rows, make, store=store)
+    assert found.count() == found.count() == 400
+    files = [os.path.join(top, name) for top, _, names in os.walk(store) for name in names]
+    assert len(files) == 3
+    with open(files[0], "rb+") as out:  # a task that ended in the middle of its last line
+        out.truncate(os.path.getsize(files[0]) - 5)
+    assert verify.stored_scores(spark, store).count() == 398
+    assert found.where("problem is null").count() == 400 and verify.stored_scores(spark, store).count() == 400
+    assert spark.read.json(str(tmp_path / "asked")).groupBy("who").count().where("count > 1").count() == 1
+
+
+def test_batches_are_scored_by_streams_of_rows(spark, tmp_path):
+    """No group of a batch is dealt to pandas, and the rows of a batch come in their order, whatever the dealing."""
+    rows, make = asked_batches(spark, tmp_path / "asked")
+    found = verify.score_batches(rows.repartition(7), make)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["query_id"], r["batch"], r["candidate_id"]) for r in found.collect()} == {(r["query_id"], r["batch"], r["candidate_id"]) for r in rows.collect()}
+    firsts = {r["who"] for r in spark.read.json(str(tmp_path / "asked")).collect()}
+    assert firsts == {f"c{i}" for i in range(0, 400, 2)}
