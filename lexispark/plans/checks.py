@@ -90,6 +90,13 @@ def _prepared(spark, sf) -> DataFrame:
     return rows.withColumn("input_sha256", F.sha2(F.col("candidate_id").cast("binary"), 256))
 
 
+def _batched(spark, sf) -> DataFrame:
+    """``_prepared`` in batches of five, written and read again, for plans that need them several times."""
+    path = tables.scratch(spark, "batched")
+    candidates.batches(_prepared(spark, sf), 5).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 _PREPARED = """
 prep AS (SELECT o_custkey::VARCHAR AS query_id, o_custkey || '::gi' || o_orderkey AS candidate_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rank, (o_orderkey * 7919) % 101 / 10.0::DOUBLE AS score FROM orders),
 prepared AS (SELECT *, sha256(candidate_id) AS input_sha256, (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1) // 5 AS batch FROM prep WHERE rank <= 10 AND o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
@@ -205,7 +212,7 @@ def _reply(rows: list[dict]) -> str:
 @query
 def scored_batches(spark, sf):
     """A provider asked batch by batch, its replies checked; batches that an earlier run has done are skipped."""
-    batched = candidates.batches(_prepared(spark, sf), 5)
+    batched = _batched(spark, sf)
     done = batched.where(F.col("query_id").cast("long") % 4 == 0).select("query_id", "batch")
     found = verify.score_batches(batched, lambda: _reply, attempts=2, pause=0.0, done=done)
     return found.groupBy(F.coalesce("problem", F.lit("scored")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total"))
