@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fnmatch import fnmatch
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
+from ..sources import places
 
 
 #: Bytes of a file that are read at a time.
@@ -21,39 +21,71 @@ BLOCK = 8 << 20
 
 
 def file_digests(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(path relative to root, size, sha256) of all files below ``root``, of any size: executors read them block by block."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    top = hadoop.Path(root)
-    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = system.resolvePath(top).toString().rstrip("/")
-    found, names = system.listFiles(top, True), []
-    while found.hasNext():
-        status = found.next()
-        name = status.getPath().getName()
-        if not name.startswith((".", "_")) and (not glob or fnmatch(name, glob)):
-            names.append((status.getPath().toString(), status.getLen()))
-    schema = "path string, size long, sha256 string"
-    if not names:
-        return spark.createDataFrame([], schema)
+    """(path relative to root, size, sha256) of all files below ``root``, of any size and number.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Executors list the folders of ``root``, each with all that is below it, and
+    read the files, which are dealt anew, block by block. The driver lists nothing.
+    """
+    hadoop, held = places.hadoop(spark, root)
+    if not hadoop.exists(held):
+        raise FileNotFoundError(root)
+    base, only = places.qualified(spark, root).rstrip("/"), None
+    if hadoop.getFileStatus(held).isFile():
+        base, only = base.rsplit("/", 1)
+    listing = "path string, size long, folder boolean"
+
+    def entry(top: str, info) -> tuple[str, int, bool]:
+        return info.path.rstrip("/")[len(top.rstrip("/")) + 1 :], info.size or 0, not info.is_file
+
+    def rows(entries: list[tuple[str, int, bool]]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(entries), 4_096):
+            part = entries[at : at + 4_096]
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in part], pa.string()), pa.array([e[1] for e in part], pa.int64()), pa.array([e[2] for e in part], pa.bool_())], names=["path", "size", "folder"])
+
+    def wanted(path: str) -> bool:
+        name = path.rsplit("/", 1)[-1]
+        return not name.startswith((".", "_")) and (not glob or fnmatch(name, glob))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.fs as fs
 
+        for batch in batches:
+            if batch.num_rows:
+                system, top = places.place(base)
+                infos = [system.get_file_info(f"{top.rstrip('/')}/{only}")] if only else system.get_file_info(fs.FileSelector(top))
+                found = [entry(top, i) for i in infos]
+                yield from rows([e for e in found if e[2] or wanted(e[0])])
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as fs
+
+        system, top = places.place(base)
+        for batch in batches:
+            out = []
+            for path, size, folder in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not folder:
+                    out.append((path, size, False))
+                    continue
+                found = [entry(top, i) for i in system.get_file_info(fs.FileSelector(f"{top.rstrip('/')}/{path}", recursive=True))]
+                out += [e for e in found if not e[2] and wanted(e[0])]
+            yield from rows(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = places.place(base)
         for batch in batches:
             digests_ = []
-            for uri in batch.column(0).to_pylist():
-                held, inner = fs.FileSystem.from_uri(uri) if not uri.startswith("file:") else (fs.LocalFileSystem(), unquote(urlparse(uri).path))
+            for path in batch.column(0).to_pylist():
                 digest = hashlib.sha256()
-                with held.open_input_stream(inner) as source:
+                with system.open_input_stream(f"{top.rstrip('/')}/{path}") as source:
                     while block := source.read(BLOCK):
                         digest.update(block)
                 digests_.append(digest.hexdigest())
-            relative = [u[len(base) + 1 :] if u.startswith(base + "/") else u.rsplit("/", 1)[-1] for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(relative), batch.column(1), pa.array(digests_)], names=["path", "size", "sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests_, pa.string())], names=["path", "size", "sha256"])
 
     ship(spark)
-    listed = spark.createDataFrame(sorted(names), "path string, size long").repartition(max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism)))
-    return listed.mapInArrow(run, schema)
+    deals = 4 * spark.sparkContext.defaultParallelism
+    files = spark.range(1, numPartitions=1).mapInArrow(first, listing).repartition(deals, "path").mapInArrow(below, listing)
+    return files.select("path", "size").repartition(deals, "path").mapInArrow(run, "path string, size long, sha256 string")
 
 
 def tree_digest(files: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -28,6 +28,32 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     places.replace_folder(spark, staged, path)
 
 
+def write_files(rows: DataFrame, root: str) -> int:
+    """A file below ``root`` for each row (folder, name, text), written by the executors; how many there are.
+
+    Names must differ within a folder. A task that is repeated writes its files again.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    base = places.qualified(spark, root).rstrip("/")
+
+    def run(batches):
+        system, top = places.place(base)
+        made = set()
+        for batch in batches:
+            for folder, name, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if folder not in made:
+                    system.create_dir(f"{top}/{folder}", recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{top}/{folder}/{name}") as out:
+                    out.write(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    texts = rows.select(F.col("folder").cast("string").alias("folder"), "name", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = texts.repartition(4 * spark.sparkContext.defaultParallelism, "folder")
+    return dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small driver-side file: written beside, synced, then renamed over the old one, which stays whole until then."""
     places.write_file(spark, path, text.encode())

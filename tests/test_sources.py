@@ -128,3 +128,19 @@ def test_batches_and_checkpoints(spark):
     assert {r["rule"] for r in verify.checkpoint_violations(now.withColumn("batch_sha256", now["candidate_id"]), now).collect()} == {"stale batch"}
     with pytest.raises(integrity.IntegrityError):
         verify.same_settings({"a": 1}, {"a": 2})
+
+
+def test_trees_are_listed_and_written_by_executors(spark, tmp_path, monkeypatch):
+    """Files at any depth, names that URIs would escape, a root that is a file; the driver asks for no list."""
+    rows = spark.range(50).selectExpr("id % 7 as folder", "concat('f%41 ', id, '.txt') as name", "repeat('x', cast(id as int)) as text")
+    root = tmp_path / "tree"
+    assert sinks.write_files(rows, str(root)) == 50
+    (root / "deep" / "er").mkdir(parents=True)
+    for name in ("deep/er/a.txt", "top.txt", "deep/_hidden.txt", "deep/b.csv"):
+        (root / name).write_text(name)
+    found = {r["path"]: (r["size"], r["sha256"]) for r in digests.file_digests(spark, str(root), "*.txt").collect()}
+    want = {str(p.relative_to(root)): (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in root.rglob("*.txt") if not p.name.startswith("_")}
+    assert found == want and len(found) == 52
+    assert [r["path"] for r in digests.file_digests(spark, str(root / "top.txt")).collect()] == ["top.txt"]
+    with pytest.raises(FileNotFoundError):
+        digests.file_digests(spark, str(root / "none"))
