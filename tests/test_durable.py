@@ -285,3 +285,17 @@ def test_batches_are_scored_by_streams_of_rows(spark, tmp_path):
     assert {(r["query_id"], r["batch"], r["candidate_id"]) for r in found.collect()} == {(r["query_id"], r["batch"], r["candidate_id"]) for r in rows.collect()}
     firsts = {r["who"] for r in spark.read.json(str(tmp_path / "asked")).collect()}
     assert firsts == {f"c{i}" for i in range(0, 400, 2)}
+
+
+def test_heaps_hold_half_as_much_again_at_most(spark):
+    """Rows that wait are cut while a block is scored, and deals count the bytes that heaps take."""
+    draw = np.random.default_rng(3)
+    heaps, most = fusion.Heaps(draw.normal(size=(600, 4)), 400), 0
+    for at in range(0, 8_192, 1_024):
+        heaps.add(np.arange(at, at + 1_024), draw.normal(size=(1_024, 4)))
+        most = max(most, sum(len(p[0]) for p in heaps.parts))
+    assert most <= 1.5 * 600 * 400 + fusion.QUERY_BLOCK * fusion.INDEX_BLOCK
+    queries = spark.range(1_000).selectExpr("id as query_id", "'a' as field", "array(1d) as q")
+    index_ = spark.range(5).selectExpr("id as idx", "'a' as field", "array(2d) as v")
+    plan = fusion.vector_top_k(queries, index_, 1_000)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("MapInArrow") >= 2
