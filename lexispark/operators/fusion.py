@@ -25,9 +25,9 @@ VIEWS = ("normal_query", "meta_searchterm", "keywords", "fulltext", "citations")
 VIEW_WEIGHTS = {"normal_query": 0.40, "meta_searchterm": 1.25, "keywords": 0.85, "fulltext": 1.35, "citations": 0.15}
 ONLINE_WEIGHTS = {"dense": 0.7, "bm25": 0.3}
 RRF_K, PER_VIEW, FUSED = 60, 1_000, 1_000
-#: Bytes of query vectors and heaps of a deal; rows of a heap that count towards it, and bytes that each takes when heaps are cut:
-#: three columns, an order and their sorted copies, and half as many rows that wait.
-QUERY_BYTES, HEAP_ROWS, HEAP_BYTES = 64 << 20, 1 << 20, 96
+#: Bytes of query vectors and heaps of a deal, of which a cut takes six times as much (columns, an order, sorted copies, rows that
+#: wait); rows of a heap that count towards it.
+QUERY_BYTES, HEAP_ROWS = 10 << 20, 1 << 20
 #: Queries and index rows that are scored together: a block of 2 MB.
 QUERY_BLOCK, INDEX_BLOCK = 256, 1_024
 
@@ -117,7 +117,7 @@ def vector_top_k(queries: DataFrame, index: DataFrame, k: int, on: Sequence[str]
     spark = index.sparkSession
     ship(spark)
     keyed = queries.select("query_id", *on, F.col("q").cast("array<double>").alias("q"))
-    held = keyed.agg(F.sum(F.size("q") * 8 + 64 + F.lit(min(k, HEAP_ROWS) * HEAP_BYTES))).first()[0] or 0
+    held = keyed.agg(F.sum(F.size("q") * 8 + 64 + F.lit(min(k, HEAP_ROWS) * 16))).first()[0] or 0
     deals = max(1, -(-held // block))
     kinds = {f.name: f.dataType for f in [*keyed.schema.fields, *index.schema.fields]}
     out = T.StructType([T.StructField("query_id", kinds["query_id"]), *[T.StructField(c, kinds[c]) for c in on], T.StructField("idx", T.LongType()), T.StructField("score", T.DoubleType())])
