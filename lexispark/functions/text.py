@@ -10,10 +10,11 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ship
 
@@ -103,18 +104,30 @@ def _meta_pieces(cut: Column) -> Column:
     return F.substring(F.concat_ws("; ", *[F.nullif(p, F.lit("")) for p in pieces]), 1, META_LIMIT)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("keyword", T.StringType()), T.StructField("n", T.LongType())])))
-def ranked_keywords(text: pd.Series) -> pd.Series:
+#: Texts whose keywords are held as Python objects at a time.
+RANKED = 128
+_RANKED = T.ArrayType(T.StructType([T.StructField("place", T.IntegerType()), T.StructField("keyword", T.StringType()), T.StructField("n", T.LongType())]))
+
+
+@F.arrow_udf(_RANKED)
+def ranked_keywords(text: pa.Array) -> pa.Array:
     """Structs (place, keyword, n) of cleaned texts' TOP_KEYWORDS keywords, by count, ties by code point."""
-    found, stop = re.compile(KEYWORD).findall, frozenset(STOP_WORDS)
-    out = []
-    for t in text:
-        counted: Counter = Counter()
-        for k, n in Counter(found(t)).items():
-            counted[k.lower()] += n
-        top = sorted(((-n, k) for k, n in counted.items() if len(k) >= 4 and k not in stop))[:TOP_KEYWORDS]
-        out.append([{"place": i, "keyword": k, "n": -n} for i, (n, k) in enumerate(top, 1)])
-    return pd.Series(out)
+    find, stop = re.compile(KEYWORD).finditer, frozenset(STOP_WORDS)
+    parts, kind = [], to_arrow_type(_RANKED)
+    for at in range(0, len(text), RANKED):
+        ends, place, keyword, times = [0], [], [], []
+        for t in text[at : at + RANKED]:
+            counted: Counter = Counter()
+            for k, n in Counter(m.group() for m in find(t.as_py() or "")).items():
+                counted[k.lower()] += n
+            top = sorted(((-n, k) for k, n in counted.items() if len(k) >= 4 and k not in stop))[:TOP_KEYWORDS]
+            place += range(1, len(top) + 1)
+            keyword += [k for _, k in top]
+            times += [-n for n, _ in top]
+            ends.append(len(place))
+        rows = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(keyword, pa.string()), pa.array(times, pa.int64())], fields=list(kind.value_type))
+        parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows, type=kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def keyword_ranking(texts: DataFrame, key: str, text: str) -> DataFrame:
