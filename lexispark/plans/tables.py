@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str, each: int = 500_000) -> DataFrame:
+    """Rows dealt by keys over as many tasks as keep a task's rows near ``each``, whatever the session's number of partitions."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    return rows.repartition(tasks, *keys)
+
+
 def citation(part: str = "l_partkey") -> Column:
     return F.concat(F.lit("Art. "), (F.col(part) % 40 + 1).cast("string"), F.lit(" OR"))
 

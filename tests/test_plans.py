@@ -6,7 +6,8 @@ import os
 import pytest
 
 from lexispark.operators import integrity
-from lexispark.plans import catalog, index, offline, online
+from lexispark.plans import catalog, durable, index, offline, online, tables
+from lexispark.session import shared_dir
 from lexispark.operators.fusion import VIEWS
 
 from .oracle_check import SF_DIR, differences
@@ -142,3 +143,16 @@ def connect_some(folder):
     for name in ("documents", "labels"):
         connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
     return connection
+
+
+def test_plans_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    """Labels are ranked once, not once a query; line items and files of row groups are dealt by their size."""
+    plan = catalog.online_rrf_two_source(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert any("windowspecdefinition(label" in line for line in plan.splitlines())
+    rows = spark.range(1_000).withColumnRenamed("id", "k")
+    assert tables.dealt(rows, "k", each=50).rdd.getNumPartitions() == 20
+    monkeypatch.setattr(durable, "GROUPED", 1_000)
+    before = set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    durable.row_group_reads(spark, SF_DIR)
+    made = [d for d in os.listdir(shared_dir(spark).removeprefix("file://")) if d not in before and "groups" in d]
+    assert len([f for f in os.listdir(f"{shared_dir(spark).removeprefix('file://')}/{made[0]}") if f.endswith(".parquet")]) > 3
