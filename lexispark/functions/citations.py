@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import kept, ship
 
 # Codes, their German names, labels of subdivisions, patterns.
 CODES = {"CPP": "StPO", "CPC": "ZPO", "CP": "StGB", "CC": "ZGB", "CO": "OR", "LCR": "SVG", "LTF": "BGG", "LOAP": "StBOG", "LPGA": "ATSG", "LAI": "IVG", "LDIP": "IPRG", "Cst.": "BV", "Cst": "BV"}
@@ -132,7 +132,8 @@ def validate_answers(answers: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     from .text import clean, matches
 
-    said = with_citations(answers, "answer", "__found").withColumn("mentioned", all_citations(F.col("__found")))
+    # Extraction is the costly step and both sides of the join need it.
+    said = kept(with_citations(answers, "answer", "__found").withColumn("mentioned", all_citations(F.col("__found"))).drop("__found"), "answers")
     known = said.select("answer_id", F.explode("mentioned").alias("citation")).join(vocabulary.select("citation"), "citation", "left_semi").groupBy("answer_id").agg(F.collect_set("citation").alias("__known"))
     df = said.join(known, "answer_id", "left").withColumn("__known", F.coalesce("__known", F.array().cast("array<string>")))
     exact = F.filter("mentioned", lambda c: F.contains(F.col("answer"), c))

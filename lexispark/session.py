@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -48,6 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def kept(rows: DataFrame, label: str) -> DataFrame:
+    """Rows written to the shared folder and read again, for plans that need costly rows several times."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/lexispark-{label}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, unless their PYTHONPATH has it already."""
     package = Path(__file__).resolve().parent
