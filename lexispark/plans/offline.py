@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.citations import all_citations, with_citations
 from ..functions.text import query_views, split_citations
 from ..operators import candidates, fusion, gate, integrity, metrics, support, verify
+from ..session import kept
 from ..sources import readers, sinks
 
 
@@ -58,6 +59,7 @@ class Result:
 
 def retrieve_saved(queries: DataFrame, rankings: DataFrame, settings: Settings) -> DataFrame:
     """Fused candidates of saved rankings, after their rules: rank, score, per-view details and metadata."""
+    rankings = kept(rankings, "rankings")  # six rules and three later steps read them
     integrity.require(fusion.saved_ranking_violations(rankings, queries))
     hits = rankings.select("query_id", F.col("field").alias("source"), F.col("rank").alias("position"), F.col("doc_id").alias("doc_ref"), "score")
     fused = fusion.hit_details(fusion.fuse_views(hits, settings.weights, settings.rrf_k, settings.fused), hits)

@@ -6,7 +6,7 @@ import os
 import pytest
 
 from lexispark.operators import integrity
-from lexispark.plans import catalog, durable, index, offline, online, tables
+from lexispark.plans import catalog, durable, index, offline, online, stages, tables
 from lexispark.session import shared_dir
 from lexispark.operators.fusion import VIEWS
 
@@ -156,3 +156,11 @@ def test_plans_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
     durable.row_group_reads(spark, SF_DIR)
     made = [d for d in os.listdir(shared_dir(spark).removeprefix("file://")) if d not in before and "groups" in d]
     assert len([f for f in os.listdir(f"{shared_dir(spark).removeprefix('file://')}/{made[0]}") if f.endswith(".parquet")]) > 3
+
+
+def test_costly_rows_are_made_once(spark):
+    """Citations of answers, and saved rankings, are written before the steps that read them several times."""
+    answers = catalog.answer_validation(spark, SF_DIR)
+    assert any("lexispark-answers" in f for f in answers.inputFiles()) and not any("lineitem" in f for f in answers.inputFiles())
+    ranked = stages.saved_ranking_retrieval(spark, SF_DIR)
+    assert any(".parquet" in f and "lexispark-rankings" in f for f in ranked.inputFiles()) and not any(f.endswith(".json") for f in ranked.inputFiles())
