@@ -8,6 +8,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 
 from lexispark.operators import analysis, verify
 from lexispark.streaming import ordered, runs, served
@@ -61,6 +62,110 @@ def test_runs_that_never_end_leave_the_state(spark, tmp_path):
     assert {k: (r["status"], r["error"]) for k, r in last.items()} == {"gap": ("error", "event 1 is missing"), "cut": ("error", "no event for too long"), "end": ("completed", None)}
 
 
+class Held:
+    """The state of one run, in place of a stream's, and the calls to it."""
+
+    def __init__(self):
+        self.calls, self.value, self.map = 0, None, {}
+
+    def getValueState(self, name, schema):
+        return Value(self)
+
+    def getMapState(self, name, key, value):
+        return Map(self)
+
+
+class Value:
+    def __init__(self, held):
+        self.held = held
+
+    def exists(self):
+        self.held.calls += 1
+        return self.held.value is not None
+
+    def get(self):
+        self.held.calls += 1
+        return self.held.value
+
+    def update(self, value):
+        self.held.calls += 1
+        self.held.value = value
+
+    def clear(self):
+        self.held.value = None
+
+
+class Map(Value):
+    def exists(self):
+        self.held.calls += 1
+        return bool(self.held.map)
+
+    def containsKey(self, key):
+        self.held.calls += 1
+        return key in self.held.map
+
+    def getValue(self, key):
+        self.held.calls += 1
+        return self.held.map[key]
+
+    def updateValue(self, key, value):
+        self.held.calls += 1
+        self.held.map[key] = value
+
+    def removeKey(self, key):
+        self.held.calls += 1
+        del self.held.map[key]
+
+    def clear(self):
+        self.held.map.clear()
+
+
+def told(fold, events):
+    """The row of a micro-batch of events (seq, type, run_id, step, message)."""
+    names = ("seq", "type", "run_id", "step", "message")
+    (row,) = fold.handleInputRows(("r",), iter([Row(event=json.dumps(dict(zip(names, e)))) for e in events]), None)
+    return json.loads(row[0])
+
+
+def test_waiting_events_are_kept_by_pages():
+    draw = random.Random(5)
+    events = [(i, draw.choice(["step_start", "step_complete", "error"]), "r", i % 6 + 1, f"{i}") for i in range(1_000)]
+    mixed = events + draw.sample(events, 300)
+    draw.shuffle(mixed)
+    held, fold = Held(), ordered.OrderedFold(None)
+    fold.init(held)
+    for i in range(4):
+        row = told(fold, mixed[i::4])
+    whole = runs.Fold()
+    for _, *event in events:
+        whole.add(*event)
+    status, server, steps, *rest = whole.state()
+    assert [row["status"], row["server_run"], {s["step"]: s["is"] for s in row["steps"]}, row["error"], row["answered"], row["events"]] == [status, server, steps, *rest]
+    assert row["following"] == 1_000 and held.map == {}
+    assert held.calls < 150  # not one for each event that waits
+
+
+def test_an_event_that_waited_and_comes_again_does_not_wait_on():
+    held, fold = Held(), ordered.OrderedFold(None)
+    fold.init(held)
+    far = ordered.PAGE + 3
+    told(fold, [(2, "run_complete", "r", None, None), (far, "error", "r", 1, "late")])
+    row = told(fold, [(i, "run_start", "r", None, None) for i in (1, 0)] + [(2, "run_complete", "r", None, None), (far, "error", "r", 1, "again")])
+    assert (row["status"], row["following"]) == ("completed", 3)
+    assert json.loads(next(fold.handleExpiredTimer(("r",), None, None))[0])["error"] == "event 3 is missing"  # the far one waits
+    told(fold, [(2, "run_complete", "r", None, None)])
+    assert told(fold, [(i, "run_start", "r", None, None) for i in (1, 0, 2)])["following"] == 3
+    told(fold, [(3, "run_complete", "r", None, None)])
+    assert list(fold.handleExpiredTimer(("r",), None, None)) == [] and held.map == {}
+
+
+def test_no_events_have_no_states(spark, tmp_path):
+    from lexispark.plans import catalog
+
+    spark.createDataFrame([], "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    assert catalog.queries()["ordered_run_states"](spark, str(tmp_path)).collect() == []
+
+
 # -- served events
 
 
