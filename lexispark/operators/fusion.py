@@ -174,17 +174,19 @@ def reciprocal_scores(ranking: DataFrame) -> DataFrame:
     return ranking.withColumn("score", F.lit(1.0) / F.col("position"))
 
 
-def weighted_rrf(hits: DataFrame, weights: Mapping[str, float], k: int = RRF_K, limit: int | None = FUSED) -> DataFrame:
+def weighted_rrf(hits: DataFrame, weights: Mapping[str, float], k: int = RRF_K, limit: int | None = FUSED, also: Mapping[str, Column] | None = None) -> DataFrame:
     """(query_id, doc_ref, fusion_score, rank, sources) by the sum of weight / (k + position).
 
     A document counts once a source, at its first position; positions count
     repeats. Equal scores keep the order in which documents are met: sources by
     name, then position. The limit reaches the ranking window, so only the
-    leading rows of each query are sorted.
+    leading rows of each query are sorted. ``also``: further aggregates of a
+    document's hits, by name.
     """
+    also = also or {}
     check_weights(weights, k, limit)
     names = sorted(weights)
-    first = hits.where(F.col("source").isin(names)).groupBy("query_id", "doc_ref").agg(*[F.min(F.when(F.col("source") == s, F.col("position"))).alias(f"__{i}") for i, s in enumerate(names)])
+    first = hits.where(F.col("source").isin(names)).groupBy("query_id", "doc_ref").agg(*[F.min(F.when(F.col("source") == s, F.col("position"))).alias(f"__{i}") for i, s in enumerate(names)], *[c.alias(n) for n, c in also.items()])
     # The sum starts at 0 and follows the order in which sources are listed.
     order = [names.index(s) for s in weights]
     total = F.lit(0.0)
@@ -193,36 +195,52 @@ def weighted_rrf(hits: DataFrame, weights: Mapping[str, float], k: int = RRF_K,
     met = F.array_min(F.array(*[F.when(F.col(f"__{i}").isNotNull(), F.struct(F.lit(i).alias("s"), F.col(f"__{i}").alias("p"))) for i in range(len(names))]))
     sources = F.filter(F.array(*[F.when(F.col(f"__{i}").isNotNull(), F.lit(s)) for i, s in enumerate(names)]), lambda s: s.isNotNull())
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fusion_score"), "__met"))
-    ranked = first.select("query_id", "doc_ref", total.alias("fusion_score"), met.alias("__met"), sources.alias("sources")).withColumn("rank", rank)
+    ranked = first.select("query_id", "doc_ref", total.alias("fusion_score"), met.alias("__met"), sources.alias("sources"), *also).withColumn("rank", rank)
     return (ranked.where(F.col("rank") <= limit) if limit else ranked).drop("__met")
 
 
-def fuse_views(hits: DataFrame, weights: Mapping[str, float] = VIEW_WEIGHTS, k: int = RRF_K, limit: int = FUSED) -> DataFrame:
+def fuse_views(hits: DataFrame, weights: Mapping[str, float] = VIEW_WEIGHTS, k: int = RRF_K, limit: int = FUSED, also: Mapping[str, Column] | None = None) -> DataFrame:
     """Fusion of exactly the five views, summed in their canonical order."""
     if set(weights) != set(VIEWS):
         raise ValueError(f"weights must name exactly {', '.join(VIEWS)}")
-    return weighted_rrf(hits, {v: weights[v] for v in VIEWS}, k, limit)
+    return weighted_rrf(hits, {v: weights[v] for v in VIEWS}, k, limit, also)
+
+
+def _placed(order: Sequence[str]) -> Column:
+    """A hit and the place of its source, by which hits are sorted."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("source"))
+    return F.struct(place.alias("o"), F.col("source").alias("field"), F.col("position").cast("int").alias("rank"), F.col("score").alias("score"))
+
+
+def _details(placed: Column) -> Column:
+    return F.transform(placed, lambda h: F.struct(h["field"].alias("field"), h["rank"].alias("rank"), h["score"].alias("score")))
+
+
+def packed_hits(order: Sequence[str] = VIEWS) -> Column:
+    """``hit_details`` as an aggregate of a document's hits."""
+    return _details(F.array_sort(F.collect_list(_placed(order))))
 
 
 def hit_details(fused: DataFrame, hits: DataFrame, order: Sequence[str] = VIEWS) -> DataFrame:
     """Adds hits: array of (field, rank, score) of each fused document in the order of the sources."""
-    place = F.array_position(F.array(*map(F.lit, order)), F.col("source"))
-    own = hits.select("query_id", "doc_ref", F.struct(place.alias("o"), F.col("source").alias("field"), F.col("position").cast("int").alias("rank"), F.col("score").alias("score")).alias("h"))
+    own = hits.select("query_id", "doc_ref", _placed(order).alias("h"))
     packed = own.join(fused.select("query_id", "doc_ref"), ["query_id", "doc_ref"]).groupBy("query_id", "doc_ref").agg(F.array_sort(F.collect_list("h")).alias("__h"))
-    return fused.join(packed, ["query_id", "doc_ref"], "left").withColumn("hits", F.transform("__h", lambda h: F.struct(h["field"].alias("field"), h["rank"].alias("rank"), h["score"].alias("score")))).drop("__h")
+    return fused.join(packed, ["query_id", "doc_ref"], "left").withColumn("hits", _details(F.col("__h"))).drop("__h")
 
 
 def saved_ranking_violations(rankings: DataFrame, queries: DataFrame, fields: Sequence[str] = VIEWS) -> DataFrame:
     """Rules of saved rankings (query_id, field, rank, doc_id, metadata as JSON text)."""
-    from .integrity import all_of, contiguous, duplicates, missing, record_rules
+    from .integrity import all_of, missing, ranks, record_rules
 
-    expected = queries.select("query_id").crossJoin(F.broadcast(queries.sparkSession.createDataFrame([(f,) for f in fields], "field string")))
-    metadata = rankings.groupBy("doc_id").agg(F.count_distinct("metadata").alias("n")).where("n > 1")
+    # Flags of a query's fields combine before the exchange; a query without rankings has none.
+    found = rankings.groupBy("query_id").agg(*[F.bool_or(F.col("field") == f).alias(f"__{i}") for i, f in enumerate(fields)])
+    lacking = F.filter(F.array(*[F.when(~F.coalesce(f"__{i}", F.lit(False)), F.lit(f)) for i, f in enumerate(fields)]), lambda f: f.isNotNull())
+    empty = queries.select("query_id").distinct().join(found, "query_id", "left").select("query_id", F.explode(lacking).alias("field"))
+    metadata = rankings.groupBy("doc_id").agg(F.count_distinct(F.coalesce("metadata", F.lit("{}"))).alias("n")).where("n > 1")
     return all_of(
         missing(rankings, queries, ["query_id"], "known query"),
         record_rules(rankings, ["query_id", "field"], {"known field": F.col("field").isin(list(fields)), "positive rank": F.col("rank") > 0}),
-        duplicates(rankings, ["query_id", "field", "rank"]),
-        contiguous(rankings, ["query_id", "field"], "rank"),
-        missing(expected, rankings, ["query_id", "field"], "no empty ranking"),
+        ranks(rankings, ["query_id", "field"], "rank"),
+        empty.select(F.lit("no empty ranking").alias("rule"), F.concat_ws("::", F.col("query_id").cast("string"), "field").alias("key"), F.lit("no partner").alias("message")),
         metadata.select(F.lit("one metadata object").alias("rule"), F.col("doc_id").alias("key"), F.lit("metadata differ").alias("message")),
     )

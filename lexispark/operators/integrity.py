@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 VIOLATION = "rule string, key string, message string"
 
 
@@ -36,6 +38,15 @@ def contiguous(df: DataFrame, groups: Sequence[str], rank: str) -> DataFrame:
     return seen.where("NOT (lo = 1 AND hi = n AND d = n)").select(F.lit("contiguous ranks").alias("rule"), _key(groups).alias("key"), F.lit("ranks are not 1..n").alias("message"))
 
 
+def ranks(df: DataFrame, groups: Sequence[str], rank: str) -> DataFrame:
+    """``duplicates`` of a rank and ``contiguous`` ranks of the same groups; rows are dealt once, by the first column of ``groups``."""
+    counted = dealt(df.select(*groups, rank), groups[0], each=1_000_000).groupBy(*groups, rank).agg(F.count(F.lit(1)).alias("__n"))
+    twice = counted.where("__n > 1").select(F.lit("unique").alias("rule"), _key([*groups, rank]).alias("key"), F.concat(F.col("__n").cast("string"), F.lit(" rows")).alias("message"))
+    seen = counted.groupBy(*groups).agg(F.sum("__n").alias("n"), F.min(rank).alias("lo"), F.max(rank).alias("hi"), F.count(rank).alias("d"))
+    gaps = seen.where("NOT (lo = 1 AND hi = n AND d = n)").select(F.lit("contiguous ranks").alias("rule"), _key(groups).alias("key"), F.lit("ranks are not 1..n").alias("message"))
+    return twice.unionByName(gaps)
+
+
 def missing(left: DataFrame, right: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
     """Keys of ``left`` that ``right`` lacks."""
     gone = left.select(*keys).distinct().join(right.select(*keys), list(keys), "left_anti")

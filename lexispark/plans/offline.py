@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.citations import all_citations, with_citations
 from ..functions.text import query_views, split_citations
 from ..operators import candidates, fusion, gate, integrity, metrics, support, verify
-from ..session import kept
+from ..session import dealt, kept, shuffles_removed
 from ..sources import readers, sinks
 
 
@@ -58,13 +58,19 @@ class Result:
 
 
 def retrieve_saved(queries: DataFrame, rankings: DataFrame, settings: Settings) -> DataFrame:
-    """Fused candidates of saved rankings, after their rules: rank, score, per-view details and metadata."""
-    rankings = kept(rankings, "rankings")  # six rules and three later steps read them
-    integrity.require(fusion.saved_ranking_violations(rankings, queries))
-    hits = rankings.select("query_id", F.col("field").alias("source"), F.col("rank").alias("position"), F.col("doc_id").alias("doc_ref"), "score")
-    fused = fusion.hit_details(fusion.fuse_views(hits, settings.weights, settings.rrf_k, settings.fused), hits)
-    metadata = rankings.groupBy("doc_id").agg(F.first("metadata").alias("metadata"))
-    return fused.withColumnRenamed("doc_ref", "doc_id").join(metadata, "doc_id", "left").withColumn("global_idx", F.lit(None).cast("long"))
+    """Fused candidates of saved rankings, after their rules: rank, score, per-view details and metadata.
+
+    The rules and the fusion read the rankings several times, so costly ones are kept before.
+    """
+    with shuffles_removed(rankings.sparkSession):
+        integrity.require(fusion.saved_ranking_violations(rankings, queries))
+    views = F.array(*map(F.lit, fusion.VIEWS))
+    hits = rankings.select("query_id", F.array_position(views, F.col("field")).cast("byte").alias("view"), F.col("rank").alias("position"), F.col("doc_id").alias("doc_ref"), "score", "metadata")
+    # Dealt once by query, which groups and ranks need; a document has one metadata object, so its own hits have it.
+    hits = dealt(hits, "query_id", each=1_000_000).withColumn("source", F.element_at(views, F.col("view").cast("int")))
+    also = {"hits": fusion.packed_hits(), "metadata": F.max("metadata")}
+    fused = fusion.fuse_views(hits, settings.weights, settings.rrf_k, settings.fused, also)
+    return fused.withColumnRenamed("doc_ref", "doc_id").withColumn("global_idx", F.lit(None).cast("long"))
 
 
 def retrieve_index(query_vectors: DataFrame, index: DataFrame, metadata: DataFrame, settings: Settings) -> DataFrame:
@@ -116,7 +122,7 @@ def run_files(spark: SparkSession, config_path: str, output: str, base: str | No
     sinks.refuse_non_empty(spark, output)
     header = spark.read.option("header", True).csv(path("queries")).columns
     queries = readers.query_table(spark, path("queries"), gold="gold_citations" in header)
-    retrieved = retrieve_saved(queries, readers.saved_rankings(spark, path("rankings")), settings)
+    retrieved = retrieve_saved(queries, kept(readers.saved_rankings(spark, path("rankings")), "rankings"), settings)
     result = run(
         queries, retrieved, readers.documents(spark, path("documents")), readers.sparse_traces(spark, path("traces")), readers.citation_table(spark, path("laws")), readers.citation_table(spark, path("courts")), readers.json_lines(spark, path("scores"), readers.REPLAY), settings
     )

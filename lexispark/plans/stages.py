@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 from ..operators import analysis, candidates, fusion, gate, integrity, support, verify
+from ..session import kept, shuffles_removed
 from ..sources import readers, sinks
 from . import index, offline, online, tables
 from .oracle import _CANDIDATES, _DECIDED, _PREDICTED
@@ -150,13 +151,16 @@ SQL["discovered_citations"] = f"WITH {_TURNS} SELECT DISTINCT citation FROM cite
 def saved_ranking_retrieval(spark, sf):
     """Five saved rankings of each customer's orders as JSON lines, checked, fused, with metadata."""
     path = scratch(spark, "rankings")
-    o = table(spark, sf, "orders")
+    o = tables.dealt(table(spark, sf, "orders"), "o_custkey", each=200_000)
     orders_ = {"normal_query": ["o_orderkey"], "meta_searchterm": [F.desc("o_orderkey")], "keywords": ["o_totalprice", "o_orderkey"], "fulltext": [F.desc("o_totalprice"), "o_orderkey"], "citations": ["o_orderdate", "o_orderkey"]}
     base = o.select(_string("o_custkey").alias("query_id"), _string("o_orderkey").alias("doc_id"), F.struct(F.col("o_orderstatus").alias("status")).alias("metadata"), F.lit(1.0).alias("score"), *[F.row_number().over(Window.partitionBy("o_custkey").orderBy(*by)).alias(f) for f, by in orders_.items()])
     long = base.select("query_id", "doc_id", "metadata", "score", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("rank")) for f in fusion.VIEWS])).alias("x")).select("query_id", "doc_id", "metadata", "score", "x.field", "x.rank")
-    sinks.write_json_lines(long, path)
-    queries = o.select(_string("o_custkey").alias("query_id")).distinct()
-    found = offline.retrieve_saved(queries, readers.saved_rankings(spark, path), offline.Settings())
+    with shuffles_removed(spark):
+        sinks.write_json_lines(long, path, "gzip")
+    queries = table(spark, sf, "orders").select(_string("o_custkey").alias("query_id")).distinct()
+    rankings = kept(readers.saved_rankings(spark, path), "rankings")
+    tables.discard(spark, path)
+    found = offline.retrieve_saved(queries, rankings, offline.Settings())
     return found.select("query_id", "doc_id", "rank", F.round("fusion_score", 12).alias("fusion_score"), "metadata", F.element_at("hits", 1)["rank"].alias("first_view_rank"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fusion
-from ..session import shared_dir
+from ..session import dealt as dealt, shared_dir
 
 #: Components of the five slices of a vector that serve as views: (first, length).
 SLICES = ((1, 13), (14, 13), (27, 13), (40, 13), (53, 12))
@@ -28,14 +28,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a scratch folder whose rows are no longer read."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def dealt(rows: DataFrame, *keys: str, each: int = 500_000) -> DataFrame:
-    """Rows dealt by keys over as many tasks as keep a task's rows near ``each``, whatever the session's number of partitions."""
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
-    return rows.repartition(tasks, *keys)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def citation(part: str = "l_partkey") -> Column:

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,27 @@ def kept(rows: DataFrame, label: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def dealt(rows: DataFrame, *keys: str, each: int = 500_000) -> DataFrame:
+    """Rows dealt by keys over as many tasks as keep a task's rows near ``each``, whatever the session's number of partitions."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each))
+    return rows.repartition(tasks, *keys)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Actions within remove their shuffle files when they end; otherwise these stay until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers, unless their PYTHONPATH has it already."""
     package = Path(__file__).resolve().parent

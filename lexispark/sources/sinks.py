@@ -20,11 +20,11 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
+def write_json_lines(df: DataFrame, path: str, compression: str = "none") -> None:
     """JSON lines with sorted keys and nulls kept, written beside and renamed when complete."""
     spark = df.sparkSession
     staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}.partial"
-    df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).json(staged)
+    df.select(*sorted(df.columns)).write.option("ignoreNullFields", False).json(staged, compression=compression)
     places.replace_folder(spark, staged, path)
 
 

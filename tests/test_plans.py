@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from lexispark.operators import integrity
+from lexispark.operators import fusion, integrity
 from lexispark.plans import catalog, durable, index, offline, online, stages, tables
 from lexispark.session import shared_dir
 from lexispark.operators.fusion import VIEWS
@@ -164,3 +164,34 @@ def test_costly_rows_are_made_once(spark):
     assert any("lexispark-answers" in f for f in answers.inputFiles()) and not any("lineitem" in f for f in answers.inputFiles())
     ranked = stages.saved_ranking_retrieval(spark, SF_DIR)
     assert any(".parquet" in f and "lexispark-rankings" in f for f in ranked.inputFiles()) and not any(f.endswith(".json") for f in ranked.inputFiles())
+
+
+def test_saved_rankings_are_dealt_once(spark):
+    """The lines are compressed and removed once kept; after that, groups, ranks and metadata need one exchange."""
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    ranked = stages.saved_ranking_retrieval(spark, SF_DIR)
+    made = [d for d in os.listdir(folder) if d not in before and "rankings" in d]
+    assert len(made) == 1 and any(f.endswith(".parquet") for f in os.listdir(f"{folder}/{made[0]}"))
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_rules_and_hits_of_saved_rankings(spark):
+    """Repeated documents keep all their hits; each broken rule is found with its key."""
+    shape = "query_id string, field string, rank int, doc_id string, score double, metadata string"
+    queries = spark.createDataFrame([("q",)], "query_id string")
+    good = [("q", f, r, d, 1.0 / r, '{"a":1}' if d == "x" else None) for f in VIEWS for r, d in ((1, "x"), (2, "y"), (3, "x"))]
+    found = {r["doc_id"]: r for r in offline.retrieve_saved(queries, spark.createDataFrame(good, shape), offline.Settings()).collect()}
+    assert [(h["field"], h["rank"]) for h in found["x"]["hits"]] == [(f, r) for f in VIEWS for r in (1, 3)] and found["x"]["metadata"] == '{"a":1}'
+    assert [h["score"] for h in found["y"]["hits"]] == [0.5] * 5 and found["y"]["metadata"] is None and (found["x"]["rank"], found["y"]["rank"]) == (1, 2)
+
+    def broken(rows):
+        return {(v["rule"], v["key"]) for v in fusion.saved_ranking_violations(spark.createDataFrame(rows, shape), queries).collect()}
+
+    assert broken(good) == set()
+    assert broken([*good, ("q", "keywords", 3, "z", 1.0, None)]) == {("unique", "q::keywords::3"), ("contiguous ranks", "q::keywords")}
+    assert broken([*good, ("q", "keywords", 5, "z", 1.0, None)]) == {("contiguous ranks", "q::keywords")}
+    assert broken([r for r in good if r[1] != "fulltext"]) == {("no empty ranking", "q::fulltext")}
+    assert broken([*good, ("p", "other", 1, "z", 1.0, None)]) == {("known query", "p"), ("known field", "p::other")}
+    # A document without metadata has an empty object, which differs from any other.
+    assert broken([*good, ("q", "keywords", 4, "x", 1.0, None)]) == {("one metadata object", "x")}
